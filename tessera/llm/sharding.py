@@ -90,6 +90,9 @@ def minimax_cuts(sums: DataFrame, shards: int, index_rows: int = 16_384) -> list
             inside = inside | F.col("end_bytes").between(a, b)
         rows = sums.filter(inside).groupBy(F.floor(F.col("end_bytes") / width)).agg(F.max("end_bytes"), F.max("rank"), F.min("end_bytes"), F.min("rank")).collect()
         index.merge([p for r in rows for p in ((r[1], r[2]), (r[3], r[4]))])
+        # the first end beyond each window tells that the last one known inside it is its last
+        beyond = sums.agg(*[F.min(F.when(F.col("end_bytes") > b, F.struct("end_bytes", "rank"))).alias(f"w{i}") for i, (_, b) in enumerate(windows)]).first()
+        index.merge([(x[0], x[1]) for x in beyond if x is not None])
         low, high = index.smallest(low, high, shards, total, False), index.smallest(low, high, shards, total, True)
         early, late = index.cuts(low, shards, total, True), index.cuts(high, shards, total, False)
         if low == high and index.cuts(high, shards, total, True) == late:
