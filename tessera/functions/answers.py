@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 POINTS = "struct<points: array<struct<description: string, score: double>>>"
 REPORT = "struct<title: string, summary: string, rating: double, rating_explanation: string, findings: array<struct<summary: string, explanation: string>>>"
@@ -35,14 +36,14 @@ def repair(text: str) -> str:
     return re.sub(r",\s*([}\]])", r"\1", text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _first_object(s: pd.Series) -> pd.Series:
     return s.map(first_object)
 
 
 def json_object(answer: Column) -> Column:
     """The answer's JSON object; only answers that aren't plain JSON leave the JVM."""
-    plain = F.expr("true") & F.get_json_object(answer, "$").isNotNull() & F.startswith(F.ltrim(answer), F.lit("{"))
+    plain = F.try_parse_json(answer).isNotNull() & F.startswith(F.ltrim(answer), F.lit("{"))
     return F.when(plain, answer).otherwise(_first_object(answer))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the extraction answer format.
 RECORD_DELIMITER, FIELD_DELIMITER, COMPLETION_MARK = "##", "<|>", "<|COMPLETE|>"
@@ -63,7 +64,7 @@ def clean(c: Column) -> Column:
     return F.regexp_replace(trim_all(c), "[\\x00-\\x1f\\x7f-\\x9f]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """HTML entities decoded; only rows with an ampersand need to come here."""
     import html
@@ -157,7 +158,7 @@ def citations(answer: Column) -> Column:
     ids = lambda i: F.split(F.regexp_extract(i, r"\(([^()]*)\)", 1), r"\s*,\s*")
     return F.transform(well, lambda i: F.struct(
         F.trim(F.regexp_extract(i, r"^\s*([A-Za-z][A-Za-z ]*?)\s*\(", 1)).alias("dataset"),
-        F.filter(F.transform(ids(i), F.trim), lambda x: x.rlike(r"^\d+$")).alias("record_ids"),
+        F.filter(F.transform(ids(i), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d+$")).alias("record_ids"),
         F.exists(ids(i), lambda x: F.trim(x) == "+more").alias("has_more"),
     ))
 
@@ -207,7 +208,7 @@ def semantic_windows(df: DataFrame, text_col: str = "text", size: int = 1200) ->
 def token_counter(path: str, pattern: str = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""):
     """A UDF from text to its number of byte-pair tokens under a ranks file that every executor has at ``path``."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
         from tiktoken.load import load_tiktoken_bpe

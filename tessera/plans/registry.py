@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tessera.plans import graph_queries, search_queries, update_queries
+
+MODULES = (search_queries, graph_queries, update_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: s for m in MODULES for name, s in m.SQL.items()}
