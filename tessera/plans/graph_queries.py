@@ -102,7 +102,7 @@ def graphml(spark, sf):
 def clusters(spark, sf):
     """Clusters over the busier purchases; checked by invariants in the tests."""
     rel = I.relationships(spark, sf).filter("rank > 1").select("source", "target", "weight", "pos")
-    return G.hierarchical_clusters(G.cluster_edges(rel), max_levels=3, rounds=4)
+    return G.hierarchical_clusters(G.cluster_edges(rel), max_levels=2, rounds=2)
 
 
 def orders_numbered(spark, sf):
