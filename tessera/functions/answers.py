@@ -18,10 +18,10 @@ def first_object(text: str | None) -> str | None:
     """The first balanced ``{...}`` of a text that parses, repaired if need be; None if there is none."""
     decoder = json.JSONDecoder()
     bare = re.sub(r"```(?:json)?", "", text or "")
-    for attempt in (bare, repair(bare)):
-        for m in re.finditer(r"\{", attempt):
+    for m in re.finditer(r"\{", bare):
+        for attempt in (bare[m.start() :], repair(bare[m.start() :])):
             try:
-                value, _ = decoder.raw_decode(attempt, m.start())
+                value, _ = decoder.raw_decode(attempt)
             except ValueError:
                 continue
             return json.dumps(value, ensure_ascii=False)
