@@ -29,11 +29,11 @@ def test_language(spark):
 
 
 def test_segments():
-    """The linear scan finds the runs that a definition by recursion gives."""
+    """The linear scan finds the runs that a definition by recursion gives; of equal runs the shorter is maximal."""
     import random
 
     def brute(s, at=0):
-        best = max(((sum(s[i:j]), -i, i - j, i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0, 0, 0, 0, 0))
+        best = max(((sum(s[i:j]), i - j, -i, i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0, 0, 0, 0, 0))
         if best[0] <= 0:
             return []
         i, j = best[3], best[4]
@@ -41,7 +41,7 @@ def test_segments():
 
     rnd = random.Random(2)
     for _ in range(200):
-        s = [rnd.choice([-3.0, -1.5, -1.0, 0.7, 1.1, 2.3]) for _ in range(rnd.randrange(1, 14))]
+        s = [rnd.choice([-30, -15, -10, 7, 11, 23]) for _ in range(rnd.randrange(1, 14))]
         got = toxicity.maximal_segments([(i, i + 1, x) for i, x in enumerate(s)])
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute(s)]
 
