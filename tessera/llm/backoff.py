@@ -6,8 +6,8 @@ corpus holds it at least ``min_count`` times, else ln(alpha * c(w) / N); a docum
 Word counts are a table keyed by a 64-bit hash. Documents are exploded into pairs, which meet their counts in hash
 buckets: every task sends, for each bucket, the distinct pairs of a run of documents with the documents that hold them,
 so a pair is counted, joined and scored where its hash lives and no pair crosses the network once per occurrence.
-Counts of heavy words (at least one in ``heavy`` tokens, so at most ``heavy`` of them) travel with the tasks; the other
-words' terms meet their counts in a second set of buckets, where no word has more than N / heavy occurrences.
+Counts of heavy words (at least one in ``heavy`` tokens, so at most ``heavy`` of them) travel with the tasks, and pairs
+name them by two-byte codes; the other words' terms meet their counts in a second set of buckets, where no word has more than N / heavy occurrences.
 
 Defined results: null, empty and white texts have no token, log_score 0 and a null mean; repeated rows each count and
 each have a row; rows with a null id count in the corpus and come back with a null id. At a null id, rows are summed.
@@ -79,34 +79,65 @@ def word_counts(docs: DataFrame, run_tokens: int = 1_000_000) -> DataFrame:
     return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _pairs(docs: DataFrame, buckets: int, run_tokens: int) -> DataFrame:
-    """(bucket, pair, first, second, ends, docs): distinct pairs of a run of documents in one bucket.
+#: Code of a word that is not among the heavy ones.
+LIGHT = 0xFFFF
 
-    ``ends`` gives where each pair's entries in ``docs`` end, one entry for each occurrence.
+
+def _codes(h: np.ndarray, heavy_h: np.ndarray) -> np.ndarray:
+    """Places of words in the sorted heavy ones, LIGHT for the others."""
+    if not len(heavy_h):
+        return np.full(len(h), LIGHT, "<u2")
+    at = np.minimum(np.searchsorted(heavy_h, h), len(heavy_h) - 1)
+    return np.where(heavy_h[at] == h, at, LIGHT).astype("<u2")
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold the largest; the reader knows how many there are."""
+    most = int(x.max(initial=0))
+    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64)
+
+
+def _pairs(docs: DataFrame, buckets: int, run_tokens: int, heavy_h: np.ndarray) -> DataFrame:
+    """(bucket, codes, light, times, docs, keys): distinct pairs of a run of documents in one bucket.
+
+    ``codes`` holds the codes of all first words, then of all second ones; hashes of those that are LIGHT follow in
+    ``light``. Of each pair, ``times`` gives its occurrences, each of which has a place of ``keys`` in ``docs``.
     """
 
     def run(batches):
         for keys, sizes, h in _runs(batches, run_tokens):
-            keys = np.array(keys, np.int64)
+            keys, code = np.array(keys, np.int64), _codes(h.view(np.int64), heavy_h)
             doc = np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
             at = np.flatnonzero(doc[1:] == doc[:-1])
-            u, w, d = h[at], h[at + 1], doc[at]
-            p = pair_hash(u, w)
-            b = (p % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((p, b))
-            p, b, u, w, d = p[order], b[order], u[order], w[order], d[order]
-            cuts = np.searchsorted(b, np.arange(buckets + 1))
-            for k in range(buckets):
-                lo, hi = cuts[k], cuts[k + 1]
-                if lo == hi:
-                    continue
-                new = np.flatnonzero(np.r_[True, p[lo + 1 : hi] != p[lo : hi - 1]])
-                ends = np.r_[new[1:], hi - lo].astype(np.int32)
-                held = keys[d[lo:hi]]
-                arrays = [(p[lo:hi][new].view(np.int64), pa.int64()), (u[lo:hi][new].view(np.int64), pa.int64()), (w[lo:hi][new].view(np.int64), pa.int64()), (ends, pa.int32()), (held, pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([a], pa.list_(t)) for a, t in arrays]], names=["bucket", "pair", "first", "second", "ends", "docs"])
-
-    return docs.mapInArrow(run, "bucket int, pair array<long>, first array<long>, second array<long>, ends array<int>, docs array<long>")
+            p = pair_hash(h[at], h[at + 1])
+            order = np.argsort(p)
+            p, at = p[order], at[order]
+            new = np.flatnonzero(np.r_[True, p[1:] != p[:-1]][: len(p)])
+            times, first = np.diff(np.r_[new, len(p)]), at[new]
+            bucket = (((p[new] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)  # rises with p
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(cuts)):
+                own = slice(cuts[k], cuts[k + 1])
+                lo, hi = new[cuts[k]], new[cuts[k + 1]] if cuts[k + 1] < len(new) else len(p)
+                words = np.concatenate([first[own], first[own] + 1])
+                codes = code[words]
+                held, where = np.unique(doc[at[lo:hi]], return_inverse=True)
+                binary = [pa.array([x], pa.binary()) for x in (codes.tobytes(), h[words[codes == LIGHT]].tobytes(), _narrow(times[own]), _narrow(where))]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *binary, pa.array([keys[held]], pa.list_(pa.int64()))], names=["bucket", "codes", "light", "times", "docs", "keys"])
+
+    return docs.mapInArrow(run, "bucket int, codes binary, light binary, times binary, docs binary, keys array<long>")
+
+
+def _words(block, heavy_h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and hashes of the words of one row of :func:`_pairs`, first words first."""
+    codes = np.frombuffer(block.codes, "<u2")
+    light, h = codes == LIGHT, np.empty(len(codes), np.int64)
+    h[~light], h[light] = heavy_h[codes[~light]], np.frombuffer(block.light, "<i8")
+    return codes, h
 
 
 def _sum_by(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +145,10 @@ def _sum_by(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return u, np.bincount(at, value, len(u))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2, heavy: int = 1000, bucket_chars: int = 32_000_000, run_tokens: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2, heavy: int = 60_000, bucket_chars: int = 8_000_000, run_tokens: int = 1_000_000) -> DataFrame:
     """(id, n_tokens, log_score, mean_log_score) of every document under counts from all of them."""
+    if not 0 < heavy < LIGHT:
+        raise ValueError("heavy must be 1 to 65,534")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-chars // bucket_chars))
@@ -127,29 +160,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
 
     def look(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word is heavy, and if so ln of its count."""
-        at = np.minimum(np.searchsorted(heavy_h, h), max(0, len(heavy_h) - 1))
-        is_heavy = heavy_h[at] == h if len(heavy_h) else np.zeros(len(h), bool)
-        return is_heavy, np.where(is_heavy, heavy_ln[at] if len(heavy_h) else 0.0, 0.0)
+        return value(_codes(h, heavy_h))
+
+    def value(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        is_heavy, ln = code != LIGHT, np.zeros(len(code))
+        ln[is_heavy] = heavy_ln[code[is_heavy]]
+        return is_heavy, ln
 
     floor = math.log(alpha) - math.log(max(total, 1))
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(x) for x in pdf["pair"]]
-        p, u, w = (np.concatenate(pdf[c].to_list()) for c in ("pair", "first", "second"))
-        times = np.concatenate([np.diff(np.r_[0, e]) for e in pdf["ends"]])
-        kinds, at = np.unique(p, return_inverse=True)
+        blocks = list(pdf.itertuples(index=False))
+        halves = [[x.reshape(2, -1) for x in _words(b, heavy_h)] for b in blocks]
+        code, h = (np.concatenate([x[i] for x in halves], 1) for i in (0, 1))
+        cuts = np.cumsum([0, *[x[0].shape[1] for x in halves]])
+        times = np.concatenate([_wide(b.times, n) for b, n in zip(blocks, np.diff(cuts))])
+        kinds, at = np.unique(pair_hash(*h.view(np.uint64)), return_inverse=True)
         c = np.bincount(at, times, len(kinds))[at]
         keep = c >= min_count
-        word = np.where(keep, u, w)  # the word whose count is still needed, and its sign
+        word, own = np.where(keep, *h), np.where(keep, *code)  # the word whose count is still needed, and its sign
         sign = np.where(keep, -1.0, 1.0)
-        is_heavy, ln = look(word)
-        known = np.where(keep, np.log(c), floor) + np.where(is_heavy, sign * ln, 0.0)
-        entry = np.repeat(np.arange(len(p)), times)
-        doc = np.concatenate(pdf["docs"].to_list())
-        ids, sums = _sum_by(doc, known[entry])
-        bucket = int(pdf["bucket"].iloc[0])
-        light = ~is_heavy[entry]
-        lw, ls, ld = word[entry][light], sign[entry][light], doc[light]
+        is_heavy, ln = value(own)
+        known = np.where(keep, np.log(c), floor) + sign * ln
+        ids, sums, light = [], [], []
+        for b, lo, hi in zip(blocks, cuts, cuts[1:]):
+            entry = np.repeat(np.arange(lo, hi), times[lo:hi])
+            doc, keys = _wide(b.docs, len(entry)), np.asarray(b.keys)
+            ids.append(keys)
+            sums.append(np.bincount(doc, known[entry], len(keys)))
+            rest = ~is_heavy[entry]
+            light.append((word[entry[rest]], sign[entry[rest]], keys[doc[rest]]))
+        ids, sums = _sum_by(np.concatenate(ids), np.concatenate(sums))
+        lw, ls, ld = (np.concatenate(x) for x in zip(*light))
         order = np.lexsort((ld, lw, (lw.view(np.uint64) % np.uint64(buckets))))
         lw, ls, ld = lw[order], ls[order], ld[order]
         made = [{"bucket": -1, "word": [], "n": [], "sign": [], "docs": ids, "sums": sums}]
@@ -162,10 +204,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
             for k, lo, hi in zip(*(lambda ks: (ks, np.searchsorted(where, ks), np.searchsorted(where, ks, "right")))(np.unique(where))):
                 first = np.flatnonzero(np.r_[True, lw[lo + 1 : hi] != lw[lo : hi - 1]])
                 made.append({"bucket": int(k), "word": lw[lo:hi][first], "n": np.diff(np.r_[first, hi - lo]).astype(np.int32), "sign": sums_[lo:hi].astype(np.int32), "docs": ld[lo:hi], "sums": []})
-        assert len(sizes) and bucket >= 0
         return pd.DataFrame(made)
 
-    scored = cut(_pairs(rows.filter("id is not null"), buckets, run_tokens).groupBy("bucket").applyInPandas(pairs, "bucket int, word array<long>, n array<int>, sign array<int>, docs array<long>, sums array<double>"))
+    scored = cut(_pairs(rows.filter("id is not null"), buckets, run_tokens, heavy_h).groupBy("bucket").applyInPandas(pairs, "bucket int, word array<long>, n array<int>, sign array<int>, docs array<long>, sums array<double>"))
 
     # first tokens, and tokens a document: their words' terms meet the counts with the light words of the pairs
     def firsts(batches):
