@@ -7,7 +7,7 @@ Word counts are a table keyed by a 64-bit hash. Documents are exploded into pair
 buckets: every task sends, for each bucket, the distinct pairs of a run of documents with the documents that hold them,
 so a pair is counted, joined and scored where its hash lives and no pair crosses the network once per occurrence.
 Counts of heavy words (at least one in ``heavy`` tokens, so at most ``heavy`` of them) travel with the tasks, and pairs
-name them by two-byte codes; the other words' terms meet their counts in a second set of buckets, where no word has more than N / heavy occurrences.
+name them by small codes; the other words' terms meet their counts in a second set of buckets, where no word has more than N / heavy occurrences.
 
 Defined results: null, empty and white texts have no token, log_score 0 and a null mean; repeated rows each count and
 each have a row; rows with a null id count in the corpus and come back with a null id. At a null id, rows are summed.
@@ -16,14 +16,16 @@ each have a row; rows with a null id count in the corpus and come back with a nu
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import checkpoint_dir, cut
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,32 +82,32 @@ def word_counts(docs: DataFrame, run_tokens: int = 1_000_000) -> DataFrame:
 
 
 #: Code of a word that is not among the heavy ones.
-LIGHT = 0xFFFF
+LIGHT = 0xFFFFF
 
 
 def _codes(h: np.ndarray, heavy_h: np.ndarray) -> np.ndarray:
     """Places of words in the sorted heavy ones, LIGHT for the others."""
     if not len(heavy_h):
-        return np.full(len(h), LIGHT, "<u2")
+        return np.full(len(h), LIGHT, np.int64)
     at = np.minimum(np.searchsorted(heavy_h, h), len(heavy_h) - 1)
-    return np.where(heavy_h[at] == h, at, LIGHT).astype("<u2")
+    return np.where(heavy_h[at] == h, at, LIGHT)
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Whole numbers in the fewest bytes that hold the largest; the reader knows how many there are."""
-    most = int(x.max(initial=0))
-    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits, compressed byte plane by byte plane."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64)
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _pairs(docs: DataFrame, buckets: int, run_tokens: int, heavy_h: np.ndarray) -> DataFrame:
     """(bucket, codes, light, times, docs, keys): distinct pairs of a run of documents in one bucket.
 
-    ``codes`` holds the codes of all first words, then of all second ones; hashes of those that are LIGHT follow in
-    ``light``. Of each pair, ``times`` gives its occurrences, each of which has a place of ``keys`` in ``docs``.
+    ``codes`` holds the steps between the rising codes of all first words, then the codes of all second ones; hashes of
+    those that are LIGHT follow in ``light``. Of each pair, ``times`` gives its occurrences, each of which has a place of ``keys`` in ``docs``.
     """
 
     def run(batches):
@@ -114,11 +116,12 @@ def _pairs(docs: DataFrame, buckets: int, run_tokens: int, heavy_h: np.ndarray)
             doc = np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
             at = np.flatnonzero(doc[1:] == doc[:-1])
             p = pair_hash(h[at], h[at + 1])
-            order = np.argsort(p)
-            p, at = p[order], at[order]
+            bucket = ((p >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            # pairs that agree in all of this key may come apart into more than one entry, which does no harm
+            order = np.argsort((bucket << np.uint64(40)) | (code[at].astype(np.uint64) << np.uint64(20)) | (p & np.uint64(0xFFFFF)))
+            p, at, bucket = p[order], at[order], bucket[order]
             new = np.flatnonzero(np.r_[True, p[1:] != p[:-1]][: len(p)])
-            times, first = np.diff(np.r_[new, len(p)]), at[new]
-            bucket = (((p[new] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)  # rises with p
+            times, first, bucket = np.diff(np.r_[new, len(p)]), at[new], bucket[new].astype(np.int64)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cuts)):
                 own = slice(cuts[k], cuts[k + 1])
@@ -126,7 +129,9 @@ def _pairs(docs: DataFrame, buckets: int, run_tokens: int, heavy_h: np.ndarray)
                 words = np.concatenate([first[own], first[own] + 1])
                 codes = code[words]
                 held, where = np.unique(doc[at[lo:hi]], return_inverse=True)
-                binary = [pa.array([x], pa.binary()) for x in (codes.tobytes(), h[words[codes == LIGHT]].tobytes(), _narrow(times[own]), _narrow(where))]
+                n = len(codes) // 2
+                steps = np.r_[np.diff(codes[:n], prepend=0), codes[n:]]
+                binary = [pa.array([x], pa.binary()) for x in (_pack(steps), h[words[codes == LIGHT]].tobytes(), _pack(times[own]), _pack(where))]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *binary, pa.array([keys[held]], pa.list_(pa.int64()))], names=["bucket", "codes", "light", "times", "docs", "keys"])
 
     return docs.mapInArrow(run, "bucket int, codes binary, light binary, times binary, docs binary, keys array<long>")
@@ -134,7 +139,8 @@ def _pairs(docs: DataFrame, buckets: int, run_tokens: int, heavy_h: np.ndarray)
 
 def _words(block, heavy_h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes and hashes of the words of one row of :func:`_pairs`, first words first."""
-    codes = np.frombuffer(block.codes, "<u2")
+    codes = _unpack(block.codes)
+    codes[: len(codes) // 2] = np.cumsum(codes[: len(codes) // 2])
     light, h = codes == LIGHT, np.empty(len(codes), np.int64)
     h[~light], h[light] = heavy_h[codes[~light]], np.frombuffer(block.light, "<i8")
     return codes, h
@@ -145,14 +151,16 @@ def _sum_by(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return u, np.bincount(at, value, len(u))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2, heavy: int = 60_000, bucket_chars: int = 8_000_000, run_tokens: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2, heavy: int = 500_000, bucket_chars: int = 8_000_000, run_tokens: int = 1_000_000) -> DataFrame:
     """(id, n_tokens, log_score, mean_log_score) of every document under counts from all of them."""
     if not 0 < heavy < LIGHT:
-        raise ValueError("heavy must be 1 to 65,534")
+        raise ValueError("heavy must be 1 to 1,048,574")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-chars // bucket_chars))
-    counts = cut(word_counts(rows.select(F.lit(0).cast("long"), "text"), run_tokens))
+    folder = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/word-counts-{uuid.uuid4().hex}"
+    word_counts(rows.select(F.lit(0).cast("long"), "text"), run_tokens).write.parquet(folder)
+    counts = docs.sparkSession.read.schema("h long, c long").parquet(folder)
     total = counts.agg(F.sum("c")).first()[0] or 0
     often = {r["h"]: r["c"] for r in counts.filter(F.col("c") * heavy >= F.lit(total)).collect()}  # at most ``heavy`` words
     heavy_h = np.array(sorted(often), np.int64)
@@ -174,7 +182,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
         halves = [[x.reshape(2, -1) for x in _words(b, heavy_h)] for b in blocks]
         code, h = (np.concatenate([x[i] for x in halves], 1) for i in (0, 1))
         cuts = np.cumsum([0, *[x[0].shape[1] for x in halves]])
-        times = np.concatenate([_wide(b.times, n) for b, n in zip(blocks, np.diff(cuts))])
+        times = np.concatenate([_unpack(b.times) for b in blocks])
         kinds, at = np.unique(pair_hash(*h.view(np.uint64)), return_inverse=True)
         c = np.bincount(at, times, len(kinds))[at]
         keep = c >= min_count
@@ -185,7 +193,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
         ids, sums, light = [], [], []
         for b, lo, hi in zip(blocks, cuts, cuts[1:]):
             entry = np.repeat(np.arange(lo, hi), times[lo:hi])
-            doc, keys = _wide(b.docs, len(entry)), np.asarray(b.keys)
+            doc, keys = _unpack(b.docs), np.asarray(b.keys)
             ids.append(keys)
             sums.append(np.bincount(doc, known[entry], len(keys)))
             rest = ~is_heavy[entry]
@@ -194,7 +202,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
         lw, ls, ld = (np.concatenate(x) for x in zip(*light))
         order = np.lexsort((ld, lw, (lw.view(np.uint64) % np.uint64(buckets))))
         lw, ls, ld = lw[order], ls[order], ld[order]
-        made = [{"bucket": -1, "word": [], "n": [], "sign": [], "docs": ids, "sums": sums}]
+        made = [{"bucket": int(blocks[0].bucket), "word": [], "n": [], "sign": [], "docs": ids, "sums": sums}]
         if len(lw):
             new = np.flatnonzero(np.r_[True, (lw[1:] != lw[:-1]) | (ld[1:] != ld[:-1])])
             sums_ = np.add.reduceat(ls, new)
@@ -206,7 +214,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
                 made.append({"bucket": int(k), "word": lw[lo:hi][first], "n": np.diff(np.r_[first, hi - lo]).astype(np.int32), "sign": sums_[lo:hi].astype(np.int32), "docs": ld[lo:hi], "sums": []})
         return pd.DataFrame(made)
 
-    scored = cut(_pairs(rows.filter("id is not null"), buckets, run_tokens, heavy_h).groupBy("bucket").applyInPandas(pairs, "bucket int, word array<long>, n array<int>, sign array<int>, docs array<long>, sums array<double>"))
+    scored = _pairs(rows.filter("id is not null"), buckets, run_tokens, heavy_h).groupBy("bucket").applyInPandas(pairs, "bucket int, word array<long>, n array<int>, sign array<int>, docs array<long>, sums array<double>")
 
     # first tokens, and tokens a document: their words' terms meet the counts with the light words of the pairs
     def firsts(batches):
@@ -219,8 +227,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
 
     heads = cut(rows.filter("id is not null").mapInArrow(firsts, "id long, s double, n long, w long, light boolean"))
     bucket_of = lambda h: F.pmod(F.pmod(F.shiftrightunsigned(h, 1), F.lit(buckets)) * 2 + h.bitwiseAND(1), F.lit(buckets)).cast("int")  # noqa: E731  unsigned h % buckets
-    pieces = scored.filter("bucket >= 0").select("bucket", "word", "n", "sign", "docs")
-    head_pieces = heads.filter("light").select(bucket_of(F.col("w")).alias("bucket"), F.array("w").alias("word"), F.array(F.lit(1)).alias("n"), F.array(F.lit(1)).alias("sign"), F.array("id").alias("docs"))
+    head_pieces = heads.filter("light").select(bucket_of(F.col("w")).alias("bucket"), F.array("w").alias("word"), F.array(F.lit(1)).alias("n"), F.array(F.lit(1)).alias("sign"), F.array("id").alias("docs"), F.array().cast("array<double>").alias("sums"))
     table = counts.select(bucket_of(F.col("h")).alias("bucket"), "h", "c")
 
     def words(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -229,14 +236,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
         h, c = right["h"].to_numpy(), right["c"].to_numpy()
         order = np.argsort(h)
         h, ln = h[order], np.log(c[order])
-        word, n = np.concatenate(left["word"].to_list()), np.concatenate(left["n"].to_list())
-        value = np.repeat(ln[np.searchsorted(h, word)], n) * np.concatenate(left["sign"].to_list())
-        ids, sums = _sum_by(np.concatenate(left["docs"].to_list()), value)
+        done = left["sums"].map(len) > 0  # what the pairs' buckets have summed passes through
+        ids, sums = [np.concatenate(left.loc[done, "docs"].to_list())] if done.any() else [], left.loc[done, "sums"].to_list()
+        if not done.all():
+            word, n, sign, docs_ = (np.concatenate(left.loc[~done, c].to_list()) for c in ("word", "n", "sign", "docs"))
+            ids.append(docs_)
+            sums.append(np.repeat(ln[np.searchsorted(h, word)], n) * sign)
+        ids, sums = _sum_by(np.concatenate(ids), np.concatenate(sums))
         return pd.DataFrame({"id": ids, "s": sums})
 
-    light = pieces.unionByName(head_pieces).groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(words, "id long, s double")
-    pair_sums = scored.filter("bucket < 0").select(F.explode(F.arrays_zip("docs", "sums")).alias("x")).select(F.col("x.docs").alias("id"), F.col("x.sums").alias("s"))
-    sums = light.unionByName(pair_sums).unionByName(heads.select("id", "s")).groupBy("id").agg(F.sum("s").alias("s"))
+    light = scored.unionByName(head_pieces).groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(words, "id long, s double")
+    sums = light.unionByName(heads.select("id", "s")).groupBy("id").agg(F.sum("s").alias("s"))
     sizes = heads.groupBy("id").agg(F.sum("n").alias("n"))
     out = rows.select("id").join(sums, "id", "left").join(sizes, "id", "left")
     log_score = F.coalesce("s", F.lit(0.0))
