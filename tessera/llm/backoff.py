@@ -176,6 +176,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
         return is_heavy, ln
 
     floor = math.log(alpha) - math.log(max(total, 1))
+    parts = max(8, buckets // 2)  # documents meet their sums in this many parts, one row for each bucket and part
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         blocks = list(pdf.itertuples(index=False))
@@ -232,7 +233,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
 
     def words(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "s": np.zeros(0)})
+            return pd.DataFrame({"part": [], "ids": [], "sums": []})
         h, c = right["h"].to_numpy(), right["c"].to_numpy()
         order = np.argsort(h)
         h, ln = h[order], np.log(c[order])
@@ -243,9 +244,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
             ids.append(docs_)
             sums.append(np.repeat(ln[np.searchsorted(h, word)], n) * sign)
         ids, sums = _sum_by(np.concatenate(ids), np.concatenate(sums))
+        part = (pair_hash(ids.view(np.uint64), ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        held, starts = np.unique(part[order], return_index=True)
+        return pd.DataFrame({"part": held, "ids": np.split(ids[order], starts[1:]), "sums": np.split(sums[order], starts[1:])})
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, sums = _sum_by(np.concatenate(pdf["ids"].to_list()), np.concatenate(pdf["sums"].to_list()))
         return pd.DataFrame({"id": ids, "s": sums})
 
-    light = scored.unionByName(head_pieces).groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(words, "id long, s double")
+    light = scored.unionByName(head_pieces).groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(words, "part long, ids array<long>, sums array<double>")
+    light = light.groupBy("part").applyInPandas(totals, "id long, s double")
     sums = light.unionByName(heads.select("id", "s")).groupBy("id").agg(F.sum("s").alias("s"))
     sizes = heads.groupBy("id").agg(F.sum("n").alias("n"))
     out = rows.select("id").join(sums, "id", "left").join(sizes, "id", "left")
