@@ -159,6 +159,23 @@ def test_embedding_links(spark):
     assert {r.vec_id: tuple(r)[1:] for r in nndescent.near_duplicates(df).collect()} == want
 
 
+def test_embedding_links_of_a_large_label(spark):
+    """Isolated pairs just above the threshold, few among many thousand vectors and a hot class, all keep their link."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(18_000, 64))
+    v[:700] = v[0] + 0.1 * rng.normal(size=(700, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    for i in range(1_000, 1_160, 2):
+        away = v[i + 1] - v[i] * (v[i] @ v[i + 1])
+        v[i + 1] = 0.935 * v[i] + (1 - 0.935**2) ** 0.5 * away / np.linalg.norm(away)
+    n = np.concatenate([(v[a : a + 1000] @ v.T >= 0.93).sum(1) - 1 for a in range(0, len(v), 1000)])
+    order = rng.permutation(len(v))
+    df = spark.createDataFrame([(int(i), v[i].tolist(), 0) for i in order], "vec_id long, embedding array<double>, label int").repartition(8)
+    got = {r.vec_id: r for r in nndescent.near_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(len(v))] == n.tolist()
+    assert all(got[i].component_id == i - i % 2 for i in range(1_000, 1_160)) and all(got[i].component_id == 0 for i in range(700))
+
+
 def test_backoff(spark, docs):
     tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", x or "") for i, x in enumerate(texts())}
     one, two = {}, {}
