@@ -10,7 +10,8 @@ Counts of heavy words (at least one in ``heavy`` tokens, so at most ``heavy`` of
 name them by small codes; the other words' terms meet their counts in a second set of buckets, where no word has more than N / heavy occurrences.
 
 Defined results: null, empty and white texts have no token, log_score 0 and a null mean; repeated rows each count and
-each have a row; rows with a null id count in the corpus and come back with a null id. At a null id, rows are summed.
+each have a row, with the sums of all rows of their id. Rows with a null id count in the corpus, words and pairs alike;
+they come back with a null id and, as in the SQL twin, with the results of an empty text.
 """
 
 from __future__ import annotations
@@ -108,13 +109,16 @@ def _pairs(docs: DataFrame, buckets: int, run_tokens: int, heavy_h: np.ndarray)
 
     ``codes`` holds the steps between the rising codes of all first words, then the codes of all second ones; hashes of
     those that are LIGHT follow in ``light``. Of each pair, ``times`` gives its occurrences, each of which has a place of ``keys`` in ``docs``.
+    Occurrences in rows without a key have the place behind the last.
     """
 
     def run(batches):
         for keys, sizes, h in _runs(batches, run_tokens):
-            keys, code = np.array(keys, np.int64), _codes(h.view(np.int64), heavy_h)
+            place = np.array([len(keys) if key is None else i for i, key in enumerate(keys)], np.int32)
+            keys, code = np.array([key or 0 for key in keys], np.int64), _codes(h.view(np.int64), heavy_h)
             doc = np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
             at = np.flatnonzero(doc[1:] == doc[:-1])
+            doc = place[doc]
             p = pair_hash(h[at], h[at + 1])
             bucket = ((p >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             # pairs that agree in all of this key may come apart into more than one entry, which does no harm
@@ -129,6 +133,7 @@ def _pairs(docs: DataFrame, buckets: int, run_tokens: int, heavy_h: np.ndarray)
                 words = np.concatenate([first[own], first[own] + 1])
                 codes = code[words]
                 held, where = np.unique(doc[at[lo:hi]], return_inverse=True)
+                held = held[held < len(keys)]
                 n = len(codes) // 2
                 steps = np.r_[np.diff(codes[:n], prepend=0), codes[n:]]
                 binary = [pa.array([x], pa.binary()) for x in (_pack(steps), h[words[codes == LIGHT]].tobytes(), _pack(times[own]), _pack(where))]
@@ -194,16 +199,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
         ids, sums, light = [], [], []
         for b, lo, hi in zip(blocks, cuts, cuts[1:]):
             entry = np.repeat(np.arange(lo, hi), times[lo:hi])
-            doc, keys = _unpack(b.docs), np.asarray(b.keys)
+            doc, keys = _unpack(b.docs), np.asarray(b.keys, np.int64)
             ids.append(keys)
-            sums.append(np.bincount(doc, known[entry], len(keys)))
-            rest = ~is_heavy[entry]
+            sums.append(np.bincount(doc, known[entry], len(keys) + 1)[: len(keys)])
+            rest = ~is_heavy[entry] & (doc < len(keys))
             light.append((word[entry[rest]], sign[entry[rest]], keys[doc[rest]]))
         ids, sums = _sum_by(np.concatenate(ids), np.concatenate(sums))
         lw, ls, ld = (np.concatenate(x) for x in zip(*light))
         order = np.lexsort((ld, lw, (lw.view(np.uint64) % np.uint64(buckets))))
         lw, ls, ld = lw[order], ls[order], ld[order]
-        made = [{"bucket": int(blocks[0].bucket), "word": [], "n": [], "sign": [], "docs": ids, "sums": sums}]
+        made = [{"bucket": int(blocks[0].bucket), "word": [], "n": [], "sign": [], "docs": ids, "sums": sums}] if len(ids) else []
         if len(lw):
             new = np.flatnonzero(np.r_[True, (lw[1:] != lw[:-1]) | (ld[1:] != ld[:-1])])
             sums_ = np.add.reduceat(ls, new)
@@ -213,9 +218,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
             for k, lo, hi in zip(*(lambda ks: (ks, np.searchsorted(where, ks), np.searchsorted(where, ks, "right")))(np.unique(where))):
                 first = np.flatnonzero(np.r_[True, lw[lo + 1 : hi] != lw[lo : hi - 1]])
                 made.append({"bucket": int(k), "word": lw[lo:hi][first], "n": np.diff(np.r_[first, hi - lo]).astype(np.int32), "sign": sums_[lo:hi].astype(np.int32), "docs": ld[lo:hi], "sums": []})
-        return pd.DataFrame(made)
+        return pd.DataFrame(made, columns=["bucket", "word", "n", "sign", "docs", "sums"], dtype=None if made else object)
 
-    scored = _pairs(rows.filter("id is not null"), buckets, run_tokens, heavy_h).groupBy("bucket").applyInPandas(pairs, "bucket int, word array<long>, n array<int>, sign array<int>, docs array<long>, sums array<double>")
+    scored = _pairs(rows, buckets, run_tokens, heavy_h).groupBy("bucket").applyInPandas(pairs, "bucket int, word array<long>, n array<int>, sign array<int>, docs array<long>, sums array<double>")
 
     # first tokens, and tokens a document: their words' terms meet the counts with the light words of the pairs
     def firsts(batches):
@@ -233,7 +238,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
 
     def words(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame({"part": [], "ids": [], "sums": []})
+            return pd.DataFrame({"part": [], "ids": [], "sums": []}, dtype=object)
         h, c = right["h"].to_numpy(), right["c"].to_numpy()
         order = np.argsort(h)
         h, ln = h[order], np.log(c[order])

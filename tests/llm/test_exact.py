@@ -194,6 +194,22 @@ def test_backoff(spark, docs):
         assert rows[i].n_tokens == len(w) and rows[i].log_score == pytest.approx(float(s), abs=1e-6)
 
 
+def test_backoff_counts_pairs_of_null_ids(spark):
+    made = [(1, "a b c"), (None, "a b"), (None, "c d"), (2, "c d a"), (None, "b"), (None, None), (3, "d d"), (0, "b c")]
+    words = [(i, (x or "").split()) for i, x in made]
+    one = [a for _, w in words for a in w]
+    two = [p for _, w in words for p in zip(w, w[1:])]
+    df = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    for heavy in (1, 20):
+        rows = backoff.score(df, heavy=heavy).collect()
+        assert sorted((r.n_tokens, r.log_score, r.mean_log_score) for r in rows if r.doc_id is None) == [(0, 0.0, None)] * 4
+        for i, w in words:
+            if i is not None:
+                s = np.log(one.count(w[0]) / len(one)) + sum(np.log(two.count((u, x)) / one.count(u)) if two.count((u, x)) >= 2 else np.log(0.4 * one.count(x) / len(one)) for u, x in zip(w, w[1:]))
+                assert [(r.n_tokens, r.log_score) for r in rows if r.doc_id == i] == [(len(w), pytest.approx(float(s), abs=1e-6))]
+    assert {r.log_score for r in backoff.score(df.filter("doc_id is null")).collect()} == {0.0}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     vec = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
