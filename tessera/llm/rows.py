@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,3 +45,19 @@ def double(name: str) -> T.StructField:
 
 def long(name: str) -> T.StructField:
     return T.StructField(name, T.LongType())
+
+
+def matrices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, matrix) of the finite vectors of a list<double> column, one matrix for each vector length.
+
+    Vectors that are null, empty or hold a null or non-finite component are left out.
+    """
+    flat = pc.fill_null(column.flatten(), float("nan")).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    for dim in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == dim)
+        x = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
+        good = np.isfinite(x).all(1)
+        if good.any():
+            yield dim, at[good], x[good]

@@ -146,6 +146,28 @@ def test_topk(spark):
     assert {tuple(r) for r in topk.top_k(df, block_rows=32, query_rows=4).collect()} == want
 
 
+def test_topk_of_huge_components_and_zero_vectors(spark):
+    """Components whose squares, or whose scaled values, are beyond a double; ties of clamped and of zero products."""
+    big = [[1e160, 1.0], [-1e160, 2.0], [1e307, 1.0], [3e9, 3e9], [-3e9, 1.0], [0.0, 0.0], [0.0, 0.0], [1.0, 2.0], [-2.0, 0.5], [1e30, -1e30]] * 4
+    rows = [(i, v) for i, v in enumerate(big)]
+    lim, top = np.iinfo(np.int64), float(np.finfo(float).max)
+    whole = {i: [int(min(top, max(-top, float(np.floor(64 * np.float64(x)))))) for x in v] for i, v in rows}
+    held = lambda a, b: max(lim.min, min(lim.max, sum(x * y for x, y in zip(a, b))))
+    want = {(q, r + 1, i, s) for q in whole if q % 4 == 0 for r, (s, i) in enumerate(sorted(((held(whole[q], v), i) for i, v in whole.items() if i != q), key=lambda p: (-p[0], p[1]))[:7])}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for size in (4, 100):
+        assert {tuple(r) for r in topk.top_k(df, k=7, query_every=4, block_rows=size, query_rows=2).collect()} == want
+
+
+def test_topk_floors_hold_rows_back():
+    """A cell returns at most k rows a query, and none that does not beat the floor, however many candidates tie."""
+    x = np.ones((5_000, 8))
+    q, ids = np.ones((3, 8)), np.arange(10, 5_010)
+    at, got, score = topk.search_cell(np.arange(3), q, np.full(3, np.iinfo(np.int64).min), np.full(3, np.iinfo(np.int64).max), ids, x, None, 20)
+    assert len(got) == 60 and set(got) == set(range(10, 30)) and set(score) == {8}
+    assert len(topk.search_cell(np.arange(3), q, np.full(3, 8), np.full(3, 9), ids, x, None, 20)[1]) == 0
+
+
 def test_embedding_links(spark):
     rows, df = vectors(spark)
     good = {i: (np.array(v) / np.linalg.norm(v), lab) for i, v, lab in rows if v and None not in v and np.isfinite(v).all() and np.any(v) and lab is not None}
