@@ -3,11 +3,15 @@
 Fitting counts, for every word and every word beginning, the labelled documents of each class that hold it, and
 turns the counts into log-odds under an informative Dirichlet prior. Scoring finds all maximal segments of a
 document's word scores in one linear scan (Ruzzo and Tompa), converts each sum to a normalised score
-``lambda * S - ln(K * n)`` of the extreme-value (Karlin-Altschul) law, and adds those above zero. A one-variable
-logistic fit on labelled documents that the word counts did not see maps that evidence to a probability.
-
-Defined results: a null or empty text has no segment and gets the score of no evidence; repeated rows are scored
-alike; a training set without both classes gives a constant score, the share of label 1 (0 when there is none).
+``lambda * S - ln(K * n)`` of the extreme-value (Karlin-Altschul) law, and adds those above zero. K comes from the best
+segments of clean documents. A one-variable logistic fit on labelled documents that the word counts did not see maps that
+evidence to a probability.
+
+Defined results: a null, empty or word-free text has no segment and gets the score of no evidence; repeated rows are
+scored alike, and rows with a null id are scored but not learnt from; rows that repeat an id are one document for the
+calibration, the one of most evidence; a label that repeats counts as its largest; a training set without both classes
+gives a constant score, the share of label 1 among the training labels (0 when there is none); an empty table gives an empty
+result; a column named like a new one is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -65,6 +69,12 @@ def maximal_segments(scores: list[tuple[int, int, float]]) -> list[tuple[int, in
     return [(a, b, right - left) for a, b, left, right, _ in kept]
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, character for character: those whose lower case is longer stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
 @dataclass
 class ToxicityModel:
     """Word log-odds, the cost of a neutral word, the extreme-value constants, and the two logistic weights."""
@@ -79,28 +89,28 @@ class ToxicityModel:
     def lookup(self) -> WordScores:
         return WordScores(self.scores)
 
-    def segments(self, text: str | None, lookup: WordScores) -> tuple[list[dict], float]:
-        """Significant segments as character spans, and the summed normalised score of the text."""
-        words = WORD.findall(text.lower()) if text else []
+    def sums(self, words: list[str], lookup: WordScores) -> list[tuple[int, int, float]]:
+        """All maximal segments (first word, word behind the last, sum) of a text's words."""
         hits = [(i, s) for i, s in enumerate(map(lookup.__getitem__, words)) if s > 0]
-        if not hits:
-            return [], 0.0
         spans, last = [], 0
         for i, s in hits:
             if i > last:
                 spans.append((last, i, -self.drift * (i - last)))
             spans.append((i, i + 1, s))
             last = i + 1
-        log_kn, found = self.log_k + math.log(len(words)), []
-        for a, b, s in maximal_segments(spans):
-            if (normal := self.lam * s - log_kn) > 0:
-                found.append((a, b, s, -normal))
+        return maximal_segments(spans)
+
+    def segments(self, text: str | None, lookup: WordScores) -> tuple[list[dict], float]:
+        """Significant segments as character spans, and the summed normalised score of the text."""
+        low = lowered(text) if text else ""
+        words = WORD.findall(low)
+        log_kn = self.log_k + math.log(max(1, len(words)))
+        found = [(a, b, s, log_kn - self.lam * s) for a, b, s in self.sums(words, lookup) if self.lam * s > log_kn]
         if not found:
             return [], 0.0
         want = {i for a, b, _, _ in found for i in (a, b - 1)}
-        at = {i: m.span() for i, m in enumerate(WORD.finditer(text)) if i in want} if len(text.lower()) == len(text) else {}
-        size = (len(text), len(text))
-        named = [{"start": at.get(a, (0, 0))[0], "end": at.get(b - 1, size)[1], "score": s, "log_e": e} for a, b, s, e in found]
+        at = {i: m.span() for i, m in enumerate(WORD.finditer(low)) if i in want}
+        named = [{"start": at[a][0], "end": at[b - 1][1], "score": s, "log_e": e} for a, b, s, e in found]
         return named, sum(-e for _, _, _, e in found)
 
     def probability(self, evidence: float) -> float:
@@ -138,7 +148,7 @@ def _counts(train: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[label].update(features(WORD.findall(text.lower())))
+                sums[label].update(features(WORD.findall(lowered(text))))
                 if len(sums[0]) + len(sums[1]) > 400_000:
                     yield flush()
         yield flush()
@@ -149,11 +159,11 @@ def _counts(train: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_by: int = 5, held_rest: int = 0, z_min: float = 3.5, prior: float = 0.5, prior_mass: float = 1000.0, drift: float = 0.5, max_tokens: int = 200_000, calibration_rows: int = 20_000) -> ToxicityModel:
     """Fit on labelled rows whose remainder differs from ``held_rest``.
 
-    Counts cover all of them but the last remainder, whose rows (at most ``calibration_rows``, in crc32 order)
-    calibrate. The model keeps the ``max_tokens`` features of largest z, ties by name.
+    Counts cover all of them but those of the remainder before it, of which ``calibration_rows`` documents, in crc32
+    order, calibrate. The model keeps the ``max_tokens`` features of largest z, ties by name.
     """
-    lab = labels.filter(f"{label_col} in (0, 1)").groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
     rest = remainder(id_col, held_by)
+    lab = labels.filter(f"{label_col} in (0, 1)").filter(rest != held_rest).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
     rows = docs.select(id_col, text_col).filter(rest != held_rest).filter(F.length(text_col) > 0)
     rows = rows.join(broadcast_if_small(lab), id_col).withColumn("__rest", rest)
     calibrate_on = (held_rest - 1) % held_by
@@ -182,28 +192,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         value = float((p * np.exp(mid * s)).sum() + (1 - p.sum()) * math.exp(-mid * drift))
         low, high = (mid, high) if value < 1 else (low, mid)
     model.lam = max(low, 1e-3)
-    sample = rows.filter(F.col("__rest") == calibrate_on).orderBy(F.crc32(F.col(id_col).cast("string")), id_col).limit(calibration_rows)
-    _calibrate(model, sample.select(text_col, "__label"))
+    # the sample is chosen by id alone; its texts are read and scored where they lie
+    ids = lab.filter(rest == calibrate_on).orderBy(F.crc32(F.col(id_col).cast("string")), id_col).limit(calibration_rows)
+    _calibrate(model, docs.select(id_col, text_col).join(F.broadcast(ids), id_col), id_col, text_col)  # at most calibration_rows ids
     return model
 
 
-def _calibrate(model: ToxicityModel, sample: DataFrame) -> None:
-    """Set K from clean documents' best segments, then the logistic weights from the evidence of all."""
+def _calibrate(model: ToxicityModel, sample: DataFrame, id_col: str, text_col: str) -> None:
+    """Set K from clean documents' best segments, then the logistic weights from the evidence of all.
 
-    def best(batches):
+    K is the likeliest of the law P(best < s) = exp(-K n e^(-lambda s)), where documents without a segment are known to
+    have a best one below zero only: the number of clean documents with a segment over the sum of n e^(-lambda s).
+    """
+
+    def run(batches):
         lookup = model.lookup()
         for batch in batches:
-            made = []
-            for text in batch.column(0).to_pylist():
-                words = WORD.findall(text.lower())
-                hits = [(i, i + 1, s) for i, s in enumerate(map(lookup.__getitem__, words)) if s > 0]
-                made.append((max((s for _, _, s in hits), default=0.0), max(1, len(words))))
-            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in made], pa.float64()), pa.array([n for _, n in made], pa.int64()), batch.column(1)], names=["most", "n", "label"])
-
-    clean = cut(sample).filter("__label = 0").mapInArrow(best, "most double, n long, label int")
-    mean = clean.agg(F.avg(F.lit(model.lam) * F.col("most") - F.log("n"))).first()[0]
-    model.log_k = min(0.0, (mean if mean is not None else 0.0) - 0.5772156649)
-    rows = score(sample, model, sample.columns[0]).select("evidence", "__label").collect()  # at most calibration_rows
+            words = [WORD.findall(lowered(t)) if t else [] for t in batch.column(0).to_pylist()]
+            sums = [[s for _, _, s in model.sums(w, lookup)] for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.list_(pa.float64())), pa.array([max(1, len(w)) for w in words], pa.int64()), batch.column(1), batch.column(2)], names=["sums", "n", "label", "id"])
+
+    kind = sample.schema[id_col].dataType.simpleString()
+    found = cut(sample.select(text_col, "__label", id_col).mapInArrow(run, f"sums array<double>, n long, label int, id {kind}"))
+    best = F.coalesce(F.array_max("sums"), F.lit(0.0))
+    held, mass = found.filter("label = 0").agg(F.count(F.when(F.size("sums") > 0, 1)), F.sum(F.col("n") * F.exp(-F.lit(model.lam) * best))).first()
+    model.log_k = math.log(max(held, 0.5) / mass) if mass else 0.0
+    normal = F.transform("sums", lambda s: F.greatest(F.lit(0.0), F.lit(model.lam) * s - F.lit(model.log_k) - F.log("n")))
+    evidence = F.aggregate(normal, F.lit(0.0), lambda total, x: total + x)
+    rows = found.groupBy("id").agg(F.max(evidence).alias("evidence"), F.max("label").alias("label")).select("evidence", "label").collect()  # at most calibration_rows
     if not rows:
         model.bias, model.slope = -2.0, 1.0
         return
