@@ -53,7 +53,7 @@ def test_defined_results(spark):
     assert len(rows) == 5 and all(0 <= r.score <= 1 and r.segments == [] for r in rows.values())
     rows = quality.score(docs, quality.fit(docs, none)).collect()
     assert len(rows) == 5 and all(r.score == pytest.approx(0.5) for r in rows)
-    made = langid.predict(docs, {}).collect()
+    made = langid.predict(docs, langid.LanguageModel()).collect()
     assert {r.lang_pred for r in made} == {"und"} and len(made) == 5
 
 
