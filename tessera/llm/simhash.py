@@ -8,8 +8,13 @@ must pass the Manhattan bound, then the exact Hamming distance. Only distinct fi
 more than ``tile`` fingerprints is compared tile by tile in separate groups, and each group reports a spanning forest
 of its links, so no cell of any size is collected whole or expanded into all pairs.
 
+:func:`keep_first` serves a filtering stage, by five-word shingles and a Jaccard similarity of 0.8: fingerprints so wide
+apart have no selective grid, so texts meet in passages they share instead, pass by the same bounds, and are then compared by
+their whole shingle sets.
+
 Defined results: null, empty and word-free texts have fingerprint zero and link like any other; rows with a null id
-keep their fingerprint, link nothing and have a null component.
+keep their fingerprint, link nothing and have a null component; repeated rows each have a row; texts that share an id link
+by what each of them is; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +24,12 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.rows import append, long
 from tessera.operators.components import connected_components
-from tessera.session import cut, without_columns
+from tessera.session import broadcast_if_small, cut, without_columns
 
 SEED, SHINGLE, BLOCKS = 42, 3, 6
 #: The segments (two bits each, lowest bits first) of every block.
@@ -153,9 +158,170 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """One document of each class, the one of smallest id; repeats of a row count once. Rows without an id stay."""
-    kept = near_duplicates(docs, id_col, text_col, distance).filter(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    base = without_columns(docs, ["__none"])
-    named = base.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*base.columns).unionByName(base.filter(F.col(id_col).isNull()))
+def _cut_at(h: np.ndarray, every: int) -> np.ndarray:
+    """Passages of a shingle sequence as hashes; one ends behind every shingle whose hash is divisible by ``every``."""
+    if not len(h):
+        return np.zeros(1, np.int64)
+    ends = np.flatnonzero(h % np.uint64(every) == 0) + 1
+    starts = np.r_[0, ends[ends < len(h)]]
+    place = np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))
+    mixed = (h ^ (h >> np.uint64(29))) * (2 * place.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(np.add.reduceat(mixed, starts)).view(np.int64)
+
+
+def _shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    import xxhash
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64)
+
+
+def _bits(h: np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingle hashes."""
+    if not len(h):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65_536):
+        ones += np.unpackbits(h[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+def sketches(rows: DataFrame, shingle: int, every: int) -> DataFrame:
+    """(id, k0, k1, n, f0, f1, cells) of rows (id, k0, k1, text): distinct shingles, two fingerprints, passage hashes."""
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for text in batch.column(3).to_pylist():
+                h = _shingle_hashes(text, shingle)
+                once = np.unique(h)
+                with np.errstate(over="ignore"):
+                    other = (once ^ (once >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+                made.append((len(once), _bits(once), _bits(other ^ (other >> np.uint64(28))), _cut_at(h, every)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *[pa.array([m[i] for m in made], pa.int64()) for i in range(3)], pa.array([m[3] for m in made], pa.list_(pa.int64()))], names=["id", "k0", "k1", "n", "f0", "f1", "cells"])
+
+    return rows.mapInArrow(run, "id long, k0 long, k1 long, n long, f0 long, f1 long, cells array<long>")
+
+
+def likely_links(texts: DataFrame, similarity: float, share: float = 0.25, tile: int = 2048, bucket_rows: int = 100_000) -> DataFrame:
+    """(src, dst) between nodes of ``texts`` (node, n, f0, f1, cells) that are likely to be as similar as asked.
+
+    Two texts meet in a passage they share, if it is not among the ``share`` of their own passages that most texts
+    hold: texts that have more than that share of their passages in common meet in another one. They meet only where
+    their numbers of shingles allow the similarity, and pass by the Manhattan bound, then the Hamming distance of both fingerprints, which
+    may differ in as many bits as the similarity makes likely and three standard deviations more. A group reports a
+    spanning forest of its links; one of more than ``tile`` texts is compared tile by tile.
+    """
+    angle = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    most = int(np.ceil(128 * angle + 3 * np.sqrt(128 * angle * (1 - angle))))
+    placed = texts.select("node", "n", "f0", "f1", F.size("cells").alias("m"), F.explode("cells").alias("cell"))
+    often = placed.groupBy("cell").agg(F.count("*").alias("often")).filter("often > 1")
+    shared = placed.join(often, "cell")
+    own = Window.partitionBy("node")
+    # passages that no other text holds are the rarest; they have no row here
+    rank = F.row_number().over(own.orderBy("often", "cell")) + F.col("m") - F.count("*").over(own)
+    rare = shared.withColumn("at", rank).filter(F.col("at") <= F.ceil(F.col("m") * (1 - share)))
+    step = F.floor(F.log(F.greatest("n", F.lit(1))) / float(-np.log(similarity))).cast("int")
+    tiles = F.ceil(F.col("often") / F.lit(tile)).cast("int")
+    rows = rare.withColumn("size", step).withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node"), tiles).cast("int"))
+    spread = rows.withColumn("step", F.explode(F.array(F.col("size"), F.col("size") - 1))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    spread = spread.select("cell", "step", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "own", "size", "node", "n", "f0", "f1")
+    group = F.xxhash64("cell", "step", "t1", "t2")
+    buckets = F.pmod(group, F.lit(max(32, 20 * texts.count() // bucket_rows))).cast("int")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["g", "n"], kind="stable")
+        g, n, f0, f1, node, own_, t1, size, step_ = (pdf[c].to_numpy() for c in ("g", "n", "f0", "f1", "node", "own", "t1", "size", "step"))
+        c0, c1 = popcounts(f0), popcounts(f1)
+
+        def near(i, j):
+            close = manhattan(c0[i], c0[j]) + manhattan(c1[i], c1[j]) <= most
+            close &= np.bitwise_count((f0[i] ^ f0[j]).view(np.uint64)).astype(np.int16) + np.bitwise_count((f1[i] ^ f1[j]).view(np.uint64)) <= most
+            return close & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        sizes = np.diff(np.r_[starts, len(g)])
+        a = starts[sizes == 2]
+        a = a[near(a, a + 1)]
+        src, dst = node[a].tolist(), node[a + 1].tolist()
+        for at, k in zip(starts[sizes > 2], sizes[sizes > 2]):
+            parent, every = np.arange(k), np.arange(at, at + k)
+
+            def root(i):
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            for i in np.flatnonzero((own_[every] == t1[at]) & (size[every] == step_[at])):
+                mine = root(int(i))
+                rest = np.flatnonzero(parent != mine)
+                linked = rest[near(np.full(len(rest), at + i), at + rest)]
+                for j in linked:
+                    b = root(int(j))
+                    if b != mine:
+                        parent[b] = mine
+                        src.append(int(node[at + i])), dst.append(int(node[at + j]))
+                parent[linked] = mine
+        return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
+
+    return spread.withColumn("g", group).groupBy(buckets.alias("bucket")).applyInPandas(run, "src long, dst long").distinct()
+
+
+def dropped_texts(docs: DataFrame, texts: DataFrame, shingle: int, similarity: float, max_rounds: int = 100) -> DataFrame:
+    """(node) of texts to drop: each has a Jaccard similarity of at least ``similarity`` with a text that stays.
+
+    Links only name candidates. In every round the text of smallest id in each class stays, and all of the class are compared
+    with it by their whole shingle sets; those as similar go, the others meet the next text of the class.
+    """
+    roots = cut(connected_components(cut(likely_links(texts, similarity))))
+    left = cut(texts.join(broadcast_if_small(roots), "node").select("node", "id", "k0", "k1", F.col("component").alias("class")))
+
+    def sets(batches):
+        for batch in batches:
+            made = [np.unique(_shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    held = docs.join(broadcast_if_small(left.select("node", "id", "k0", "k1")), ["id", "k0", "k1"]).select("node", "text")
+    held = cut(held.mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    gone = None
+    for _ in range(max_rounds):
+        first = left.groupBy("class").agg(F.min(F.struct("id", "k0", "k1", "node")).alias("first"), F.count("*").alias("members")).filter("members > 1")
+        first = cut(first.select("class", F.col("first.node").alias("head")))
+        if first.isEmpty():
+            break
+        heads = first.join(held, F.col("head") == held["node"]).select("class", "head", F.col("shingles").alias("whole"))
+        pairs = left.join(held, "node").join(heads, "class").filter("node <> head")
+        both = F.size(F.array_intersect("shingles", "whole"))
+        told = cut(pairs.select("node", "id", "k0", "k1", "class", (both >= F.lit(similarity) * (F.size("shingles") + F.size("whole") - both)).alias("like")))
+        new = told.filter("like").select("node")
+        gone = new if gone is None else gone.unionByName(new)
+        left = told.filter("not like").drop("like")
+    else:
+        raise RuntimeError(f"classes not settled after {max_rounds} rounds")
+    return docs.sparkSession.createDataFrame([], "node long") if gone is None else gone
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, every: int = 10) -> DataFrame:
+    """``docs`` less copies and near copies: texts whose sets of ``shingle`` words have a Jaccard similarity of ``similarity``.
+
+    Of equal texts the row of smallest id stays, once; of texts as similar as asked the one of smallest id, and every
+    text that goes is that similar to one that stays. Texts without a word are equal to each other in this sense. Rows that share
+    an id but not the text are told apart. Rows with a null id stay. An empty table gives an empty result; extra columns stay.
+    """
+    key = [F.xxhash64(F.lit(i), F.col(text_col)) for i in (0, 1)]
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), key[0].alias("k0"), key[1].alias("k1"), F.col(text_col).alias("text"))
+    made = cut(sketches(rows, shingle, every))
+    rest = F.struct("id", "n", "f0", "f1", "cells")
+    texts = made.groupBy("k0", "k1").agg(F.min_by(rest, "id").alias("x")).select("k0", "k1", "x.*")
+    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
+    gone = dropped_texts(rows, texts, shingle, similarity)
+    stay = texts.join(gone, "node", "left_anti").select("id", "k0", "k1", F.lit(True).alias("stays"))
+    told = cut(made.groupBy("id", "k0", "k1").agg(F.count("*").alias("times")).join(stay, ["id", "k0", "k1"], "left"))
+    out = broadcast_if_small(told.filter("stays is null or times > 1").select(F.col("id").alias("__id"), F.col("k0").alias("__k0"), F.col("k1").alias("__k1"), F.coalesce("stays", F.lit(False)).alias("__once")))
+    base = without_columns(docs, ["__id", "__k0", "__k1", "__once"])
+    same = (F.col(id_col).cast("long") == F.col("__id")) & (key[0] == F.col("__k0")) & (key[1] == F.col("__k1"))
+    joined = base.join(out, same, "left")
+    once = joined.filter("__once").dropDuplicates(["__id", "__k0", "__k1"])
+    return joined.filter("__once is null").unionByName(once).select(*[F.col(f"`{c}`") for c in base.columns])
