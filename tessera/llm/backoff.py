@@ -2,16 +2,20 @@
 
 Tokens are the stretches of a text between ASCII white space. A pair of neighbours scores ln(c(u w) / c(u)) if the
 corpus holds it at least ``min_count`` times, else ln(alpha * c(w) / N); a document's first token scores ln(c(w) / N).
+The scored documents are the corpus: a pair counted once was seen in the scored text alone, so by default it counts as
+unseen. Without that cutoff no text would ever back off.
 
 Word counts are a table keyed by a 64-bit hash. Documents are exploded into pairs, which meet their counts in hash
 buckets: every task sends, for each bucket, the distinct pairs of a run of documents with the documents that hold them,
 so a pair is counted, joined and scored where its hash lives and no pair crosses the network once per occurrence.
 Counts of heavy words (at least one in ``heavy`` tokens, so at most ``heavy`` of them) travel with the tasks, and pairs
 name them by small codes; the other words' terms meet their counts in a second set of buckets, where no word has more than N / heavy occurrences.
+Hot pairs are counted over all documents before, and scored where the documents lie, so that none of them fills a bucket.
+Which pairs are hot, at most ``hot_pairs`` of them, a hash sample of the texts says; a pair it misses goes to its bucket as any other.
 
 Defined results: null, empty and white texts have no token, log_score 0 and a null mean; repeated rows each count and
-each have a row, with the sums of all rows of their id. Rows with a null id count in the corpus, words and pairs alike;
-they come back with a null id and, as in the SQL twin, with the results of an empty text.
+each have a row, with the results of its own text; so do rows that share an id or have none. Rows are told apart, and pairs
+named, by 64-bit hashes. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,15 +75,46 @@ def _runs(batches, run_tokens: int):
         yield keys, np.array([len(p) for p in parts]), np.concatenate(parts)
 
 
-def word_counts(docs: DataFrame, run_tokens: int = 1_000_000) -> DataFrame:
-    """(h, c): the unigram table."""
+def hot_pairs_of(docs: DataFrame, most: int, one_in: int, run_tokens: int) -> np.ndarray:
+    """(pair hash, first word, second word) of the commonest pairs in one in ``one_in`` texts, chosen by hash; sorted by pair."""
 
     def run(batches):
-        for _, _, h in _runs(batches, run_tokens):
+        for _, sizes, h in _runs(batches, run_tokens):
+            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            at = np.flatnonzero(doc[1:] == doc[:-1])
+            p, first, n = np.unique(pair_hash(h[at], h[at + 1]), return_index=True, return_counts=True)
+            some = n >= 2
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[some].view(np.int64)) for x in (p, h[at][first], h[at + 1][first])], pa.array(n[some].astype(np.int64))], names=["p", "u", "w", "c"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(one_in)) == 0).select(F.lit(0).cast("long"), "text")
+    counts = sample.mapInArrow(run, "p long, u long, w long, c long").groupBy("p").agg(F.min("u").alias("u"), F.min("w").alias("w"), F.sum("c").alias("c"))
+    rows = counts.orderBy(F.desc("c"), "p").limit(most).select("p", "u", "w").collect()  # at most ``most``
+    made = np.array(rows, np.int64).reshape(-1, 3).view(np.uint64)
+    return made[np.argsort(made[:, 0])]
+
+
+def _places(p: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Place of each pair hash in the sorted ``hot`` ones, -1 for the others."""
+    if not len(hot):
+        return np.full(len(p), -1)
+    at = np.minimum(np.searchsorted(hot, p), len(hot) - 1)
+    return np.where(hot[at] == p, at, -1)
+
+
+def gram_counts(docs: DataFrame, hot: np.ndarray, run_tokens: int = 1_000_000) -> DataFrame:
+    """(pair, h, c): the unigram table (pair false) and the counts of the hot pairs (pair true), over all documents."""
+
+    def run(batches):
+        for _, sizes, h in _runs(batches, run_tokens):
+            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            at = np.flatnonzero(doc[1:] == doc[:-1])
+            place = _places(pair_hash(h[at], h[at + 1]), hot)
+            held = np.bincount(place[place >= 0], minlength=len(hot))
             u, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "c"])
+            keys = np.concatenate([u, hot[held > 0]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(keys)) >= len(u)), pa.array(keys), pa.array(np.r_[n, held[held > 0]].astype(np.int64))], names=["pair", "h", "c"])
 
-    return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "pair boolean, h long, c long").groupBy("pair", "h").agg(F.sum("c").alias("c"))
 
 
 #: Code of a word that is not among the heavy ones.
@@ -104,22 +139,21 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _pairs(docs: DataFrame, buckets: int, run_tokens: int, heavy_h: np.ndarray) -> DataFrame:
-    """(bucket, codes, light, times, docs, keys): distinct pairs of a run of documents in one bucket.
+def _pairs(docs: DataFrame, buckets: int, run_tokens: int, heavy_h: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """(bucket, codes, light, times, docs, keys): distinct pairs, hot ones left out, of a run of documents in one bucket.
 
     ``codes`` holds the steps between the rising codes of all first words, then the codes of all second ones; hashes of
     those that are LIGHT follow in ``light``. Of each pair, ``times`` gives its occurrences, each of which has a place of ``keys`` in ``docs``.
-    Occurrences in rows without a key have the place behind the last.
     """
 
     def run(batches):
         for keys, sizes, h in _runs(batches, run_tokens):
-            place = np.array([len(keys) if key is None else i for i, key in enumerate(keys)], np.int32)
-            keys, code = np.array([key or 0 for key in keys], np.int64), _codes(h.view(np.int64), heavy_h)
+            keys, code = np.array(keys, np.int64), _codes(h.view(np.int64), heavy_h)
             doc = np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
             at = np.flatnonzero(doc[1:] == doc[:-1])
-            doc = place[doc]
             p = pair_hash(h[at], h[at + 1])
+            cold = _places(p, hot) < 0
+            at, p = at[cold], p[cold]
             bucket = ((p >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             # pairs that agree in all of this key may come apart into more than one entry, which does no harm
             order = np.argsort((bucket << np.uint64(40)) | (code[at].astype(np.uint64) << np.uint64(20)) | (p & np.uint64(0xFFFFF)))
@@ -133,7 +167,6 @@ def _pairs(docs: DataFrame, buckets: int, run_tokens: int, heavy_h: np.ndarray)
                 words = np.concatenate([first[own], first[own] + 1])
                 codes = code[words]
                 held, where = np.unique(doc[at[lo:hi]], return_inverse=True)
-                held = held[held < len(keys)]
                 n = len(codes) // 2
                 steps = np.r_[np.diff(codes[:n], prepend=0), codes[n:]]
                 binary = [pa.array([x], pa.binary()) for x in (_pack(steps), h[words[codes == LIGHT]].tobytes(), _pack(times[own]), _pack(where))]
@@ -156,16 +189,20 @@ def _sum_by(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return u, np.bincount(at, value, len(u))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2, heavy: int = 500_000, bucket_chars: int = 8_000_000, run_tokens: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2, heavy: int = 500_000, bucket_chars: int = 8_000_000, run_tokens: int = 1_000_000, hot_pairs: int = 100_000, hot_sample: int = 64) -> DataFrame:
     """(id, n_tokens, log_score, mean_log_score) of every document under counts from all of them."""
     if not 0 < heavy < LIGHT:
         raise ValueError("heavy must be 1 to 1,048,574")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("own"), F.xxhash64(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    texts = rows.select("id", "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-chars // bucket_chars))
     folder = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/word-counts-{uuid.uuid4().hex}"
-    word_counts(rows.select(F.lit(0).cast("long"), "text"), run_tokens).write.parquet(folder)
-    counts = docs.sparkSession.read.schema("h long, c long").parquet(folder)
+    hot = hot_pairs_of(texts, hot_pairs, hot_sample, run_tokens)
+    hot_p = hot[:, 0].copy()
+    gram_counts(texts.select(F.lit(0).cast("long"), "text"), hot_p, run_tokens).write.parquet(folder)
+    grams = docs.sparkSession.read.schema("pair boolean, h long, c long").parquet(folder)
+    counts = grams.filter("not pair").select("h", "c")
     total = counts.agg(F.sum("c")).first()[0] or 0
     often = {r["h"]: r["c"] for r in counts.filter(F.col("c") * heavy >= F.lit(total)).collect()}  # at most ``heavy`` words
     heavy_h = np.array(sorted(often), np.int64)
@@ -181,6 +218,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
         return is_heavy, ln
 
     floor = math.log(alpha) - math.log(max(total, 1))
+    hot_s = np.zeros(len(hot))
+    if len(hot):  # the score of a hot pair is a constant
+        named = docs.sparkSession.createDataFrame(pd.DataFrame(hot.view(np.int64), columns=["p", "u", "w"]))  # at most hot_pairs rows
+        named = named.join(grams.filter("pair").select(F.col("h").alias("p"), "c"), "p")
+        named = named.join(counts.select(F.col("h").alias("u"), F.col("c").alias("cu")), "u").join(counts.select(F.col("h").alias("w"), F.col("c").alias("cw")), "w")
+        term = F.when(F.col("c") >= min_count, F.log("c") - F.log("cu")).otherwise(F.log("cw") + F.lit(floor))
+        scored_at = {r["p"]: r["s"] for r in named.select("p", term.alias("s")).collect()}
+        hot_s = np.array([scored_at[p] for p in hot_p.view(np.int64).tolist()])
     parts = max(8, buckets // 2)  # documents meet their sums in this many parts, one row for each bucket and part
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -201,8 +246,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
             entry = np.repeat(np.arange(lo, hi), times[lo:hi])
             doc, keys = _unpack(b.docs), np.asarray(b.keys, np.int64)
             ids.append(keys)
-            sums.append(np.bincount(doc, known[entry], len(keys) + 1)[: len(keys)])
-            rest = ~is_heavy[entry] & (doc < len(keys))
+            sums.append(np.bincount(doc, known[entry], len(keys)))
+            rest = ~is_heavy[entry]
             light.append((word[entry[rest]], sign[entry[rest]], keys[doc[rest]]))
         ids, sums = _sum_by(np.concatenate(ids), np.concatenate(sums))
         lw, ls, ld = (np.concatenate(x) for x in zip(*light))
@@ -220,25 +265,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
                 made.append({"bucket": int(k), "word": lw[lo:hi][first], "n": np.diff(np.r_[first, hi - lo]).astype(np.int32), "sign": sums_[lo:hi].astype(np.int32), "docs": ld[lo:hi], "sums": []})
         return pd.DataFrame(made, columns=["bucket", "word", "n", "sign", "docs", "sums"], dtype=None if made else object)
 
-    scored = _pairs(rows, buckets, run_tokens, heavy_h).groupBy("bucket").applyInPandas(pairs, "bucket int, word array<long>, n array<int>, sign array<int>, docs array<long>, sums array<double>")
+    scored = _pairs(texts, buckets, run_tokens, heavy_h, hot_p).groupBy("bucket").applyInPandas(pairs, "bucket int, word array<long>, n array<int>, sign array<int>, docs array<long>, sums array<double>")
 
-    # first tokens, and tokens a document: their words' terms meet the counts with the light words of the pairs
+    # first tokens, hot pairs, and tokens a document: first words' terms meet the counts with the light words of the pairs
     def firsts(batches):
         for keys, sizes, h in _runs(batches, run_tokens):
             starts = np.r_[0, np.cumsum(sizes)[:-1]][sizes > 0]
             key = np.array(keys, np.int64)[sizes > 0]
             w = h[starts].view(np.int64)
             is_heavy, ln = look(w)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ln - math.log(max(total, 1))), pa.array(sizes[sizes > 0].astype(np.int64)), pa.array(np.where(is_heavy, 0, w)), pa.array(~is_heavy)], names=["id", "s", "n", "w", "light"])
+            doc = np.repeat(np.arange(len(key), dtype=np.int32), sizes[sizes > 0])
+            at = np.flatnonzero(doc[1:] == doc[:-1])
+            place = _places(pair_hash(h[at], h[at + 1]), hot_p)
+            held = place >= 0
+            known = ln - math.log(max(total, 1)) + np.bincount(doc[at][held], hot_s[place[held]], len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(known), pa.array(sizes[sizes > 0].astype(np.int64)), pa.array(np.where(is_heavy, 0, w)), pa.array(~is_heavy)], names=["id", "s", "n", "w", "light"])
 
-    heads = cut(rows.filter("id is not null").mapInArrow(firsts, "id long, s double, n long, w long, light boolean"))
+    heads = cut(texts.mapInArrow(firsts, "id long, s double, n long, w long, light boolean"))
     bucket_of = lambda h: F.pmod(F.pmod(F.shiftrightunsigned(h, 1), F.lit(buckets)) * 2 + h.bitwiseAND(1), F.lit(buckets)).cast("int")  # noqa: E731  unsigned h % buckets
     head_pieces = heads.filter("light").select(bucket_of(F.col("w")).alias("bucket"), F.array("w").alias("word"), F.array(F.lit(1)).alias("n"), F.array(F.lit(1)).alias("sign"), F.array("id").alias("docs"), F.array().cast("array<double>").alias("sums"))
     table = counts.select(bucket_of(F.col("h")).alias("bucket"), "h", "c")
 
     def words(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame({"part": [], "ids": [], "sums": []}, dtype=object)
+            return pd.DataFrame({"part": np.zeros(0, np.int64), "ids": pd.Series([], dtype=pd.ArrowDtype(pa.list_(pa.int64()))), "sums": pd.Series([], dtype=pd.ArrowDtype(pa.list_(pa.float64())))})
         h, c = right["h"].to_numpy(), right["c"].to_numpy()
         order = np.argsort(h)
         h, ln = h[order], np.log(c[order])
@@ -261,7 +311,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
     light = scored.unionByName(head_pieces).groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(words, "part long, ids array<long>, sums array<double>")
     light = light.groupBy("part").applyInPandas(totals, "id long, s double")
     sums = light.unionByName(heads.select("id", "s")).groupBy("id").agg(F.sum("s").alias("s"))
-    sizes = heads.groupBy("id").agg(F.sum("n").alias("n"))
-    out = rows.select("id").join(sums, "id", "left").join(sizes, "id", "left")
+    sizes = heads.groupBy("id").agg(F.sum("n").alias("n"), F.count("*").alias("times"))  # rows equal in id and text share a key
+    each = sizes.join(sums, "id").select("id", (F.col("n") / F.col("times")).cast("long").alias("n"), (F.col("s") / F.col("times")).alias("s"))
+    out = rows.select("own", "id").join(each, "id", "left")
     log_score = F.coalesce("s", F.lit(0.0))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_tokens"), log_score.alias("log_score"), F.when(F.col("n") > 0, log_score / F.col("n")).alias("mean_log_score"))
+    return out.select(F.col("own").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_tokens"), log_score.alias("log_score"), F.when(F.col("n") > 0, log_score / F.col("n")).alias("mean_log_score"))

@@ -121,22 +121,22 @@ FROM embeddings e LEFT JOIN c ON c.start = e.vec_id
 """
 
 OP10_SQL = """
-WITH t AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w FROM documents
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), t AS (
+  SELECT r, list_filter(regexp_split_to_array(text, '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w FROM d
 ), p AS (
-  SELECT doc_id, i, w[i] AS cur, w[i - 1] AS prev FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)
+  SELECT r, i, w[i] AS cur, w[i - 1] AS prev FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM t)
 ), c1 AS (SELECT cur AS word, count(*) AS c FROM p GROUP BY 1),
 c2 AS (SELECT prev, cur, count(*) AS c FROM p WHERE i > 1 GROUP BY 1, 2),
 n AS (SELECT count(*) AS n FROM p),
 s AS (
-  SELECT p.doc_id, CASE WHEN i = 1 THEN ln(w.c / n.n) WHEN c2.c >= 2 THEN ln(c2.c / u.c)
+  SELECT p.r, CASE WHEN i = 1 THEN ln(w.c / n.n) WHEN c2.c >= 2 THEN ln(c2.c / u.c)
     ELSE ln(0.4 * w.c / n.n) END AS s
   FROM p CROSS JOIN n JOIN c1 w ON w.word = p.cur LEFT JOIN c1 u ON u.word = p.prev
   LEFT JOIN c2 ON c2.prev = p.prev AND c2.cur = p.cur
-), g AS (SELECT doc_id, count(*) AS n_tokens, sum(s) AS s FROM s GROUP BY doc_id)
+), g AS (SELECT r, count(*) AS n_tokens, sum(s) AS s FROM s GROUP BY r)
 SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, round(coalesce(s, 0), 3) AS log_score,
   CASE WHEN n_tokens > 0 THEN round(s / n_tokens, 4) END AS mean_log_score
-FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
+FROM d LEFT JOIN g ON g.r = d.r
 """
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -198,38 +199,32 @@ def test_embedding_links_of_a_large_label(spark):
     assert all(got[i].component_id == i - i % 2 for i in range(1_000, 1_160)) and all(got[i].component_id == 0 for i in range(700))
 
 
-def test_backoff(spark, docs):
-    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", x or "") for i, x in enumerate(texts())}
-    one, two = {}, {}
-    for w in tokens.values():
-        for a in w:
-            one[a] = one.get(a, 0) + 1
-        for p in zip(w, w[1:]):
-            two[p] = two.get(p, 0) + 1
+def backoff_brute(texts):
+    """(tokens, score) of every text by the definition."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", x or "") for x in texts]
+    one, two = Counter(a for w in words for a in w), Counter(p for w in words for p in zip(w, w[1:]))
     total = sum(one.values())
-    rows = {r.doc_id: r for r in backoff.score(docs, bucket_chars=20_000, heavy=20).collect()}
-    for i, w in tokens.items():
-        if i == 5:
-            continue
-        s = np.log(one[w[0]] / total) if w else 0.0
-        s += sum(np.log(two[u, x] / one[u]) if two[u, x] >= 2 else np.log(0.4 * one[x] / total) for u, x in zip(w, w[1:]))
-        assert rows[i].n_tokens == len(w) and rows[i].log_score == pytest.approx(float(s), abs=1e-6)
-
-
-def test_backoff_counts_pairs_of_null_ids(spark):
-    made = [(1, "a b c"), (None, "a b"), (None, "c d"), (2, "c d a"), (None, "b"), (None, None), (3, "d d"), (0, "b c")]
-    words = [(i, (x or "").split()) for i, x in made]
-    one = [a for _, w in words for a in w]
-    two = [p for _, w in words for p in zip(w, w[1:])]
-    df = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
-    for heavy in (1, 20):
-        rows = backoff.score(df, heavy=heavy).collect()
-        assert sorted((r.n_tokens, r.log_score, r.mean_log_score) for r in rows if r.doc_id is None) == [(0, 0.0, None)] * 4
-        for i, w in words:
-            if i is not None:
-                s = np.log(one.count(w[0]) / len(one)) + sum(np.log(two.count((u, x)) / one.count(u)) if two.count((u, x)) >= 2 else np.log(0.4 * one.count(x) / len(one)) for u, x in zip(w, w[1:]))
-                assert [(r.n_tokens, r.log_score) for r in rows if r.doc_id == i] == [(len(w), pytest.approx(float(s), abs=1e-6))]
-    assert {r.log_score for r in backoff.score(df.filter("doc_id is null")).collect()} == {0.0}
+    pair = lambda u, x: np.log(two[u, x] / one[u]) if two[u, x] >= 2 else np.log(0.4 * one[x] / total)
+    return [(len(w), float((np.log(one[w[0]] / total) if w else 0.0) + sum(pair(u, x) for u, x in zip(w, w[1:])))) for w in words]
+
+
+@pytest.mark.parametrize("heavy,hot,one_in", [(20, 0, 64), (20, 50, 1), (500_000, 100_000, 1)])
+def test_backoff(spark, docs, heavy, hot, one_in):
+    """Whatever is heavy or hot, every row has the score of its own text; repeats and rows without an id too."""
+    got = backoff.score(docs.withColumn("d", F.col("doc_id")), bucket_chars=20_000, heavy=heavy, hot_pairs=hot, hot_sample=one_in).collect()
+    want = backoff_brute(texts())
+    ids = [i if i != 5 else None for i in range(len(want))]
+    assert sorted((str(r.doc_id), r.n_tokens, round(r.log_score, 5)) for r in got) == sorted((str(i), n, round(s, 5)) for i, (n, s) in zip(ids, want))
+
+
+def test_backoff_of_repeats_null_ids_and_one_row(spark):
+    made = [(1, "a b c"), (None, "a b"), (None, "c d"), (2, "c d a"), (None, "b"), (None, None), (3, "d d"), (0, "b c"), (1, "a b c"), (1, "c c"), (None, "a b"), (4, ""), (5, "\t ")]
+    for rows in (made, made[:1], [(None, None)], [(7, "one")], [(7, "one"), (7, "one")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        want = sorted((str(i), n, round(s, 6), round(s / n, 6) if n else None) for (i, _), (n, s) in zip(rows, backoff_brute([x for _, x in rows])))
+        for heavy, hot in ((1, 0), (20, 10)):
+            got = backoff.score(df, heavy=heavy, hot_pairs=hot, hot_sample=1).collect()
+            assert sorted((str(r.doc_id), r.n_tokens, round(r.log_score, 6), r.mean_log_score and round(r.mean_log_score, 6)) for r in got) == want
 
 
 def test_empty_tables(spark):
