@@ -5,8 +5,10 @@ described by frequencies of byte classes, of class pairs and of repeated words,
 attention layer (tanh branch times sigmoid branch) learned from document labels weighs the passages; a logistic unit
 scores their weighted mean. All layers are trained together by gradient steps on a bounded sample of labelled documents.
 
-Defined results: a null or empty text is one empty passage; repeated rows are scored alike; training data of one class,
-or none, gives a constant score (the share of label 1, or a half).
+Defined results: a null or empty text is one empty passage; repeated rows are scored alike; of rows that repeat an id one
+text is learnt from, and none of those with a null id; a label that repeats counts as its largest; training data of one
+class, or none, gives a constant score (the share of label 1, or a half); an empty table gives an empty result; a column
+named like a new one is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -153,8 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 rows.append(x[keep].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], names=["x", "label", "id"])
 
-    rows = docs.select(id_col, text_col).join(chosen, id_col).select(text_col, "__label", F.col(id_col).cast("long")).mapInArrow(run, "x binary, label int, id long").collect()
-    rows = sorted(rows, key=lambda r: (r["id"], bytes(r["x"])))[: 2 * sample_docs]
+    found = docs.select(id_col, text_col).join(chosen, id_col).select(text_col, "__label", F.col(id_col).cast("long")).mapInArrow(run, "x binary, label int, id long")
+    # one text an id, however many rows repeat it: at most sample_docs rows
+    rows = found.groupBy("id").agg(F.max("x").alias("x"), F.max("label").alias("label")).collect()
+    rows = sorted(rows, key=lambda r: r["id"])
     bags = [np.frombuffer(bytes(r["x"]), "<f4").reshape(-1, WIDTH).astype(float) for r in rows]
     return train(bags, np.array([r["label"] for r in rows], float))
 
