@@ -6,13 +6,16 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a private one only where the session names none (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a private one only in local mode where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
         current = spark.sparkContext.getCheckpointDir()
     return named or current
@@ -24,12 +27,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast ``df`` (a few fixed-width columns) only when it is counted to hold at most ``max_rows`` rows.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store Spark writes to; a missing one is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def row_bytes(df: DataFrame, text: int = 40) -> int:
+    """Bytes a row of ``df`` takes about: eight a fixed-width column, ``text`` for any other."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return 16 + sum(8 if isinstance(f.dataType, fixed) else text for f in df.schema)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000, max_bytes: int = 64_000_000) -> DataFrame:
+    """Broadcast ``df`` only when it is counted to hold at most ``max_rows`` rows, and fewer if its rows are wide.
 
     Beyond the bound the join stays a shuffle join, which AQE can split when a key is hot.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    most = min(max_rows, max_bytes // row_bytes(df))
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
