@@ -19,7 +19,9 @@ by what each of them is; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from collections import Counter, defaultdict
+from functools import reduce
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.rows import append, long
 from tessera.operators.components import connected_components
-from tessera.session import broadcast_if_small, cut, without_columns
+from tessera.session import broadcast_if_small, cut, stored, without_columns
 
 SEED, SHINGLE, BLOCKS = 42, 3, 6
 #: The segments (two bits each, lowest bits first) of every block.
@@ -269,38 +271,79 @@ def likely_links(texts: DataFrame, similarity: float, share: float = 0.25, tile:
     return spread.withColumn("g", group).groupBy(buckets.alias("bucket")).applyInPandas(run, "src long, dst long").distinct()
 
 
-def dropped_texts(docs: DataFrame, texts: DataFrame, shingle: int, similarity: float, max_rounds: int = 100) -> DataFrame:
+class Heads:
+    """Shingle sets of texts that stay, indexed by shingle."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.sizes, self.where = similarity, [], defaultdict(list)
+
+    def like(self, shingles: np.ndarray) -> bool:
+        """Whether a text that stays is as similar as asked."""
+        held = Counter(chain.from_iterable(self.where.get(x, ()) for x in shingles.tolist()))
+        if not len(shingles):
+            return 0 in self.sizes
+        return any(both >= self.similarity * (self.sizes[i] + len(shingles) - both) for i, both in held.items())
+
+    def add(self, shingles: np.ndarray) -> None:
+        for x in shingles.tolist():
+            self.where[x].append(len(self.sizes))
+        self.sizes.append(len(shingles))
+
+
+def dropped_texts(docs: DataFrame, texts: DataFrame, shingle: int, similarity: float, bound: int = 500_000) -> DataFrame:
     """(node) of texts to drop: each has a Jaccard similarity of at least ``similarity`` with a text that stays.
 
-    Links only name candidates. In every round the text of smallest id in each class stays, and all of the class are compared
-    with it by their whole shingle sets; those as similar go, the others meet the next text of the class.
+    Links only name candidates. In a round the texts of smallest id in each class, as many as hold ``bound`` shingles together (one
+    at least), are compared by their whole shingle sets in order of id: a text stays unless it is as similar to one that does.
+    The rest of the class is compared with those that stay, in tiles; who is like none of them goes on to the next round.
     """
     roots = cut(connected_components(cut(likely_links(texts, similarity))))
-    left = cut(texts.join(broadcast_if_small(roots), "node").select("node", "id", "k0", "k1", F.col("component").alias("class")))
+    left = stored(texts.join(broadcast_if_small(roots), "node").select("node", "id", "k0", "k1", "n", F.col("component").alias("class")))
 
     def sets(batches):
         for batch in batches:
             made = [np.unique(_shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    held = docs.join(broadcast_if_small(left.select("node", "id", "k0", "k1")), ["id", "k0", "k1"]).select("node", "text")
-    held = cut(held.mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"]))
-    gone = None
-    for _ in range(max_rounds):
-        first = left.groupBy("class").agg(F.min(F.struct("id", "k0", "k1", "node")).alias("first"), F.count("*").alias("members")).filter("members > 1")
-        first = cut(first.select("class", F.col("first.node").alias("head")))
-        if first.isEmpty():
+    held = docs.join(broadcast_if_small(left.select("node", "id", "k0", "k1")), ["id", "k0", "k1"]).select("node", "text").dropDuplicates(["node"])
+    held = stored(held.mapInArrow(sets, "node long, shingles array<long>"))
+
+    def among(pdf: pd.DataFrame) -> pd.DataFrame:
+        heads, stays = Heads(similarity), []
+        pdf = pdf.sort_values(["id", "k0", "k1"])
+        for x in pdf["shingles"]:
+            stays.append(not heads.like(np.asarray(x)))
+            if stays[-1]:
+                heads.add(np.asarray(x))
+        return pd.DataFrame({"class": pdf["class"], "node": pdf["node"], "stays": stays})
+
+    def against(members: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        heads = Heads(similarity)
+        for x in some["shingles"]:
+            heads.add(np.asarray(x))
+        return pd.DataFrame({"node": members["node"].to_numpy(np.int64), "like": np.array([heads.like(np.asarray(x)) for x in members["shingles"]], bool)})
+
+    def first(df: DataFrame, by: list[str]) -> DataFrame:
+        run = F.sum("n").over(Window.partitionBy(*by).orderBy("id", "k0", "k1", "node").rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumn("run", F.coalesce(run, F.lit(0))).filter(F.col("run") <= bound).drop("run")
+
+    gone = []
+    while not left.isEmpty():
+        salted = first(left.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))), ["class", "salt"])
+        heads = stored(first(salted, ["class"]).select("class", "node", "id", "k0", "k1"))
+        told = stored(heads.join(held, "node").groupBy("class").applyInPandas(among, "class long, node long, stays boolean"))
+        gone.append(told.filter("not stays").select("node"))
+        rest = left.join(heads.select("node"), "node", "left_anti")
+        sizes = stored(rest.groupBy("class").agg(F.ceil(F.sum("n") / F.lit(8 * bound)).cast("int").alias("tiles")))
+        if sizes.isEmpty():
             break
-        heads = first.join(held, F.col("head") == held["node"]).select("class", "head", F.col("shingles").alias("whole"))
-        pairs = left.join(held, "node").join(heads, "class").filter("node <> head")
-        both = F.size(F.array_intersect("shingles", "whole"))
-        told = cut(pairs.select("node", "id", "k0", "k1", "class", (both >= F.lit(similarity) * (F.size("shingles") + F.size("whole") - both)).alias("like")))
-        new = told.filter("like").select("node")
-        gone = new if gone is None else gone.unionByName(new)
-        left = told.filter("not like").drop("like")
-    else:
-        raise RuntimeError(f"classes not settled after {max_rounds} rounds")
-    return docs.sparkSession.createDataFrame([], "node long") if gone is None else gone
+        rest = stored(rest)
+        members = rest.join(sizes, "class").join(held, "node").select("class", F.pmod(F.xxhash64("node"), "tiles").alias("tile"), "node", "shingles")
+        known = told.filter("stays").join(sizes, "class").join(held, "node").select("class", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).cast("long").alias("tile"), "shingles")
+        met = stored(members.groupBy("class", "tile").cogroup(known.groupBy("class", "tile")).applyInPandas(against, "node long, like boolean"))
+        gone.append(met.filter("like").select("node"))
+        left = stored(rest.join(met.filter("not like").select("node"), "node", "left_semi"))
+    return reduce(DataFrame.unionByName, gone) if gone else docs.sparkSession.createDataFrame([], "node long")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, every: int = 10) -> DataFrame:
