@@ -15,25 +15,60 @@ REPORT = "struct<title: string, summary: string, rating: double, rating_explanat
 
 
 def first_object(text: str | None) -> str | None:
-    """The first balanced ``{...}`` of a text that parses, repaired if need be; None if there is none."""
+    """The first outermost ``{...}`` of a text that parses, repaired if need be; None if there is none."""
     decoder = json.JSONDecoder()
     bare = re.sub(r"```(?:json)?", "", text or "")
-    for m in re.finditer(r"\{", bare):
-        for attempt in (bare[m.start() :], repair(bare[m.start() :])):
+    at = bare.find("{")
+    while at >= 0:
+        for attempt in (bare[at:], repair(bare[at:])):
             try:
                 value, _ = decoder.raw_decode(attempt)
             except ValueError:
                 continue
             return json.dumps(value, ensure_ascii=False)
+        at = bare.find("{", at + 1)
     return None
 
 
+NAME = re.compile(r"[^\W\d]\w*(?=\s*:)")
+CLOSED = re.compile(r"\s*([,:}\]]|$)")
+EMPTY_PLACE = re.compile(r",(?=\s*[}\]])")
+
+
 def repair(text: str) -> str:
-    """Doubled braces, bare keys, single quotes and trailing commas mended."""
-    text = text.replace("{{", "{").replace("}}", "}")
-    text = re.sub(r"'([^'\"]*)'", r'"\1"', text)
-    text = re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', text)
-    return re.sub(r",\s*([}\]])", r"\1", text)
+    """JSON with its faults outside strings mended: braces doubled throughout, bare keys, single quotes, trailing commas.
+
+    One walk over the text keeps account of being inside a string, where nothing changes. A single-quoted string ends at a
+    quote that a comma, colon, bracket or the end follows.
+    """
+    doubled, made, at = text.startswith("{{"), [], 0
+    while at < len(text):
+        c = text[at]
+        if c == '"':
+            end = at + 1
+            while end < len(text) and text[end] != '"':
+                end += 2 if text[end] == "\\" else 1
+            made.append(text[at : end + 1])
+            at = end + 1
+        elif c == "'":
+            end = text.find("'", at + 1)
+            while end >= 0 and not CLOSED.match(text, end + 1):
+                end = text.find("'", end + 1)
+            end = len(text) if end < 0 else end
+            made.append(json.dumps(text[at + 1 : end].replace("\\'", "'"), ensure_ascii=False))
+            at = end + 1
+        elif doubled and text[at : at + 2] in ("{{", "}}"):
+            made.append(c)
+            at += 2
+        elif EMPTY_PLACE.match(text, at):
+            at += 1
+        elif (name := NAME.match(text, at)) and (at == 0 or not text[at - 1].isalnum()):
+            made.append(json.dumps(name[0]))
+            at = name.end()
+        else:
+            made.append(c)
+            at += 1
+    return "".join(made)
 
 
 @F.pandas_udf(T.StringType())

@@ -60,8 +60,8 @@ def fields(record: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """Trimmed and without control characters; HTML entities are for :func:`unescape`."""
-    return F.regexp_replace(trim_all(c), "[\\x00-\\x1f\\x7f-\\x9f]", "")
+    """Trimmed, HTML entities decoded, and without control characters."""
+    return F.regexp_replace(unescape_if_needed(trim_all(c)), "[\\x00-\\x1f\\x7f-\\x9f]", "")
 
 
 @F.pandas_udf(T.StringType())
@@ -73,7 +73,7 @@ def unescape(s: pd.Series) -> pd.Series:
 
 
 def unescape_if_needed(c: Column) -> Column:
-    return F.when(F.contains(c, F.lit("&")), unescape(c)).otherwise(c)
+    return F.coalesce(unescape(F.when(F.contains(c, F.lit("&")), c)), c)  # other rows reach the worker as nulls
 
 
 def _unquote(c: Column) -> Column:
@@ -85,7 +85,7 @@ def parse_graph(df: DataFrame, answer_col: str = "answer") -> DataFrame:
     rest = [F.col(f"`{c}`") for c in df.columns if c != answer_col]
     rows = df.select(*rest, F.posexplode(records(F.col(answer_col))).alias("record_pos", "record")).withColumn("f", fields(F.col("record")))
     kind = _unquote(trim_all(F.get("f", F.lit(0))))
-    name = lambda i: F.upper(clean(F.get("f", F.lit(i))))
+    name = lambda i: clean(F.upper(F.get("f", F.lit(i))))
     is_entity = (kind == "entity") & (F.size("f") >= 4)
     is_edge = (kind == "relationship") & (F.size("f") >= 5)
     return rows.filter(is_entity | is_edge).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_id, trim_all, unescape_if_needed
@@ -103,17 +103,21 @@ def communities_of(edges: DataFrame, rounds: int = 6, resolution: float = 1.0) -
     return c.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
 
 
-def hierarchical_clusters(edges: DataFrame, max_size: int = 10, max_levels: int = 4, rounds: int = 6) -> DataFrame:
+def hierarchical_clusters(edges: DataFrame, max_size: int = 10, rounds: int = 6) -> DataFrame:
     """(level, community, parent, title): clusters, those of more than ``max_size`` members split again below them.
 
-    Communities are named level by level by their smallest member; parent is null at level 0.
+    Communities are named level by level by their smallest member; parent is null at level 0. Splitting goes on until no
+    cluster is over ``max_size`` or those that are no longer part; such a cluster has no level below it.
     """
     level, parent = 0, None
     current, made = edges.select("a", "b", "weight"), None
-    while level < max_levels:
+    while True:
         found = communities_of(current, rounds).select(F.lit(level).alias("level"), F.col("c").alias("community"), F.col("node").alias("title"))
         found = found.join(parent, "title", "left") if parent is not None else found.withColumn("parent", F.lit(None).cast("string"))
         found = cut(found.select("level", "community", "parent", "title"))
+        if parent is not None:
+            parted = found.groupBy("parent").agg(F.countDistinct("community").alias("n")).filter("n > 1").select("parent")
+            found = cut(found.join(parted, "parent", "left_semi").select("level", "community", "parent", "title"))
         made = found if made is None else made.unionByName(found)
         large = found.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") > max_size)
         inside = cut(found.join(large, "community", "left_semi").select("title", F.col("community").alias("parent")))
@@ -121,8 +125,13 @@ def hierarchical_clusters(edges: DataFrame, max_size: int = 10, max_levels: int
         current = cut(current.join(left, "a").join(right, "b").filter("pa = pb").select("a", "b", "weight"))
         parent, level = inside, level + 1
         if current.isEmpty():
-            break
-    return made
+            return made
+
+
+def cluster_groups(clusters: DataFrame) -> DataFrame:
+    """(level, community, parent, titles): members of each cluster in order; the parent of a top one is -1."""
+    parent = F.coalesce(F.col("parent").cast("string"), F.lit("-1")).alias("parent")
+    return clusters.groupBy("level", "community", parent).agg(F.array_sort(F.collect_list("title")).alias("titles"))
 
 
 def community_table(members: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -136,7 +145,7 @@ def community_table(members: DataFrame, entities: DataFrame, edges: DataFrame) -
     at = members.select("level", "community", "title").distinct()
     s = at.select("level", F.col("community").alias("cs"), F.col("title").alias("source"))
     t = at.select("level", F.col("community").alias("ct"), F.col("title").alias("target"))
-    inside = edges.join(s, "source").join(t, ["level", "target"]).filter("cs = ct")
+    inside = cut(edges.join(s, "source").join(t, ["level", "target"]).filter("cs = ct").select("level", "cs", "id", "text_unit_ids"))
     rel = inside.groupBy("level", F.col("cs").alias("community")).agg(F.array_sort(F.collect_set("id")).alias("relationship_ids"))
     units = inside.select("level", F.col("cs").alias("community"), F.explode("text_unit_ids").alias("u")).groupBy("level", "community").agg(F.array_sort(F.collect_set("u")).alias("text_unit_ids"))
     children = own.filter("parent is not null").groupBy(F.col("parent").alias("community")).agg(F.array_sort(F.collect_set("community")).alias("children"))
@@ -167,7 +176,3 @@ def graphml_lines(edges: DataFrame) -> DataFrame:
     node_rows = nodes.select(F.lit(0).alias("part"), F.col("n").alias("key"), F.concat(F.lit('<node id="'), xml_escape(F.col("n")), F.lit('"/>')).alias("line"))
     line = F.concat(F.lit('<edge source="'), xml_escape(F.col("source")), F.lit('" target="'), xml_escape(F.col("target")), F.lit('"><data key="weight">'), F.col("weight").cast("string"), F.lit("</data></edge>"))
     return node_rows.unionByName(edges.select(F.lit(1).alias("part"), F.concat_ws("\n", "source", "target").alias("key"), line.alias("line")))
-
-
-def rank_in_graph(df: DataFrame, *order) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))

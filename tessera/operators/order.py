@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,29 +40,41 @@ def ordered_list(value: str, order: str) -> Column:
 def prefix_budget(df: DataFrame, cost: str, budget: int, order: list, by: list[str] | None = None, spent: int = 0) -> DataFrame:
     """Rows while the running cost stays within ``budget``; nothing follows the first that doesn't fit.
 
-    Costs are not negative. Without ``by`` the input should be a pre-limited candidate list (as every caller's is):
-    rows that alone exceed what is left are cut together with all behind them.
+    Costs are not negative and ``order`` has no ties. Without ``by``, rows are dealt into ranges of the order and each range goes on
+    with the cost of those before it; ranges that begin beyond the budget are not ranked.
     """
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__run", F.sum(cost).over(w)).filter(F.col("__run") <= budget - spent).drop("__run")
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("__run", F.sum(cost).over(w)).filter(F.col("__run") <= budget - spent).drop("__run")
+    dealt = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sums = dealt.groupBy("__range").agg(F.sum(cost).alias("__sum"))  # one row a range
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before")).filter(F.col("__before") <= budget - spent)
+    run = F.sum(cost).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    inside = dealt.join(F.broadcast(starts), "__range").withColumn("__run", run + F.col("__before"))
+    return inside.filter(F.col("__run") <= budget - spent).drop("__run", "__range", "__before")
 
 
-def pack_in_order(df: DataFrame, cost: str, most: int, order: str, by: list[str]) -> DataFrame:
-    """``df`` with batch numbers: a new batch begins when the running cost would exceed ``most``.
+def pack_in_order(df: DataFrame, cost: str, most: int, order: str, by: list[str], most_rows: int | None = None) -> DataFrame:
+    """``df`` with batch numbers: a new batch begins when the running cost would exceed ``most``, or at ``most_rows`` rows.
 
-    A reset doesn't compose, so each group of ``by`` is one ordered fold; an oversized row has its own batch.
+    A reset doesn't compose, so each group of ``by`` is one ordered fold, of which only place and cost travel; an oversized
+    row has its own batch.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c"))))
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("run"), F.array().cast("array<int>").alias("made"))
+    slim = df.select(*by, F.col(order).alias("__o"), F.col(cost).cast("long").alias("__c"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "__c")
 
-    def step(acc, item):
-        opens = (acc["run"] > 0) & (acc["run"] + item["c"] > most)
-        batch = acc["batch"] + opens.cast("int")
-        return F.struct(batch.alias("batch"), F.when(opens, item["c"]).otherwise(acc["run"] + item["c"]).alias("run"), F.array_append(acc["made"], batch).alias("made"))
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, batch, run, rows, made = pdf.sort_values("__o", kind="stable"), 0, 0, 0, []
+        for c in pdf["__c"]:
+            if rows and (run + c > most or (most_rows and rows >= most_rows)):
+                batch, run, rows = batch + 1, 0, 0
+            run, rows = run + c, rows + 1
+            made.append(batch)
+        return pdf.drop(columns="__c").assign(batch=np.array(made, np.int32))
 
-    folded = df.groupBy(*by).agg(items.alias("items")).withColumn("made", F.aggregate("items", zero, step, lambda acc: acc["made"]))
-    flat = folded.select(*by, F.explode(F.arrays_zip(F.transform("items", lambda i: i["o"]).alias("o"), F.col("made").alias("batch"))).alias("z"))
-    return df.join(flat.select(*by, F.col("z.o").alias(order), F.col("z.batch").alias("batch")), [*by, order])
+    made = slim.groupBy(*by).applyInPandas(fold, f"{kinds}, batch int").withColumnRenamed("__o", order)
+    return df.join(made, [*by, order])
 
 
 def array_folds(df: DataFrame, k: int, *order: str) -> DataFrame:
@@ -74,6 +88,13 @@ def array_folds(df: DataFrame, k: int, *order: str) -> DataFrame:
     return numbered.withColumn("fold", fold.cast("int")).drop("__at")
 
 
+def fold_sizes(folded: DataFrame, k: int) -> DataFrame:
+    """(fold, n) of every fold 0..k-1 of :func:`array_folds`, the empty ones too."""
+    counts = folded.groupBy("fold").agg(F.count("*").alias("n"))
+    every = folded.sparkSession.range(k).select(F.col("id").cast("int").alias("fold"))
+    return every.join(F.broadcast(counts), "fold", "left").select("fold", F.coalesce("n", F.lit(0)).alias("n"))  # k rows
+
+
 def page(df: DataFrame, sort: str, id_col: str = "id", descending: bool = False, limit: int = 50, after: str | None = None) -> tuple[DataFrame, Column]:
     """A page of ``limit`` rows by ``sort``, nulls last either way, ties by id; and the order it is in.
 
@@ -97,8 +118,10 @@ def page(df: DataFrame, sort: str, id_col: str = "id", descending: bool = False,
     return rows.orderBy(*order).limit(limit), order
 
 
-def seeded_shuffle(ids: list, seed: int = 86) -> dict:
-    """Position of each id after Python's own shuffle with ``seed``; for lists as short as a page of reports."""
+def seeded_shuffle(ids: list, seed: int = 86, most: int = 1_000_000) -> dict:
+    """Position of each id after Python's own shuffle with ``seed``; the list is the driver's, so a longer one is an error."""
+    if len(ids) > most:
+        raise ValueError(f"more than {most} ids to shuffle on the driver")
     order = list(ids)
     random.Random(seed).shuffle(order)
     return {v: i for i, v in enumerate(order)}

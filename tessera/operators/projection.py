@@ -29,19 +29,36 @@ def resolve_seeds(wanted: DataFrame, entities: DataFrame) -> DataFrame:
     return wanted.select("id").distinct().join(known, "id", "left").select("id", F.when(F.col("known"), "found").otherwise("missing").alias("status"))
 
 
-def overview(edges: DataFrame, max_nodes: int, max_edges: int, candidates: int = 20_000) -> list[tuple]:
+def overview(edges: DataFrame, max_nodes: int, max_edges: int, page: int = 20_000) -> list[tuple]:
     """Edges for a first picture, best rank first: one that would pass a cap is skipped, not a stop.
 
-    The greedy choice needs only the best ``candidates`` edges, a top-k that each task takes for itself.
+    Edges come to the driver in order, ``page`` rows at a time. As soon as the nodes leave room for one more or none, only
+    edges that can still be taken are read on, so that every edge is considered however far behind it ranks.
     """
-    rows = edges.orderBy(F.desc("rank"), F.col("weight").desc_nulls_last(), "id").limit(candidates).select("id", "source", "target").collect()
     nodes: set[str] = set()
     made: list[tuple] = []
-    for r in rows:
-        new = {r["source"], r["target"]} - nodes
-        if len(made) < max_edges and len(nodes) + len(new) <= max_nodes:
-            nodes |= new
-            made.append((r["id"], r["source"], r["target"]))
+    last = None
+    slim = edges.select("id", "source", "target", "rank", F.coalesce(F.col("weight").cast("double"), F.lit(float("-inf"))).alias("w"))
+    while len(made) < max_edges:
+        rows = slim
+        if last is not None:
+            rows = rows.filter((F.col("rank") < last["rank"]) | ((F.col("rank") == last["rank"]) & ((F.col("w") < last["w"]) | ((F.col("w") == last["w"]) & (F.col("id") > last["id"])))))
+        room = max_nodes - len(nodes)
+        if room < 2:
+            source, target = F.col("source").isin(sorted(nodes)), F.col("target").isin(sorted(nodes))  # at most max_nodes names
+            rows = rows.filter(source & target if room == 0 else source | target | (F.col("source") == F.col("target")))
+        got = rows.orderBy(F.desc("rank"), F.desc("w"), "id").limit(page).collect()
+        for r in got:
+            last = r
+            new = {r["source"], r["target"]} - nodes
+            if len(made) < max_edges and len(nodes) + len(new) <= max_nodes:
+                nodes |= new
+                made.append((r["id"], r["source"], r["target"]))
+                if room >= 2 and max_nodes - len(nodes) < 2:
+                    break  # the rest is read again, less what can no longer be taken
+        else:
+            if len(got) < page:
+                break
     return made
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators.order import first_by
+from tessera.session import broadcast_if_small, cut
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -60,14 +61,15 @@ def community_matches(selected: DataFrame, reports: DataFrame) -> DataFrame:
 def neighbour_edges(selected: DataFrame, edges: DataFrame, top_k: int) -> DataFrame:
     """Edges that touch the selected titles: inner ones by rank, then outer ones by links and rank, cut to
     ``top_k`` for each selected title. ``links`` counts the distinct selected neighbours of the outer end."""
-    titles = selected.select(F.col("title").alias("t")).distinct()
-    touched = edges.withColumn("t", F.explode(F.array_distinct(F.array("source", "target")))).join(titles, "t", "left_semi").groupBy("id").agg(F.count("*").alias("ends"))
-    rows = edges.join(touched, "id").withColumn("inner", (F.col("ends") == 2) | (F.col("source") == F.col("target")))
-    inside = titles.withColumnRenamed("t", "source").withColumn("s_in", F.lit(True))
-    rows = rows.join(inside, "source", "left").withColumn("outside", F.when(F.col("inner"), None).when(F.col("s_in"), F.col("target")).otherwise(F.col("source")))
-    rows = rows.withColumn("selected_end", F.when(F.col("s_in"), F.col("source")).otherwise(F.col("target")))
-    links = rows.filter("not inner").groupBy("outside").agg(F.countDistinct("selected_end").alias("links"))
+    titles = cut(selected.select(F.col("title").alias("t")).distinct())
     n = titles.count()
+    known = broadcast_if_small(titles)
+    for end in ("source", "target"):
+        edges = edges.join(known.select(F.col("t").alias(end), F.lit(True).alias(f"__{end}")), end, "left")
+    rows = edges.filter("__source or __target").withColumn("inner", (F.col("__source").isNotNull() & F.col("__target").isNotNull()) | (F.col("source") == F.col("target")))
+    rows = rows.withColumn("outside", F.when(F.col("inner"), None).when(F.col("__source"), F.col("target")).otherwise(F.col("source")))
+    rows = cut(rows.withColumn("selected_end", F.when(F.col("__source"), F.col("source")).otherwise(F.col("target"))))
+    links = rows.filter("not inner").groupBy("outside").agg(F.countDistinct("selected_end").alias("links"))
     inner = rows.filter("inner").withColumn("links", F.lit(None).cast("long")).withColumn("part", F.lit(0))
     outer = rows.filter("not inner").join(links, "outside").withColumn("part", F.lit(1))
     outer = outer.orderBy(F.desc("links"), F.desc("rank"), "id").limit(max(1, top_k * n))
@@ -83,7 +85,7 @@ def growing_context(selected: DataFrame, edges: DataFrame, cost, budget: int, to
     """
     n = selected.count()
     titles = selected.select(F.col("title").alias("t"), "place")
-    ends = edges.select("id", "source", "target", "rank", "weight", F.explode(F.array_distinct(F.array("source", "target"))).alias("t")).join(F.broadcast(titles), "t")
+    ends = edges.select("id", "source", "target", "rank", "weight", F.explode(F.array_distinct(F.array("source", "target"))).alias("t")).join(broadcast_if_small(titles), "t")
     per_edge = ends.groupBy("id", "source", "target", "rank", "weight").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("ends"))
     grown = per_edge.withColumn("prefix", F.explode(F.sequence(F.col("first"), F.lit(n - 1))))
     inner = ((F.col("ends") == 2) & (F.col("last") <= F.col("prefix"))) | (F.col("source") == F.col("target"))
@@ -99,7 +101,7 @@ def selected_units(selected: DataFrame, units: DataFrame, edges: DataFrame) -> D
     ordered by entity, then by how many of its edges mention the unit."""
     listed = selected.select("title", "place", F.posexplode("text_unit_ids").alias("at", "unit"))
     own = first_by(listed.withColumn("o", F.struct("place", "at")), ["unit"], "o")
-    mentions = edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("title"), "text_unit_ids").join(F.broadcast(selected.select("title")), "title")
+    mentions = edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("title"), "text_unit_ids").join(broadcast_if_small(selected.select("title")), "title")
     counts = mentions.select("title", F.explode(F.array_distinct("text_unit_ids")).alias("unit")).groupBy("title", "unit").agg(F.count("*").alias("n"))
     return own.join(counts, ["title", "unit"], "left").join(units.withColumnRenamed("id", "unit"), "unit").select("unit", "title", "place", F.coalesce("n", F.lit(0)).alias("n"), *[c for c in units.columns if c != "id"])
 

@@ -47,14 +47,17 @@ def final_relationships(spark, sf):
 
 def tuple_records(spark, sf):
     """Records written as a model would and parsed back."""
-    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     d = "<|>"
-    answer = F.concat(F.lit('("entity"<|>'), F.lower("n_name"), F.lit(f"{d}nation{d} a nation \t)##\n"), F.lit('("relationship"<|>'), F.col("n_name"), F.lit(d), F.col("r_name"), F.lit(f"{d}lies in{d}"), F.when(F.col("n_nationkey") % 3 == 0, "strong").otherwise(F.col("n_nationkey").cast("string")), F.lit(")##(bad)<|COMPLETE|>"))
-    return X.parse_graph(n.select("n_nationkey", answer.alias("answer"))).select("n_nationkey", "record_pos", "kind", "first", "second", "description", "weight")
+    entity = F.concat(F.lit('("entity"<|>'), F.lower("c_name"), F.lit(f" &amp; co{d}buyer{d} a &lt;buyer&gt; \t)##\n"))
+    weight = F.when(F.col("c_custkey") % 3 == 0, "strong").otherwise(F.col("c_custkey").cast("string"))
+    edge = F.concat(F.lit('("relationship"<|>'), F.col("c_name"), F.lit(d), F.col("n_name"), F.lit(f"{d}lives in{d}"), weight, F.lit(")"))
+    rows = c.select("c_custkey", F.concat(entity, edge, F.lit("##(bad)<|COMPLETE|>")).alias("answer"))
+    return X.parse_graph(rows).select("c_custkey", "record_pos", "kind", "first", "second", "description", "weight")
 
 
 def claim_records(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 10 = 0")
+    o = table(spark, sf, "orders")
     d = "<|>"
     answer = F.concat(F.lit("("), F.concat_ws(d, F.concat(F.lit(" C"), "o_custkey"), F.lit("NONE"), F.col("o_orderpriority"), F.lit("TRUE"), F.date_format("o_orderdate", "yyyy-MM-dd")), F.lit(")"))
     return X.parse_claims(o.select("o_orderkey", answer.alias("answer"))).select("o_orderkey", "subject_id", "object_id", "type", "status", "start_date", "end_date", "description")
@@ -76,7 +79,8 @@ def cluster_edges(spark, sf):
 
 
 def component_edges(spark, sf):
-    rel = I.relationships(spark, sf).filter("rank > 1").select("source", "target", "weight", "pos")
+    """Names come with blanks around them and an entity inside, which only this path decodes."""
+    rel = I.relationships(spark, sf).select(F.concat(F.lit(" "), "source", F.lit(" &amp; co ")).alias("source"), "target", "weight", "pos")
     return G.largest_component(rel)
 
 
@@ -100,9 +104,9 @@ def graphml(spark, sf):
 
 
 def clusters(spark, sf):
-    """Clusters over the busier purchases; checked by invariants in the tests."""
-    rel = I.relationships(spark, sf).filter("rank > 1").select("source", "target", "weight", "pos")
-    return G.hierarchical_clusters(G.cluster_edges(rel), max_levels=2, rounds=2)
+    """Clusters of the purchases; their labels are our own, so tests/test_invariants.py holds them by invariants."""
+    rel = I.relationships(spark, sf).select("source", "target", "weight", "pos")
+    return G.hierarchical_clusters(G.cluster_edges(rel))
 
 
 def orders_numbered(spark, sf):
@@ -122,19 +126,22 @@ SQL = {
     "q02_text_units": f"WITH {I.TEXT_UNITS} SELECT id, document_id, ordinal, n_tokens, sha256(text) AS digest FROM tu",
     "q03_document_units": f"WITH {I.TEXT_UNITS} SELECT doc_id AS document_id, count(id)::INTEGER AS n_units, coalesce(string_agg(id, ',' ORDER BY ordinal), '') AS units FROM documents LEFT JOIN tu ON document_id = doc_id GROUP BY doc_id",
     "q04_merged_entities": f"{MERGED} SELECT title, type, frequency, pos, md5(d) AS descriptions, md5(u) AS units FROM me",
-    "q05_merged_relationships": f"{MERGED} SELECT source, target, round(weight, 4) AS weight, pos, md5(u) AS units FROM mr WHERE source IN (SELECT title FROM raw_ent WHERE type <> 'returned') AND target IN (SELECT title FROM raw_ent WHERE type <> 'returned')",
+    "q05_merged_relationships": f"{MERGED} , k AS (SELECT DISTINCT title FROM raw_ent WHERE type <> 'returned') SELECT source, target, round(weight, 4) AS weight, pos, md5(u) AS units FROM mr JOIN k s ON s.title = source JOIN k t ON t.title = target",
     "q06_final_entities": f"{MERGED}, f AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY pos) AS r FROM me) SELECT row_number() OVER (ORDER BY pos, f.title) - 1 AS human_readable_id, f.title, type, frequency, coalesce(degree, 0) AS degree FROM f LEFT JOIN deg ON deg.title = f.title WHERE r = 1",
     "q07_final_relationships": f"{MERGED} SELECT row_number() OVER (ORDER BY pos, source, target) - 1 AS human_readable_id, source, target, s.degree + t.degree AS combined_degree FROM mr JOIN deg s ON s.title = source JOIN deg t ON t.title = target",
-    "q08_tuple_records": """SELECT n_nationkey, 0 AS record_pos, 'entity' AS kind, n_name AS first, 'NATION' AS second, 'a nation' AS description, NULL::DOUBLE AS weight FROM nation
-      UNION ALL SELECT n_nationkey, 1, 'relationship', n_name, r_name, 'lies in', CASE WHEN n_nationkey % 3 = 0 THEN 1.0 ELSE n_nationkey END FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "q09_claim_records": "SELECT o_orderkey, 'C' || o_custkey AS subject_id, 'NONE' AS object_id, o_orderpriority AS type, 'TRUE' AS status, strftime(o_orderdate, '%Y-%m-%d') AS start_date, NULL::VARCHAR AS end_date, NULL::VARCHAR AS description FROM orders WHERE o_orderkey % 10 = 0",
+    "q08_tuple_records": """SELECT c_custkey, 0 AS record_pos, 'entity' AS kind, upper(c_name) || ' & CO' AS first, 'BUYER' AS second,
+        'a <buyer>' AS description, NULL::DOUBLE AS weight FROM customer
+      UNION ALL SELECT c_custkey, 1, 'relationship', upper(c_name), n_name, 'lives in', CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE c_custkey END
+      FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "q09_claim_records": "SELECT o_orderkey, 'C' || o_custkey AS subject_id, 'NONE' AS object_id, o_orderpriority AS type, 'TRUE' AS status, strftime(o_orderdate, '%Y-%m-%d') AS start_date, NULL::VARCHAR AS end_date, NULL::VARCHAR AS description FROM orders",
     "q10_summary_join": f"{MERGED} SELECT a.title, count(*) AS n, max(b.type || ':' || b.frequency) AS last FROM me a JOIN me b ON a.title = b.title GROUP BY 1",
     "q11_cluster_edges": f"""WITH {I.RAW_RELATIONSHIPS}, x AS (SELECT source, target, weight, pos FROM raw_rel UNION ALL SELECT target, source, weight + 1, pos + 1 FROM raw_rel WHERE (pos + 1) % 3 = 0)
       SELECT least(source, target) AS a, greatest(source, target) AS b, arg_max(weight, pos * 1000 + weight) AS weight, arg_min(weight, pos * 1000 + weight) AS first_weight FROM x GROUP BY 1, 2""",
-    "q12_component_edges": f"""WITH RECURSIVE {I.GRAPH}, e AS (SELECT upper(source) AS x, upper(target) AS y, weight FROM rel WHERE rank > 1),
+    # the walk goes from the smallest name alone; it is the answer where it reaches more than half of all names, else there is none
+    "q12_component_edges": f"""WITH RECURSIVE {I.GRAPH}, e AS (SELECT upper(source) || ' & CO' AS x, upper(target) AS y, weight FROM rel),
       p AS (SELECT least(x, y) AS a, greatest(x, y) AS b, weight FROM e), l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
-      w AS (SELECT a AS s, a AS n FROM l UNION SELECT w.s, l.b FROM w JOIN l ON w.n = l.a), c AS (SELECT n, min(s) AS c FROM w GROUP BY n),
-      best AS (SELECT c FROM c GROUP BY c ORDER BY count(*) DESC, c LIMIT 1) SELECT a, b, weight FROM p WHERE a IN (SELECT n FROM c WHERE c.c = (SELECT c FROM best))""",
+      w AS (SELECT min(a) AS n FROM l UNION SELECT l.b FROM w JOIN l ON w.n = l.a)
+      SELECT a, b, weight FROM p JOIN w ON w.n = a WHERE 2 * (SELECT count(*) FROM w) > (SELECT count(DISTINCT a) FROM l)""",
     "q13_community_rows": f"""WITH {I.GRAPH}, {I.MEMBERS}, own AS (SELECT level, community, coalesce(min(parent), -1) AS parent, count(DISTINCT ent.id) AS size, md5(array_to_string(list_sort(list_distinct(list(ent.id))), ',')) AS entities FROM mem JOIN ent ON ent.title = mem.title GROUP BY 1, 2),
       ins AS (SELECT s.level, s.community, rel.id, rel.text_unit_ids FROM rel JOIN mem s ON s.title = source JOIN mem t ON t.title = target AND t.level = s.level AND t.community = s.community),
       agg AS (SELECT level, community, count(DISTINCT id) AS n_relationships, md5(array_to_string(list_sort(list_distinct(flatten(list(text_unit_ids)))), ',')) AS units FROM ins GROUP BY 1, 2),

@@ -69,7 +69,7 @@ def global_batches(spark, sf, most: int = 60):
     """Report lines packed in seeded-shuffle order, each batch then by occurrence and rank."""
     e = S.memberships(I.entities(spark, sf), I.communities(spark, sf), 1)
     rows = S.community_weights(I.reports(spark, sf), e).withColumn("cost", F.length("content") + F.length("title") + 2)
-    ids = [r[0] for r in rows.select("id").orderBy("id").collect()]  # reports of one level, one row a community
+    ids = [r[0] for r in rows.select("id").orderBy("id").limit(1_000_001).collect()]  # seeded_shuffle refuses more than a million
     place = spark.createDataFrame(list(O.seeded_shuffle(ids).items()), "id string, place long")
     packed = O.pack_in_order(rows.join(place, "id").withColumn("g", F.lit(0)), "cost", most, "place", ["g"])
     order = Window.partitionBy("batch").orderBy(F.desc("occurrence"), F.desc("rank"), "place")
@@ -84,8 +84,9 @@ def batch_totals(spark, sf, most: int = 60):
 
 def map_points(spark, sf, budget: int = 600):
     """Points of map answers, best first, while they fit; answers are made of events, some of them broken JSON."""
-    e = table(spark, sf, "events").filter("event_id % 50 = 0")
-    text = F.concat(F.lit('{"points": [{"description": "event '), "event_id", F.lit('", "score": '), F.col("event_id") % 7, F.lit("}"), F.when(F.col("event_id") % 100 == 0, ",").otherwise(""), F.lit("]}"))
+    e = table(spark, sf, "events")
+    broken = F.col("event_id") % 100 == 0  # a nested object and a comma too many, which must not hide the outer object
+    text = F.concat(F.lit('{"points": [{"description": "event '), "event_id", F.lit('", "score": '), F.col("event_id") % 7, F.when(broken, ', "of": {"a": 1,}},').otherwise("}"), F.lit("]}"))
     answer = F.when(F.col("event_id") % 150 == 0, F.lit("nothing")).otherwise(text)
     points = e.select("event_id", F.explode(A.points(answer)).alias("p")).select("event_id", "p.description", "p.score").filter("score > 0")
     return O.prefix_budget(points.withColumn("cost", F.length("description") + 10), "cost", budget, [F.desc("score"), "event_id"])
@@ -112,8 +113,8 @@ def local_context(spark, sf, budget: int = 4_000):
 def local_units(spark, sf, budget: int = 3_000):
     units = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("text"))
     rows = S.selected_units(selected(spark, sf), units, I.relationships(spark, sf))
-    ordered = rows.orderBy("place", F.desc("n"), "unit").limit(2_000).withColumn("cost", F.length("unit") + F.length("text") + 2)
-    return O.prefix_budget(ordered, "cost", budget, ["place", F.desc("n"), "unit"]).select("unit", "title", "place", "n", "cost")
+    priced = rows.withColumn("cost", F.length("unit") + F.length("text") + 2)
+    return O.prefix_budget(priced, "cost", budget, ["place", F.desc("n"), "unit"]).select("unit", "title", "place", "n", "cost")
 
 
 def local_reports(spark, sf):
@@ -149,21 +150,23 @@ def primer_folds(spark, sf, k: int = 5):
 
 def rendered_rows(spark, sf):
     """Lines with and without quoting."""
-    n = table(spark, sf, "nation").withColumn("note", F.concat("n_name", F.lit(', "'), F.col("n_regionkey"), F.lit('"')))
-    return n.select("n_nationkey", X.csv_row(F.col("n_name"), F.col("note")).alias("csv"), X.csv_row(F.col("n_name"), F.col("note"), sep="|").alias("bar"), X.raw_row(F.col("n_name"), F.lit(None).cast("string"), F.col("note")).alias("raw"), X.xml_escape(F.col("note")).alias("xml"), X.python_float(F.col("n_nationkey") / 4).alias("number"))
+    c = table(spark, sf, "customer").withColumn("note", F.concat("c_name", F.lit(', "'), F.col("c_nationkey"), F.lit('"')))
+    name, note = F.col("c_name"), F.col("note")
+    lines = [X.csv_row(name, note).alias("csv"), X.csv_row(name, note, sep="|").alias("bar"), X.raw_row(name, F.lit(None).cast("string"), note).alias("raw")]
+    return c.select("c_custkey", *lines, X.xml_escape(note).alias("xml"), X.python_float(F.col("c_custkey") / 4).alias("number"), X.brace_escape(F.concat(F.lit("{"), name)).alias("braced"), X.entity_text(name, F.when(F.col("c_custkey") % 2 == 0, note)).alias("entity"))
 
 
 def citations(spark, sf):
     """Citations parsed out of answers."""
-    n = table(spark, sf, "nation")
-    text = F.concat(F.lit("As said [Data: Reports ("), F.col("n_nationkey"), F.lit(", 7, +more); Sources ("), F.col("n_regionkey"), F.lit(")] and [Data: broken]."))
-    rows = n.select("n_nationkey", F.posexplode(X.citations(text)).alias("at", "c"))
-    return rows.select("n_nationkey", "at", "c.dataset", F.array_join("c.record_ids", ",").alias("record_ids"), "c.has_more")
+    c = table(spark, sf, "customer")
+    text = F.concat(F.lit("As said [Data: Reports ("), F.col("c_custkey"), F.lit(", 7, +more); Sources ("), F.col("c_nationkey"), F.lit(")] and [Data: broken]."))
+    rows = c.select("c_custkey", F.posexplode(X.citations(text)).alias("at", "c"))
+    return rows.select("c_custkey", "at", "c.dataset", F.array_join("c.record_ids", ",").alias("record_ids"), "c.has_more")
 
 
 def id_lookup(spark, sf):
     """Ids found as they are, else without their dashes."""
-    e = I.entities(spark, sf).filter("type = 'SUPPLIER'").select("id", "title")
+    e = I.entities(spark, sf).select("id", "title")
     wanted = e.select(F.when(F.hash("id") % 2 == 0, F.col("id")).otherwise(F.concat(F.substring("id", 1, 1), F.lit("-"), F.expr("substring(id, 2)"))).alias("asked"))
     exact = wanted.join(e.select(F.col("id").alias("asked"), F.col("title").alias("t1")), "asked", "left")
     bare = exact.withColumn("bare", F.replace("asked", F.lit("-"), F.lit("")))
@@ -200,7 +203,7 @@ SQL = {
     "q28_batch_totals": f"""WITH RECURSIVE {I.HIERARCHY}, r AS (SELECT length(content) + length(title) + 2 AS cost, row_number() OVER (ORDER BY community) AS i FROM rep),
       w AS (SELECT 1 AS i, 0 AS batch, cost AS run, cost FROM r WHERE i = 1 UNION ALL SELECT r.i, CASE WHEN w.run + r.cost > 60 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.run + r.cost > 60 THEN r.cost ELSE w.run + r.cost END, r.cost FROM w JOIN r ON r.i = w.i + 1)
       SELECT batch, count(*) AS n, sum(cost)::BIGINT AS cost FROM w GROUP BY 1""",
-    "q29_map_points": """WITH p AS (SELECT event_id, 'event ' || event_id AS description, (event_id % 7)::DOUBLE AS score, length('event ' || event_id) + 10 AS cost FROM events WHERE event_id % 50 = 0 AND event_id % 150 <> 0 AND event_id % 7 > 0),
+    "q29_map_points": """WITH p AS (SELECT event_id, 'event ' || event_id AS description, (event_id % 7)::DOUBLE AS score, length('event ' || event_id) + 10 AS cost FROM events WHERE event_id % 150 <> 0 AND event_id % 7 > 0),
       r AS (SELECT *, sum(cost) OVER (ORDER BY score DESC, event_id ROWS UNBOUNDED PRECEDING) AS run FROM p) SELECT event_id, description, score, cost::INTEGER AS cost FROM r WHERE run <= 600""",
     "q30_local_relationships": f"""WITH {I.GRAPH}, {SELECTED}, o AS (SELECT rel.*, target AS t FROM rel JOIN sel ON sel.title = target), l AS (SELECT source, count(DISTINCT target) AS links FROM o GROUP BY 1)
       SELECT id, o.source, o.target, rank, links, 1 AS part FROM o JOIN l USING (source) ORDER BY links DESC, rank DESC, id LIMIT 80""",
@@ -215,8 +218,11 @@ SQL = {
     "q36_hierarchy_walk": f"""WITH {I.HIERARCHY}, r AS (SELECT community, level, parent, len(entity_ids) % 3 >= 1 AS ok FROM com), top AS (SELECT community, level, parent FROM r WHERE level = 0 AND ok), kid AS (SELECT community, level, parent FROM r WHERE level = 1 AND ok AND parent IN (SELECT community FROM top))
       SELECT * FROM kid UNION ALL SELECT * FROM top WHERE community NOT IN (SELECT parent FROM kid)""",
     "q37_primer_folds": f"WITH {VEC}, t AS (SELECT id, row_number() OVER (ORDER BY list_cosine_similarity(x, y) DESC, id) AS r FROM v QUALIFY r <= 23) SELECT id, (ntile(5) OVER (ORDER BY r) - 1)::INTEGER AS fold FROM t",
-    "q38_rendered_rows": """SELECT n_nationkey, n_name || ',"' || replace(n_name || ', "' || n_regionkey || '"', '"', '""') || '"' AS csv, n_name || '|"' || replace(n_name || ', "' || n_regionkey || '"', '"', '""') || '"' AS bar,
-      n_name || '||' || n_name || ', "' || n_regionkey || '"' AS raw, n_name || ', &quot;' || n_regionkey || '&quot;' AS xml, (n_nationkey / 4)::DOUBLE::VARCHAR AS number FROM nation""",
-    "q39_citations": "SELECT n_nationkey, 0 AS at, 'Reports' AS dataset, n_nationkey || ',7' AS record_ids, true AS has_more FROM nation UNION ALL SELECT n_nationkey, 1, 'Sources', n_regionkey::VARCHAR, false FROM nation",
-    "q40_id_lookup": "SELECT 's' || s_suppkey AS bare, s_name AS title FROM supplier",
+    "q38_rendered_rows": """WITH n AS (SELECT c_custkey, c_name, c_name || ', "' || c_nationkey || '"' AS note FROM customer)
+      SELECT c_custkey, c_name || ',"' || replace(note, '"', '""') || '"' AS csv, c_name || '|"' || replace(note, '"', '""') || '"' AS bar,
+        c_name || '||' || note AS raw, replace(note, '"', '&quot;') AS xml, (c_custkey / 4)::DOUBLE::VARCHAR AS number,
+        '{{' || c_name AS braced, c_name || ':' || CASE WHEN c_custkey % 2 = 0 THEN note ELSE '' END AS entity FROM n""",
+    "q39_citations": """SELECT c_custkey, 0 AS at, 'Reports' AS dataset, c_custkey || ',7' AS record_ids, true AS has_more FROM customer
+      UNION ALL SELECT c_custkey, 1, 'Sources', c_nationkey::VARCHAR, false FROM customer""",
+    "q40_id_lookup": "SELECT 's' || s_suppkey AS bare, s_name AS title FROM supplier UNION ALL SELECT 'c' || c_custkey, c_name FROM customer",
 }

@@ -14,12 +14,12 @@ from tessera.functions.text import content_id
 
 
 def text_documents(spark: SparkSession, folder: str, pattern: str = r".*\.txt$") -> DataFrame:
-    """(id, title, text, path) of UTF-8 files below a folder whose relative path matches; files of other bytes are left out."""
+    """(id, title, text, path) of UTF-8 files below a folder whose path matches, in path order; files of other bytes are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     rows = files.filter(F.col("path").rlike(pattern))
     text = F.expr("try_validate_utf8(cast(content as string))")
     rows = rows.select(F.element_at(F.split("path", "/"), -1).alias("title"), text.alias("text"), "path").filter("text is not null")
-    return rows.select(content_id(F.col("text")).alias("id"), "title", "text", "path")
+    return rows.select(content_id(F.col("text")).alias("id"), "title", "text", "path").orderBy("path")
 
 
 def raw_field(column: str, dotted: str):
@@ -71,9 +71,16 @@ class Tables:
         staged = f"{self.folder}/.staged-{uuid.uuid4().hex}"
         df.write.option("compression", compression).parquet(staged)
         fs, path = self._fs()
-        fs.delete(path(self.path(name)), True)
-        if not fs.rename(path(staged), path(self.path(name))):
+        old, here = path(f"{self.folder}/.old-{uuid.uuid4().hex}"), path(self.path(name))
+        had = fs.exists(here)
+        if had and not fs.rename(here, old):
+            raise OSError(f"cannot move the old {name} away")
+        if not fs.rename(path(staged), here):
+            if had:
+                fs.rename(old, here)
             raise OSError(f"cannot put {name} in place")
+        if had:
+            fs.delete(old, True)
 
     def append(self, name: str, df: DataFrame) -> None:
         """Rows added to a table of the same columns, in its own column order."""
