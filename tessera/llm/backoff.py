@@ -14,8 +14,8 @@ Hot pairs are counted over all documents before, and scored where the documents
 Which pairs are hot, at most ``hot_pairs`` of them, a hash sample of the texts says; a pair it misses goes to its bucket as any other.
 
 Defined results: null, empty and white texts have no token, log_score 0 and a null mean; repeated rows each count and
-each have a row, with the results of its own text; so do rows that share an id or have none. Rows are told apart, and pairs
-named, by 64-bit hashes. An empty table gives an empty result; extra columns are ignored.
+each have a row, with the results of its own text; so do rows that share an id or have none, which are told apart by a
+64-bit hash of id and text. Pairs are named by 64-bit hashes. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint_dir, cut
+from tessera.llm.rows import slices
+from tessera.session import broadcast_if_small, checkpoint_dir, cut
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,7 +63,7 @@ def tokens(text: str | None, known: Hashes) -> np.ndarray:
 def _runs(batches, run_tokens: int):
     """(row keys, lengths, all hashes) of consecutive documents holding about ``run_tokens`` tokens."""
     known, keys, parts, size = Hashes(), [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             h = tokens(text, known)
             keys.append(key)
@@ -189,11 +190,22 @@ def _sum_by(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return u, np.bincount(at, value, len(u))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` (own, text) with a key ``id``: the id itself, which packs best, or for null and repeated ids a hash with the text."""
+    hashed = -F.abs(F.xxhash64("own", "text").bitwiseAND(F.lit((1 << 62) - 1))) - F.lit(1 << 62)
+    again = cut(rows.groupBy("own").agg(F.count("*").alias("n")).filter("n > 1 and own is not null").select("own"))
+    few = broadcast_if_small(again)
+    if few is again:  # too many to be sent around
+        return rows.withColumn("id", hashed)
+    marked = rows.join(few.withColumn("again", F.lit(True)), "own", "left")
+    return marked.select("own", F.when(F.col("own").isNull() | F.col("again"), hashed).otherwise(F.col("own")).alias("id"), "text")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2, heavy: int = 500_000, bucket_chars: int = 8_000_000, run_tokens: int = 1_000_000, hot_pairs: int = 100_000, hot_sample: int = 64) -> DataFrame:
     """(id, n_tokens, log_score, mean_log_score) of every document under counts from all of them."""
     if not 0 < heavy < LIGHT:
         raise ValueError("heavy must be 1 to 1,048,574")
-    rows = docs.select(F.col(id_col).cast("long").alias("own"), F.xxhash64(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    rows = _keyed(docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text")))
     texts = rows.select("id", "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-chars // bucket_chars))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import byte_alphabet
+from tessera.llm.rows import slices
 from tessera.session import cut, without_columns
 
 #: Characters that every Unicode version and both regex engines class alike: ASCII, Latin letters, common marks.
@@ -90,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         coder, close, size = load(tokenizer), np.array([close_id], "<u4").tobytes(), 4 * window
-        for batch in batches:
+        for batch in slices(batches):
             out = defaultdict(list)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = coder.encode(text) + close

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.rows import append, double, long, remainder
+from tessera.llm.rows import append, double, long, remainder, slices
 from tessera.session import broadcast_if_small
 
 PASSAGE = 1024
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = broadcast_if_small(picked[0].unionByName(picked[1]), sample_docs + 1)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(0).to_pylist():
                 x = describe(text)

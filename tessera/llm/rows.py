@@ -19,6 +19,13 @@ def remainder(id_col: str, by: int):
     return F.crc32(F.col(id_col).cast("string")) % F.lit(by)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that only so many whole texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def append(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list[pa.Array]]], keep_text: bool = True) -> DataFrame:
     """``df`` with new columns computed from its text column, batch by batch, without a shuffle.
 
@@ -32,7 +39,7 @@ def append(df: DataFrame, text_col: str, fields: list[T.StructField], make: Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in slices(batches):
             made = work(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], *made], names=[*[batch.schema.names[i] for i in stay], *[f.name for f in fields]])
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from functools import reduce
-from itertools import chain, combinations, repeat
+from itertools import chain, combinations, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.rows import append, long
+from tessera.llm.rows import append, long, slices
 from tessera.operators.components import connected_components
 from tessera.session import broadcast_if_small, cut, stored, without_columns
 
@@ -175,7 +175,7 @@ def _shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndar
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
+    grams = map(b" ".join, zip(*(islice(words, i, None) for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64)
 
 
@@ -193,7 +193,7 @@ def sketches(rows: DataFrame, shingle: int, every: int) -> DataFrame:
     """(id, k0, k1, n, f0, f1, cells) of rows (id, k0, k1, text): distinct shingles, two fingerprints, passage hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = []
             for text in batch.column(3).to_pylist():
                 h = _shingle_hashes(text, shingle)
@@ -301,7 +301,7 @@ def dropped_texts(docs: DataFrame, texts: DataFrame, shingle: int, similarity: f
     left = stored(texts.join(broadcast_if_small(roots), "node").select("node", "id", "k0", "k1", "n", F.col("component").alias("class")))
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = [np.unique(_shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
 

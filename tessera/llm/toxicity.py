@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.rows import append, double, remainder
+from tessera.llm.rows import append, double, remainder, slices
 from tessera.session import broadcast_if_small, cut
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -146,7 +146,7 @@ def _counts(train: DataFrame) -> DataFrame:
             sums[0].clear(), sums[1].clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[label].update(features(WORD.findall(lowered(text))))
                 if len(sums[0]) + len(sums[1]) > 400_000:
@@ -207,7 +207,7 @@ def _calibrate(model: ToxicityModel, sample: DataFrame, id_col: str, text_col: s
 
     def run(batches):
         lookup = model.lookup()
-        for batch in batches:
+        for batch in slices(batches):
             words = [WORD.findall(lowered(t)) if t else [] for t in batch.column(0).to_pylist()]
             sums = [[s for _, _, s in model.sums(w, lookup)] for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.list_(pa.float64())), pa.array([max(1, len(w)) for w in words], pa.int64()), batch.column(1), batch.column(2)], names=["sums", "n", "label", "id"])
