@@ -205,16 +205,38 @@ def semantic_windows(df: DataFrame, text_col: str = "text", size: int = 1200) ->
     return base.mapInPandas(run, f"{kept}, ordinal int").withColumn("n_tokens", F.length("chunk").cast("long"))
 
 
-def token_counter(path: str, pattern: str = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""):
-    """A UDF from text to its number of byte-pair tokens under a ranks file that every executor has at ``path``."""
+def with_metadata(chunks: DataFrame, pairs: list[tuple[str, Column]], chunk_col: str = "chunk") -> DataFrame:
+    """``chunks`` with the metadata lines before each chunk, and n_tokens counted again."""
+    return chunks.withColumn(chunk_col, F.concat(metadata_prefix(pairs), F.col(chunk_col))).withColumn("n_tokens", F.length(chunk_col).cast("long"))
 
-    @F.pandas_udf(T.LongType())
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-        from tiktoken.load import load_tiktoken_bpe
 
-        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
-        for s in batches:
-            yield s.map(lambda x: len(coder.encode_ordinary(x)) if x else 0)
+def python_list(items: Column) -> Column:
+    """A list of texts as Python prints it: double quotes only around a text with a single quote and no double one."""
 
-    return count
+    def one(x):
+        safe = F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+        double = F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"'))
+        return F.when(double, F.concat(F.lit('"'), safe, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(safe, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, one), ", "), F.lit("]"))
+
+
+def json_list(items: Column) -> Column:
+    """A JSON array of texts with a blank behind each comma."""
+    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)), ", "), F.lit("]"))
+
+
+def python_int(c: Column) -> Column:
+    """A JSON text as Python's int() takes it: whole numbers, numbers cut to whole, true and false; null for the rest."""
+    bare = F.trim(c)
+    return F.coalesce(bare.try_cast("long"), bare.try_cast("double").cast("long"), F.when(F.lower(bare) == "true", 1).when(F.lower(bare) == "false", 0))
+
+
+def identifier(c: Column) -> Column:
+    """Whether a text is a plain identifier."""
+    return F.coalesce(c.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"), F.lit(False))
+
+
+def period(now: Column | None = None) -> Column:
+    """The UTC date as text; a fixed time can be given for tests."""
+    return F.date_format(F.to_utc_timestamp(now, F.current_timezone()) if now is not None else F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd")

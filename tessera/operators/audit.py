@@ -46,3 +46,45 @@ def vector_delta(a: DataFrame, b: DataFrame, id_col: str = "id", vector_col: str
 def inventory(df: DataFrame, name: str) -> dict:
     """Columns, types, nullability and rows of a table."""
     return {"table": name, "columns": [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema], "rows": df.count()}
+
+
+def orphan_checks(tables: dict[str, DataFrame]) -> DataFrame:
+    """:func:`orphans` of every reference between the tables of an index that are there."""
+    lists = lambda c: F.explode(F.col(c))
+    refs = [
+        ("documents", "text_unit_ids", "text_units", "id", True), ("text_units", "document_id", "documents", "id", False),
+        ("text_units", "entity_ids", "entities", "id", True), ("text_units", "relationship_ids", "relationships", "id", True),
+        ("text_units", "covariate_ids", "covariates", "id", True), ("entities", "text_unit_ids", "text_units", "id", True),
+        ("relationships", "text_unit_ids", "text_units", "id", True), ("relationships", "source", "entities", "title", False),
+        ("relationships", "target", "entities", "title", False), ("communities", "entity_ids", "entities", "id", True),
+        ("communities", "relationship_ids", "relationships", "id", True), ("communities", "text_unit_ids", "text_units", "id", True),
+        ("community_reports", "community", "communities", "community", False), ("covariates", "text_unit_id", "text_units", "id", False),
+    ]
+    made = None
+    for table, col, target, key, many in refs:
+        if table in tables and target in tables and col in tables[table].columns:
+            one = orphans(tables[table].select(F.col(col)), lists(col) if many else F.col(col), tables[target], key, f"{table}.{col}")
+            made = one if made is None else made.unionByName(one)
+    return made
+
+
+def schema_faults(df: DataFrame, required: dict[str, str], optional: dict[str, str] | None = None) -> list[str]:
+    """What differs from a schema: required columns that are missing, and columns of another type."""
+    have = {f.name: f.dataType.simpleString() for f in df.schema}
+    missing = [f"{name}: missing" for name in required if name not in have]
+    wanted = required | (optional or {})
+    return sorted(missing + [f"{name}: {have[name]}, not {t}" for name, t in wanted.items() if name in have and have[name] != t])
+
+
+def canonical(df: DataFrame, identity: DataFrame, scalars: list[str], lists: list[str], key: str = "id") -> DataFrame:
+    """``df`` with ids replaced by what ``identity`` (id, name) says they mean; lists sorted, unknown ids as ``?``, rows kept as often as they come."""
+    known = identity.select(F.col("id").alias("__id"), F.col("name").alias("__name"))
+    for col in scalars:
+        df = df.join(known, df[col] == known["__id"], "left").withColumn(col, F.coalesce("__name", F.lit("?"))).drop("__id", "__name")
+    for col in lists:
+        numbered = df.withColumn("__row", F.xxhash64(*[c for c in df.columns if c != col], col))
+        flat = numbered.select("__row", F.explode(col).alias("__id")).distinct().join(known, "__id", "left").select("__row", "__id", F.coalesce("__name", F.lit("?")).alias("__name"))
+        names = flat.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("__id", "__name"))).alias("__m"))
+        mapped = F.array_sort(F.transform(col, lambda x: F.element_at("__m", x)))
+        df = numbered.join(names, "__row", "left").withColumn(col, F.coalesce(mapped, F.array().cast("array<string>"))).drop("__row", "__m")
+    return df

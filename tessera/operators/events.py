@@ -75,3 +75,24 @@ def unique_citations(candidates: DataFrame, present: DataFrame) -> DataFrame:
 def usage(calls: DataFrame) -> DataFrame:
     """Calls and tokens by category, and the total (category null)."""
     return calls.rollup("category").agg(F.sum("llm_calls").alias("llm_calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
+def event_filter(log: DataFrame, after: int = -1, limit: int = 500, **equal) -> DataFrame:
+    """A page of events beyond a sequence whose columns equal all the values given (null: any)."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit must be 1 to 1000")
+    rows = log.filter(F.col("sequence") > after)
+    for name, value in equal.items():
+        rows = rows if value is None else rows.filter(F.col(name) == value)
+    return rows.orderBy("sequence", "run_id").limit(limit)
+
+
+def final_focus(log: DataFrame, kind: str, ids: str = "ids") -> DataFrame:
+    """(run_id, id, at): distinct ids in the last event of a kind of each run, at the place they are first seen."""
+    last = latest(log, ["run_id"], [kind]).select("run_id", F.posexplode(ids).alias("p", "id"))
+    return last.groupBy("run_id", "id").agg(F.min("p").alias("at"))
+
+
+def payload(log: DataFrame, *columns: str) -> DataFrame:
+    """(run_id, sequence, event_type, payload_json): the columns of each event as one JSON text, nulls left out."""
+    return log.select("run_id", "sequence", "event_type", F.to_json(F.struct(*columns)).alias("payload_json"))

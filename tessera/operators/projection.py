@@ -80,3 +80,68 @@ def node_size(degree):
 def summary(entities: DataFrame) -> DataFrame:
     """Entities by type; those without one under a null type."""
     return entities.groupBy("type").agg(F.count("*").alias("n"))
+
+
+def graph_summary(entities: DataFrame, edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """One row: entities, relationships, communities, their sorted distinct levels, and entities without a type."""
+    e = entities.agg(F.count("*").alias("entities"), F.count(F.when(F.col("type").isNull(), 1)).alias("untyped"))
+    r, c = edges.agg(F.count("*").alias("relationships")), communities.agg(F.count("*").alias("communities"), F.array_sort(F.collect_set("level")).alias("levels"))
+    return e.join(F.broadcast(r)).join(F.broadcast(c))  # one row each
+
+
+def entity_filter(entities: DataFrame, type_: str | None = None, community: int | None = None, communities: DataFrame | None = None) -> DataFrame:
+    """Entities of a type, and of a community's members."""
+    rows = entities if type_ is None else entities.filter(F.col("type") == type_)
+    if community is None:
+        return rows
+    ids = communities.filter(F.col("community") == community).select(F.explode("entity_ids").alias("id")).distinct()
+    return rows.join(ids, "id", "left_semi")
+
+
+def edge_filter(edges: DataFrame, source: str | None = None, target: str | None = None) -> DataFrame:
+    for end, name in (("source", source), ("target", target)):
+        edges = edges if name is None else edges.filter(F.col(end) == name)
+    return edges
+
+
+def community_filter(communities: DataFrame, level: int | None = None, parent: int | None = None) -> DataFrame:
+    for col, v in (("level", level), ("parent", parent)):
+        communities = communities if v is None else communities.filter(F.col(col) == v)
+    return communities
+
+
+def entity_overview(entities: DataFrame, cap: int) -> DataFrame:
+    """The ``cap`` entities of highest rank, ties by id: the picture of a graph without edges."""
+    return entities.orderBy(F.desc("rank"), "id").limit(cap)
+
+
+def with_report(communities: DataFrame, reports: DataFrame) -> DataFrame:
+    """``communities`` with the id and title of their first report by order, null where there is none."""
+    first = reports.groupBy("community").agg(F.min_by(F.struct(F.col("id").alias("report_id"), F.col("title").alias("report_title")), "at").alias("r"))
+    return communities.join(first, "community", "left").withColumn("report_id", F.col("r.report_id")).withColumn("report_title", F.col("r.report_title")).drop("r")
+
+
+def elements(entities: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, role, kind): seeds and neighbours, types in upper case or OTHER."""
+    s = seeds.select("id", F.lit(True).alias("seed")).distinct()
+    kind = F.when(F.length(F.trim("type")) > 0, F.upper("type")).otherwise("OTHER")
+    return entities.join(s, "id", "left").select("id", F.when(F.col("seed"), "seed").otherwise("neighbour").alias("role"), F.coalesce(kind, F.lit("OTHER")).alias("kind"))
+
+
+def snapshot(tables: dict[str, DataFrame], id_col: str = "id") -> dict[str, DataFrame]:
+    """``tables`` as they are, if no id repeats in any of them; else an error that names the tables."""
+    bad = [name for name, df in tables.items() if not df.groupBy(id_col).count().filter("count > 1").isEmpty()]
+    if bad:
+        raise ValueError(f"repeated ids in {sorted(bad)}")
+    return tables
+
+
+def subgraph(edges: DataFrame, entities: DataFrame, seeds: DataFrame, depth: int, max_nodes: int, max_edges: int) -> list[tuple]:
+    """Edges among the seeds (depth 0) or at the seeds (depth 1) that an overview takes; a seed without an entity is an error."""
+    lost = resolve_seeds(seeds, entities).filter("status = 'missing'").limit(3).collect()
+    if lost:
+        raise KeyError([r["id"] for r in lost])
+    titles = entities.join(seeds.select("id").distinct(), "id", "left_semi").select("title")
+    out = edges.join(titles.withColumnRenamed("title", "source").withColumn("__s", F.lit(1)), "source", "left").join(titles.withColumnRenamed("title", "target").withColumn("__t", F.lit(1)), "target", "left")
+    ends = F.coalesce("__s", F.lit(0)) + F.coalesce("__t", F.lit(0))
+    return overview(out.filter(ends >= (1 if depth else 2)).drop("__s", "__t"), max_nodes, max_edges)

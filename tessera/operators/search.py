@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators.order import first_by
+from tessera.operators.order import first_by, prefix_budget
 from tessera.session import broadcast_if_small, cut
 
 
@@ -136,3 +136,52 @@ def walk_hierarchy(communities: DataFrame, ratings: DataFrame, threshold: int =
         return chosen
     parents = chosen.select(F.col("parent").alias("community")).distinct()
     return chosen.join(parents, "community", "left_anti")
+
+
+def backed_communities(communities: DataFrame, reports: DataFrame) -> DataFrame:
+    """Communities that have a report."""
+    return communities.join(reports.select("community").distinct(), "community", "left_semi")
+
+
+def hydrate_reports(reports: DataFrame, vectors: DataFrame, strict: bool = False) -> DataFrame:
+    """``reports`` with their vector and whether it is missing; ``strict`` makes a missing one an error."""
+    joined = reports.join(vectors.select(F.col("id"), "vector"), "id", "left").withColumn("missing", F.col("vector").isNull())
+    if strict:
+        fail = F.when(F.col("missing"), F.raise_error(F.concat(F.lit("no vector for report "), "id")).cast("boolean")).otherwise(False)
+        joined = joined.withColumn("missing", fail)
+    return joined
+
+
+def split_budget(total: int, *shares: float) -> list[int]:
+    """Whole tokens of each share and of what is left."""
+    parts = [int(total * s) for s in shares]
+    return [*parts, int(total * (1 - sum(shares)))]
+
+
+def reduce_points(points: DataFrame, budget: int) -> DataFrame:
+    """Points (batch, at, description, score) of a score above zero, best first in stable order, until one doesn't fit."""
+    text = F.concat(F.lit("----Analyst "), F.col("batch") + 1, F.lit("----\nImportance Score: "), F.col("score").cast("long"), F.lit("\n"), F.col("description"))
+    rows = points.filter("score > 0").withColumn("text", text).withColumn("cost", F.length("text"))
+    return prefix_budget(rows, "cost", budget, [F.desc("score"), "batch", "at"])
+
+
+def primer_totals(answers: DataFrame) -> DataFrame:
+    """(answer, score, follow_ups) of primer answers (fold, answer, score, follow_ups): texts joined by blank lines, the mean
+    score, all follow-ups in order; none at all is an error."""
+    items = F.array_sort(F.collect_list(F.struct("fold", "answer", "follow_ups")))
+    one = answers.agg(items.alias("i"), F.avg("score").alias("score"))  # one row a fold
+    ups = F.flatten(F.transform("i", lambda x: x["follow_ups"]))
+    checked = F.when(F.size(ups) == 0, F.raise_error(F.lit("no follow-up in any answer")).cast("array<string>")).otherwise(ups)
+    return one.select(F.array_join(F.transform("i", lambda x: x["answer"]), "\n\n").alias("answer"), "score", checked.alias("follow_ups"))
+
+
+def sample_units(units: DataFrame, n: int, seed: int = 86, id_col: str = "id") -> DataFrame:
+    """``n`` units chosen by hash without replacement; asking for more than there are is an error."""
+    if units.limit(n).count() < n:
+        raise ValueError(f"fewer than {n} units")
+    return units.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+
+
+def first_units(units: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first ``n`` units in order, or all."""
+    return units if n is None else units.orderBy(*order).limit(n)

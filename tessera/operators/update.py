@@ -70,3 +70,46 @@ def append_communities(previous: DataFrame, delta: DataFrame) -> DataFrame:
     moved = delta.withColumn("community", move("community")).withColumn("parent", move("parent"))
     moved = moved.withColumn("title", F.concat(F.lit("Community "), F.col("community"))).withColumn("human_readable_id", F.col("community"))
     return previous.unionByName(moved, allowMissingColumns=True)
+
+
+def append_units(previous: DataFrame, delta: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Text units of both sides: the delta's ids go on after the largest earlier one, its entity ids are mapped."""
+    return append_rebased(previous, remap_list(delta, "entity_ids", mapping))
+
+
+def append_reports(previous: DataFrame, delta: DataFrame, shift: int) -> DataFrame:
+    """Reports of both sides: the delta's community and parent move by ``shift`` (-1 stays), titles stay, findings get one
+    field order, and every human_readable_id is its community."""
+    move = lambda c: F.when(F.col(c) == -1, -1).otherwise(F.col(c) + shift)
+    moved = delta.withColumn("community", move("community")).withColumn("parent", move("parent"))
+    tidy = lambda df: df.withColumn("findings", F.transform("findings", lambda f: F.struct(f["summary"].alias("summary"), f["explanation"].alias("explanation"))))
+    return tidy(previous).unionByName(tidy(moved), allowMissingColumns=True).withColumn("human_readable_id", F.col("community"))
+
+
+def append_covariates(previous: DataFrame | None, delta: DataFrame | None) -> DataFrame | None:
+    """Covariates of both sides; where one side has no table, the final one is left as it is (the earlier one or none)."""
+    if previous is None or delta is None:
+        return previous
+    return append_rebased(previous, delta)
+
+
+def attach_summaries(merged: DataFrame, summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """``merged`` with the description of its keys' summary, empty where there is none; of repeated summaries the largest text."""
+    one = summaries.groupBy(*keys).agg(F.max("description").alias("description"))
+    return merged.drop("description").join(one, keys, "left").withColumn("description", F.coalesce("description", F.lit("")))
+
+
+def update_index(previous: dict[str, DataFrame], delta: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables of an index after a delta: documents, entities, relationships, units, communities, reports, covariates."""
+    mapping = id_mapping(previous["entities"], delta["entities"])
+    entities = merge_entities(previous["entities"], delta["entities"])
+    made = {
+        "documents": append_rebased(previous["documents"], new_documents(delta["documents"], previous["documents"])),
+        "entities": entities,
+        "relationships": merge_relationships(previous["relationships"], delta["relationships"], entities),
+        "text_units": append_units(previous["text_units"], delta["text_units"], mapping),
+        "communities": append_communities(previous["communities"], delta["communities"]),
+        "community_reports": append_reports(previous["community_reports"], delta["community_reports"], max_id(previous["communities"], "community") + 1),
+    }
+    covariates = append_covariates(previous.get("covariates"), delta.get("covariates"))
+    return made if covariates is None else made | {"covariates": covariates}

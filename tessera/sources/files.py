@@ -91,6 +91,18 @@ class Tables:
             df = df.select(old.columns)
         df.write.mode("append").parquet(self.path(name))
 
+    def count(self, name: str) -> int:
+        return self.read(name).count()
+
+    def ids(self, name: str, id_col: str = "id") -> DataFrame:
+        """All ids in order, repeats and all."""
+        return self.read(name).select(id_col).orderBy(id_col)
+
+    def snapshot(self, prefix: str, tables: dict[str, DataFrame]) -> None:
+        """Tables written under names with a prefix, such as raw lists or vectors beside the final ones; an empty one keeps its schema."""
+        for name, df in tables.items():
+            self.write(f"{prefix}{name}", df)
+
     def has_id(self, name: str, value, id_col: str = "id") -> bool:
         return not self.read(name).filter(F.col(id_col) == value).limit(1).isEmpty()
 

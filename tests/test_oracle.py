@@ -21,7 +21,7 @@ def duck():
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     def one(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return ""
         if isinstance(x, (float, int)) and not isinstance(x, bool):
             return f"{float(x):.6g}"
