@@ -166,9 +166,9 @@ def updated_covariates(spark, sf):
 
 
 def attached_summaries(spark, sf):
-    e = I.entities(spark, sf).select("id", "title")
-    s = e.filter("crc32(cast(title as binary)) % 3 <> 0").select("title", F.concat(F.lit("on "), "title").alias("description"))
-    return U.attach_summaries(e, s, ["title"])
+    e = I.entities(spark, sf).select("id", "title", "human_readable_id")
+    s = e.filter("human_readable_id % 3 <> 0").select("title", F.concat(F.lit("on "), "title").alias("description"))
+    return U.attach_summaries(e, s, ["title"]).select("id", "title", "description")
 
 
 def graph_summary(spark, sf):

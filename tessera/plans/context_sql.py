@@ -93,6 +93,8 @@ SQL = {
     "q98_updated_covariates": f"""WITH {COVARIATES}, a AS (SELECT id, human_readable_id, subject_id FROM cov WHERE human_readable_id % 2 = 0)
       SELECT * FROM a UNION ALL SELECT id, (SELECT max(human_readable_id) FROM a) + row_number() OVER (ORDER BY human_readable_id), subject_id
       FROM cov WHERE human_readable_id % 3 = 0""",
+    "q99_attached_summaries": f"""WITH {I.ENTITIES} SELECT id, title, CASE WHEN human_readable_id % 3 <> 0 THEN 'on ' || title ELSE '' END AS description
+      FROM ent""",
     "q100_graph_summary": f"""WITH {I.GRAPH}, {I.MEMBERS}, {I.COMMUNITIES}
       SELECT (SELECT count(*) FROM ent) AS entities, (SELECT count(*) FROM rel) AS relationships, (SELECT count(*) FROM com) AS communities,
         (SELECT string_agg(level::VARCHAR, ',' ORDER BY level) FROM (SELECT DISTINCT level FROM com)) AS levels,
