@@ -105,6 +105,18 @@ class AttentionModel:
         return p, np.maximum.reduceat(weight, starts).tolist()
 
 
+def gradients(m: AttentionModel, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the mean log loss of the bags in ``x`` by layer."""
+    p, z, weight, h, t, s, bag = m.forward(x, starts)
+    g = (p - y) / len(y)
+    dz = g[:, None] * m.c[:-1]
+    along = (h * dz[bag]).sum(1)
+    de = weight * (along - np.add.reduceat(weight * along, starts)[bag])
+    dt, ds = de[:, None] * m.a * s * (1 - t * t), de[:, None] * m.a * t * s * (1 - s)
+    dh = (dz[bag] * weight[:, None] + dt @ m.v.T + ds @ m.u.T) * (1 - h * h)
+    return {"w": np.concatenate([x.T @ dh, dh.sum(0, keepdims=True)]), "v": h.T @ dt, "u": h.T @ ds, "a": (t * s).T @ de, "c": np.r_[z.T @ g, g.sum()]}
+
+
 def train(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 40, batch: int = 128, rate: float = 5e-3, decay: float = 1e-4, seed: int = 7) -> AttentionModel:
     rng = np.random.default_rng(seed)
     if not len(bags) or y.min() == y.max():
@@ -118,14 +130,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 1
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
             x, starts = np.concatenate([bags[i] for i in pick]), np.cumsum([0, *[len(bags[i]) for i in pick]])[:-1]
-            p, z, weight, h, t, s, bag = m.forward(x, starts)
-            g = (p - y[pick]) / len(pick)
-            dz = g[:, None] * m.c[:-1]
-            along = (h * dz[bag]).sum(1)
-            de = weight * (along - np.add.reduceat(weight * along, starts)[bag])
-            dt, ds = de[:, None] * m.a * s * (1 - t * t), de[:, None] * m.a * t * s * (1 - s)
-            dh = (dz[bag] * weight[:, None] + dt @ m.v.T + ds @ m.u.T) * (1 - h * h)
-            grads = {"w": np.concatenate([x.T @ dh, dh.sum(0, keepdims=True)]), "v": h.T @ dt, "u": h.T @ ds, "a": (t * s).T @ de, "c": np.r_[z.T @ g, g.sum()]}
+            grads = gradients(m, x, starts, y[pick])
             step += 1
             for n in names:  # Adam
                 q = grads[n] + decay * getattr(m, n)

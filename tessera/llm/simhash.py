@@ -319,7 +319,7 @@ def dropped_texts(docs: DataFrame, texts: DataFrame, shingle: int, similarity: f
 
     def against(members: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         heads = Heads(similarity)
-        for x in some["shingles"]:
+        for x in some["whole"]:
             heads.add(np.asarray(x))
         return pd.DataFrame({"node": members["node"].to_numpy(np.int64), "like": np.array([heads.like(np.asarray(x)) for x in members["shingles"]], bool)})
 
@@ -339,8 +339,8 @@ def dropped_texts(docs: DataFrame, texts: DataFrame, shingle: int, similarity: f
             break
         rest = stored(rest)
         members = rest.join(sizes, "class").join(held, "node").select("class", F.pmod(F.xxhash64("node"), "tiles").alias("tile"), "node", "shingles")
-        known = told.filter("stays").join(sizes, "class").join(held, "node").select("class", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).cast("long").alias("tile"), "shingles")
-        met = stored(members.groupBy("class", "tile").cogroup(known.groupBy("class", "tile")).applyInPandas(against, "node long, like boolean"))
+        known = told.filter("stays").join(sizes, "class").join(held, "node").select(F.col("class").alias("h_class"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1)).alias("h_tile"), F.col("shingles").alias("whole"))
+        met = stored(members.groupBy("class", "tile").cogroup(known.groupBy("h_class", "h_tile")).applyInPandas(against, "node long, like boolean"))
         gone.append(met.filter("like").select("node"))
         left = stored(rest.join(met.filter("not like").select("node"), "node", "left_semi"))
     return reduce(DataFrame.unionByName, gone) if gone else docs.sparkSession.createDataFrame([], "node long")
