@@ -19,7 +19,7 @@ by what each of them is; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from functools import reduce
 from itertools import chain, combinations, islice, repeat
 
@@ -272,22 +272,40 @@ def likely_links(texts: DataFrame, similarity: float, share: float = 0.25, tile:
 
 
 class Heads:
-    """Shingle sets of texts that stay, indexed by shingle."""
+    """Shingle sets of texts that stay, kept by how they differ from what most texts of their class hold.
 
-    def __init__(self, similarity: float):
-        self.similarity, self.sizes, self.where = similarity, [], defaultdict(list)
+    Of the core, the shingles of more than half of ``sample``, a text notes those it lacks; shingles outside are noted as they are.
+    Both are few in near copies, so that many such texts are compared at once by counting short lists.
+    """
+
+    def __init__(self, similarity: float, sample: list[np.ndarray]):
+        held, times = np.unique(np.concatenate([*sample, np.zeros(0, np.int64)]), return_counts=True)
+        self.core = held[2 * times > len(sample)]
+        self.similarity, self.n = similarity, 0
+        self.sizes, self.lacks = np.zeros(64, np.int64), np.zeros(64, np.int64)
+        self.where: tuple[defaultdict, defaultdict] = (defaultdict(list), defaultdict(list))  # by core shingle lacked, by other shingle held
+
+    def _parts(self, shingles: np.ndarray) -> tuple[list[int], list[int]]:
+        return np.setdiff1d(self.core, shingles, assume_unique=True).tolist(), np.setdiff1d(shingles, self.core, assume_unique=True).tolist()
 
     def like(self, shingles: np.ndarray) -> bool:
         """Whether a text that stays is as similar as asked."""
-        held = Counter(chain.from_iterable(self.where.get(x, ()) for x in shingles.tolist()))
-        if not len(shingles):
-            return 0 in self.sizes
-        return any(both >= self.similarity * (self.sizes[i] + len(shingles) - both) for i, both in held.items())
+        if not self.n:
+            return False
+        parts = self._parts(shingles)
+        places = list(chain.from_iterable(where.get(x, ()) for where, part in zip(self.where, parts) for x in part))
+        both = len(self.core) - len(parts[0]) - self.lacks[: self.n] + np.bincount(np.array(places, np.int64), minlength=self.n)
+        return bool((both >= self.similarity * (self.sizes[: self.n] + len(shingles) - both)).any())
 
     def add(self, shingles: np.ndarray) -> None:
-        for x in shingles.tolist():
-            self.where[x].append(len(self.sizes))
-        self.sizes.append(len(shingles))
+        if self.n == len(self.sizes):
+            self.sizes, self.lacks = np.r_[self.sizes, self.sizes * 0], np.r_[self.lacks, self.lacks * 0]
+        parts = self._parts(shingles)
+        for where, part in zip(self.where, parts):
+            for x in part:
+                where[x].append(self.n)
+        self.sizes[self.n], self.lacks[self.n] = len(shingles), len(parts[0])
+        self.n += 1
 
 
 def dropped_texts(docs: DataFrame, texts: DataFrame, shingle: int, similarity: float, bound: int = 500_000) -> DataFrame:
@@ -309,19 +327,21 @@ def dropped_texts(docs: DataFrame, texts: DataFrame, shingle: int, similarity: f
     held = stored(held.mapInArrow(sets, "node long, shingles array<long>"))
 
     def among(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads, stays = Heads(similarity), []
         pdf = pdf.sort_values(["id", "k0", "k1"])
-        for x in pdf["shingles"]:
-            stays.append(not heads.like(np.asarray(x)))
+        every, stays = [np.asarray(x, np.int64) for x in pdf["shingles"]], []
+        heads = Heads(similarity, every)
+        for x in every:
+            stays.append(not heads.like(x))
             if stays[-1]:
-                heads.add(np.asarray(x))
+                heads.add(x)
         return pd.DataFrame({"class": pdf["class"], "node": pdf["node"], "stays": stays})
 
     def against(members: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        heads = Heads(similarity)
-        for x in some["whole"]:
-            heads.add(np.asarray(x))
-        return pd.DataFrame({"node": members["node"].to_numpy(np.int64), "like": np.array([heads.like(np.asarray(x)) for x in members["shingles"]], bool)})
+        known = [np.asarray(x, np.int64) for x in some["whole"]]
+        heads = Heads(similarity, known)
+        for x in known:
+            heads.add(x)
+        return pd.DataFrame({"node": members["node"].to_numpy(np.int64), "like": np.array([heads.like(np.asarray(x, np.int64)) for x in members["shingles"]], bool)})
 
     def first(df: DataFrame, by: list[str]) -> DataFrame:
         run = F.sum("n").over(Window.partitionBy(*by).orderBy("id", "k0", "k1", "node").rowsBetween(Window.unboundedPreceding, -1))
