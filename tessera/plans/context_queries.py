@@ -157,7 +157,7 @@ def updated_reports(spark, sf):
     c = I.communities(spark, sf).select("community", "parent", "level")
     r = c.select(F.concat(F.lit("r"), "community").alias("id"), "community", "parent", "level", F.concat(F.lit("Report "), "community").alias("title"), F.array(F.struct(F.lit("e").alias("explanation"), F.lit("s").alias("summary"))).alias("findings"))
     made = U.append_reports(r.filter("level = 0"), r.filter("level = 1").withColumn("size", F.lit(1)), 5)
-    return made.select("id", "human_readable_id", "community", "parent", "title", "size", F.to_json(F.get("findings", F.lit(0))).alias("finding"))
+    return made.select("id", "human_readable_id", "community", "parent", "title", F.coalesce("size", F.lit(-1)).alias("size"), F.to_json(F.get("findings", F.lit(0))).alias("finding"))
 
 
 def updated_covariates(spark, sf):
@@ -265,7 +265,7 @@ def scalar_values(spark, sf):
     raw = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.col("c_custkey").cast("string"), F.lit(".9"))).when(F.col("c_custkey") % 4 == 1, "true").when(F.col("c_custkey") % 4 == 2, "x").otherwise(F.col("c_custkey").cast("string"))
     items = F.array(F.col("c_name"), F.concat(F.lit("it's "), "c_custkey"))
     chunk = X.with_metadata(c.select("c_custkey", "c_name", F.col("c_mktsegment").alias("chunk")), [("name", F.col("c_name"))])
-    made = c.select("c_custkey", X.python_int(raw).alias("number"), X.python_list(items).alias("py"), X.json_list(items).alias("js"), X.identifier(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name"))).alias("plain"), X.period(F.to_timestamp(F.lit("2024-03-01 23:30:00"))).alias("period"))
+    made = c.select("c_custkey", F.coalesce(X.python_int(raw), F.lit(-1)).alias("number"), X.python_list(items).alias("py"), X.json_list(items).alias("js"), X.identifier(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name"))).alias("plain"), X.period(F.to_timestamp(F.lit("2024-03-01 23:30:00"))).alias("period"))
     return made.join(chunk.select("c_custkey", "chunk", "n_tokens"), "c_custkey")
 
 

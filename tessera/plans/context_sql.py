@@ -66,7 +66,7 @@ SQL = {
         FROM ends JOIN mem ON mem.level = ends.level AND mem.community = ends.community AND mem.title = ends.title JOIN des ON des.title = ends.title),
       el AS (SELECT level, community, pos || ',' || source || ',' || target || ',' || id || ',' || deg AS line FROM e),
       every AS (SELECT * FROM nl UNION ALL SELECT * FROM el)
-      SELECT level, community, (count(*) + 5)::INTEGER AS lines, (sum(length(line) + 1) + length('-----Entities-----') + 1
+      SELECT level, community::BIGINT AS community, (count(*) + 5)::INTEGER AS lines, (sum(length(line) + 1) + length('-----Entities-----') + 1
         + length('human_readable_id,title,description') + 2 + length('-----Relationships-----') + 1
         + length('human_readable_id,source,target,description,combined_degree'))::INTEGER AS size FROM every GROUP BY 1, 2""",
     "q90_backed_communities": f"WITH {I.HIERARCHY} SELECT community, level, parent FROM com WHERE community % 3 <> 0",
@@ -88,7 +88,7 @@ SQL = {
       SELECT id, h AS human_readable_id, entity_ids FROM a UNION ALL SELECT * FROM b""",
     "q97_updated_reports": f"""WITH {I.HIERARCHY}, x AS (
         SELECT 'r' || community AS id, community AS old, CASE WHEN level = 0 THEN community ELSE community + 5 END AS community,
-          CASE WHEN level = 0 OR parent = -1 THEN parent ELSE parent + 5 END AS parent, CASE WHEN level = 1 THEN 1 END AS size FROM com)
+          CASE WHEN level = 0 OR parent = -1 THEN parent ELSE parent + 5 END AS parent, CASE WHEN level = 1 THEN 1 ELSE -1 END AS size FROM com)
       SELECT id, community AS human_readable_id, community, parent, 'Report ' || old AS title, size, '{{"summary":"s","explanation":"e"}}' AS finding FROM x""",
     "q98_updated_covariates": f"""WITH {COVARIATES}, a AS (SELECT id, human_readable_id, subject_id FROM cov WHERE human_readable_id % 2 = 0)
       SELECT * FROM a UNION ALL SELECT id, (SELECT max(human_readable_id) FROM a) + row_number() OVER (ORDER BY human_readable_id), subject_id
@@ -139,7 +139,7 @@ SQL = {
     "q115_query_units": f"""WITH {I.TEXT_UNITS} SELECT (row_number() OVER (ORDER BY document_id, ordinal) - 1)::VARCHAR AS short_id, id, n_tokens,
       0 AS covariates FROM tu""",
     "q116_query_edges": f"WITH {I.RELATIONSHIPS} SELECT id, pos::VARCHAR AS short_id, source, target, rank FROM rel",
-    "q117_scalar_values": """SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN 1 WHEN 2 THEN NULL ELSE c_custkey END AS number,
+    "q117_scalar_values": """SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE c_custkey END AS number,
       '[''' || c_name || ''', "it''s ' || c_custkey || '"]' AS py, '["' || c_name || '", "it''s ' || c_custkey || '"]' AS js,
       c_custkey % 2 = 0 AS plain, '2024-03-01' AS period, 'name: ' || c_name || '.' || chr(10) || c_mktsegment AS chunk,
       length('name: ' || c_name || '.' || chr(10) || c_mktsegment) AS n_tokens FROM customer""",
