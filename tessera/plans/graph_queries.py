@@ -124,32 +124,52 @@ deg AS (SELECT title, count(*) AS degree FROM (SELECT a AS title FROM pairs UNIO
 
 SQL = {
     "q02_text_units": f"WITH {I.TEXT_UNITS} SELECT id, document_id, ordinal, n_tokens, sha256(text) AS digest FROM tu",
-    "q03_document_units": f"WITH {I.TEXT_UNITS} SELECT doc_id AS document_id, count(id)::INTEGER AS n_units, coalesce(string_agg(id, ',' ORDER BY ordinal), '') AS units FROM documents LEFT JOIN tu ON document_id = doc_id GROUP BY doc_id",
+    "q03_document_units": f"""WITH {I.TEXT_UNITS} SELECT doc_id AS document_id, count(id)::INTEGER AS n_units, coalesce(string_agg(id,
+      ',' ORDER BY ordinal), '') AS units FROM documents LEFT JOIN tu ON document_id = doc_id GROUP BY doc_id""",
     "q04_merged_entities": f"{MERGED} SELECT title, type, frequency, pos, md5(d) AS descriptions, md5(u) AS units FROM me",
-    "q05_merged_relationships": f"{MERGED} , k AS (SELECT DISTINCT title FROM raw_ent WHERE type <> 'returned') SELECT source, target, round(weight, 4) AS weight, pos, md5(u) AS units FROM mr JOIN k s ON s.title = source JOIN k t ON t.title = target",
-    "q06_final_entities": f"{MERGED}, f AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY pos) AS r FROM me) SELECT row_number() OVER (ORDER BY pos, f.title) - 1 AS human_readable_id, f.title, type, frequency, coalesce(degree, 0) AS degree FROM f LEFT JOIN deg ON deg.title = f.title WHERE r = 1",
-    "q07_final_relationships": f"{MERGED} SELECT row_number() OVER (ORDER BY pos, source, target) - 1 AS human_readable_id, source, target, s.degree + t.degree AS combined_degree FROM mr JOIN deg s ON s.title = source JOIN deg t ON t.title = target",
+    "q05_merged_relationships": f"""{MERGED} , k AS (SELECT DISTINCT title FROM raw_ent WHERE type <> 'returned') SELECT source, target,
+      round(weight, 4) AS weight, pos, md5(u) AS units FROM mr JOIN k s ON s.title = source JOIN k t ON t.title = target""",
+    "q06_final_entities": f"""{MERGED}, f AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY pos) AS r FROM me) SELECT row_number()
+      OVER (ORDER BY pos, f.title) - 1 AS human_readable_id, f.title, type, frequency, coalesce(degree, 0) AS degree FROM f LEFT JOIN
+      deg ON deg.title = f.title WHERE r = 1""",
+    "q07_final_relationships": f"""{MERGED} SELECT row_number() OVER (ORDER BY pos, source, target) - 1 AS human_readable_id, source,
+      target, s.degree + t.degree AS combined_degree FROM mr JOIN deg s ON s.title = source JOIN deg t ON t.title = target""",
     "q08_tuple_records": """SELECT c_custkey, 0 AS record_pos, 'entity' AS kind, upper(c_name) || ' & CO' AS first, 'BUYER' AS second,
         'a <buyer>' AS description, NULL::DOUBLE AS weight FROM customer
       UNION ALL SELECT c_custkey, 1, 'relationship', upper(c_name), n_name, 'lives in', CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE c_custkey END
       FROM customer JOIN nation ON c_nationkey = n_nationkey""",
-    "q09_claim_records": "SELECT o_orderkey, 'C' || o_custkey AS subject_id, 'NONE' AS object_id, o_orderpriority AS type, 'TRUE' AS status, strftime(o_orderdate, '%Y-%m-%d') AS start_date, NULL::VARCHAR AS end_date, NULL::VARCHAR AS description FROM orders",
-    "q10_summary_join": f"{MERGED} SELECT a.title, count(*) AS n, max(b.type || ':' || b.frequency) AS last FROM me a JOIN me b ON a.title = b.title GROUP BY 1",
-    "q11_cluster_edges": f"""WITH {I.RAW_RELATIONSHIPS}, x AS (SELECT source, target, weight, pos FROM raw_rel UNION ALL SELECT target, source, weight + 1, pos + 1 FROM raw_rel WHERE (pos + 1) % 3 = 0)
-      SELECT least(source, target) AS a, greatest(source, target) AS b, arg_max(weight, pos * 1000 + weight) AS weight, arg_min(weight, pos * 1000 + weight) AS first_weight FROM x GROUP BY 1, 2""",
+    "q09_claim_records": """SELECT o_orderkey, 'C' || o_custkey AS subject_id, 'NONE' AS object_id, o_orderpriority AS type, 'TRUE'
+      AS status, strftime(o_orderdate, '%Y-%m-%d') AS start_date, NULL::VARCHAR AS end_date, NULL::VARCHAR AS description FROM orders""",
+    "q10_summary_join": f"""{MERGED} SELECT a.title, count(*) AS n, max(b.type || ':' || b.frequency) AS last FROM me a JOIN me b ON
+      a.title = b.title GROUP BY 1""",
+    "q11_cluster_edges": f"""WITH {I.RAW_RELATIONSHIPS}, x AS (SELECT source, target, weight, pos FROM raw_rel UNION ALL SELECT target,
+      source, weight + 1, pos + 1 FROM raw_rel WHERE (pos + 1) % 3 = 0)
+      SELECT least(source, target) AS a, greatest(source, target) AS b, arg_max(weight, pos * 1000 + weight) AS weight, arg_min(weight,
+      pos * 1000 + weight) AS first_weight FROM x GROUP BY 1, 2""",
     # the walk goes from the smallest name alone; it is the answer where it reaches more than half of all names, else there is none
     "q12_component_edges": f"""WITH RECURSIVE {I.GRAPH}, e AS (SELECT upper(source) || ' & CO' AS x, upper(target) AS y, weight FROM rel),
       p AS (SELECT least(x, y) AS a, greatest(x, y) AS b, weight FROM e), l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
       w AS (SELECT min(a) AS n FROM l UNION SELECT l.b FROM w JOIN l ON w.n = l.a)
       SELECT a, b, weight FROM p JOIN w ON w.n = a WHERE 2 * (SELECT count(*) FROM w) > (SELECT count(DISTINCT a) FROM l)""",
-    "q13_community_rows": f"""WITH {I.GRAPH}, {I.MEMBERS}, own AS (SELECT level, community, coalesce(min(parent), -1) AS parent, count(DISTINCT ent.id) AS size, md5(array_to_string(list_sort(list_distinct(list(ent.id))), ',')) AS entities FROM mem JOIN ent ON ent.title = mem.title GROUP BY 1, 2),
-      ins AS (SELECT s.level, s.community, rel.id, rel.text_unit_ids FROM rel JOIN mem s ON s.title = source JOIN mem t ON t.title = target AND t.level = s.level AND t.community = s.community),
-      agg AS (SELECT level, community, count(DISTINCT id) AS n_relationships, md5(array_to_string(list_sort(list_distinct(flatten(list(text_unit_ids)))), ',')) AS units FROM ins GROUP BY 1, 2),
+    "q13_community_rows": f"""WITH {I.GRAPH}, {I.MEMBERS}, own AS (SELECT level, community, coalesce(min(parent), -1) AS parent, count(DISTINCT
+      ent.id) AS size, md5(array_to_string(list_sort(list_distinct(list(ent.id))), ',')) AS entities FROM mem JOIN ent ON ent.title
+      = mem.title GROUP BY 1, 2),
+      ins AS (SELECT s.level, s.community, rel.id, rel.text_unit_ids FROM rel JOIN mem s ON s.title = source JOIN mem t ON t.title =
+      target AND t.level = s.level AND t.community = s.community),
+      agg AS (SELECT level, community, count(DISTINCT id) AS n_relationships, md5(array_to_string(list_sort(list_distinct(flatten(list(text_unit_ids)))),
+      ',')) AS units FROM ins GROUP BY 1, 2),
       kid AS (SELECT parent AS community, string_agg(community::VARCHAR, ',' ORDER BY community) AS children FROM own WHERE parent >= 0 GROUP BY 1)
-      SELECT own.level, own.community, own.parent, coalesce(children, '') AS children, 'Community ' || own.community AS title, size, entities, n_relationships, units FROM own JOIN agg USING (level, community) LEFT JOIN kid ON kid.community = own.community""",
-    "q14_unit_references": f"WITH {I.ENTITIES}, x AS (SELECT unnest(text_unit_ids) AS u, id, human_readable_id AS h FROM ent) SELECT o_orderkey::VARCHAR AS id, coalesce(string_agg(x.id, ',' ORDER BY h), '') AS entity_ids FROM orders LEFT JOIN x ON u = o_orderkey::VARCHAR GROUP BY o_orderkey",
-    "q15_first_edges": f"WITH {I.GRAPH}, s AS (SELECT source, arg_min(id, pos) AS i FROM rel GROUP BY 1), t AS (SELECT target, arg_min(id, pos) AS i FROM rel GROUP BY 1) SELECT title, coalesce(s.i, t.i) AS edge_id FROM ent LEFT JOIN s ON source = title LEFT JOIN t ON target = title",
-    "q16_graphml": f"""WITH {I.GRAPH}, n AS (SELECT source AS n FROM rel UNION SELECT target FROM rel) SELECT 0 AS part, n AS key, '<node id="' || n || '"/>' AS line FROM n
-      UNION ALL SELECT 1, source || chr(10) || target, '<edge source="' || source || '" target="' || target || '"><data key="weight">' || weight::BIGINT || '</data></edge>' FROM rel""",
+      SELECT own.level, own.community, own.parent, coalesce(children, '') AS children, 'Community ' || own.community AS title, size,
+      entities, n_relationships, units FROM own JOIN agg USING (level, community) LEFT JOIN kid ON kid.community = own.community""",
+    "q14_unit_references": f"""WITH {I.ENTITIES}, x AS (SELECT unnest(text_unit_ids) AS u, id, human_readable_id AS h FROM ent) SELECT
+      o_orderkey::VARCHAR AS id, coalesce(string_agg(x.id, ',' ORDER BY h), '') AS entity_ids FROM orders LEFT JOIN x ON u = o_orderkey::VARCHAR
+      GROUP BY o_orderkey""",
+    "q15_first_edges": f"""WITH {I.GRAPH}, s AS (SELECT source, arg_min(id, pos) AS i FROM rel GROUP BY 1), t AS (SELECT target, arg_min(id,
+      pos) AS i FROM rel GROUP BY 1) SELECT title, coalesce(s.i, t.i) AS edge_id FROM ent LEFT JOIN s ON source = title LEFT JOIN t
+      ON target = title""",
+    "q16_graphml": f"""WITH {I.GRAPH}, n AS (SELECT source AS n FROM rel UNION SELECT target FROM rel) SELECT 0 AS part, n AS key, '<node id="'
+      || n || '"/>' AS line FROM n
+      UNION ALL SELECT 1, source || chr(10) || target, '<edge source="' || source || '" target="' || target || '"><data key="weight">'
+      || weight::BIGINT || '</data></edge>' FROM rel""",
     "q18_orders_numbered": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS human_readable_id FROM orders",
 }

@@ -193,31 +193,56 @@ SQL = {
       SELECT id, document_id, ordinal, cost::INTEGER AS cost, md5(line) AS line FROM r WHERE run <= 12000 - 26""",
     "q20_vector_topk": f"WITH {VEC} SELECT id, round(1 - d, 6) AS score FROM d ORDER BY d, id LIMIT 25",
     "q21_cosine_topk": f"WITH {VEC} SELECT id, round(list_cosine_similarity(x, y), 6) AS score FROM v ORDER BY list_cosine_similarity(x, y) DESC, id LIMIT 20",
-    "q22_centroid_nearest": """WITH p AS (SELECT vec_id AS id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT i, avg(x) AS m FROM p GROUP BY i)
+    "q22_centroid_nearest": """WITH p AS (SELECT vec_id AS id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE
+      AS x FROM embeddings), m AS (SELECT i, avg(x) AS m FROM p GROUP BY i)
       SELECT id, round(sqrt(sum((x - m) * (x - m))), 6) AS distance FROM p JOIN m USING (i) GROUP BY id ORDER BY sqrt(sum((x - m) * (x - m))), id LIMIT 15""",
-    "q23_label_centroids": """WITH p AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL), m AS (SELECT label, i, avg(x) AS m FROM p GROUP BY 1, 2)
+    "q23_label_centroids": """WITH p AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM
+      embeddings WHERE label IS NOT NULL), m AS (SELECT label, i, avg(x) AS m FROM p GROUP BY 1, 2)
       SELECT label, round(sqrt(sum(m * m)), 6) AS length, round(max(CASE WHEN i = 1 THEN m END) / sqrt(sum(m * m)), 6) AS first FROM m GROUP BY 1""",
-    "q24_memberships": f"WITH {I.HIERARCHY}, {MEMBERSHIP} SELECT ent.id, coalesce(string_agg(community::VARCHAR, ',' ORDER BY community), '-1') AS community_ids FROM ent LEFT JOIN ms ON ms.id = ent.id AND community <> 100 GROUP BY ent.id",
-    "q25_rolled_up_reports": f"WITH {I.HIERARCHY} SELECT id, community, level, title FROM rep WHERE level <= 1 AND community IN (SELECT max(community) FROM com WHERE level <= 1 GROUP BY title)",
-    "q26_community_weights": f"WITH {I.HIERARCHY}, {MEMBERSHIP}, n AS (SELECT community, count(DISTINCT u) AS n FROM (SELECT community, unnest(text_unit_ids) AS u FROM ms) GROUP BY 1), r AS (SELECT rep.*, coalesce(n, 0) AS n FROM rep LEFT JOIN n USING (community) WHERE rank >= 0) SELECT id, community, rank, round(n / (SELECT max(n) FROM r), 6) AS occurrence FROM r",
-    "q28_batch_totals": f"""WITH RECURSIVE {I.HIERARCHY}, r AS (SELECT length(content) + length(title) + 2 AS cost, row_number() OVER (ORDER BY community) AS i FROM rep),
-      w AS (SELECT 1 AS i, 0 AS batch, cost AS run, cost FROM r WHERE i = 1 UNION ALL SELECT r.i, CASE WHEN w.run + r.cost > 60 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.run + r.cost > 60 THEN r.cost ELSE w.run + r.cost END, r.cost FROM w JOIN r ON r.i = w.i + 1)
+    "q24_memberships": f"""WITH {I.HIERARCHY}, {MEMBERSHIP} SELECT ent.id, coalesce(string_agg(community::VARCHAR, ',' ORDER BY community),
+      '-1') AS community_ids FROM ent LEFT JOIN ms ON ms.id = ent.id AND community <> 100 GROUP BY ent.id""",
+    "q25_rolled_up_reports": f"""WITH {I.HIERARCHY} SELECT id, community, level, title FROM rep WHERE level <= 1 AND community IN (SELECT
+      max(community) FROM com WHERE level <= 1 GROUP BY title)""",
+    "q26_community_weights": f"""WITH {I.HIERARCHY}, {MEMBERSHIP}, n AS (SELECT community, count(DISTINCT u) AS n FROM (SELECT community,
+      unnest(text_unit_ids) AS u FROM ms) GROUP BY 1), r AS (SELECT rep.*, coalesce(n, 0) AS n FROM rep LEFT JOIN n USING (community)
+      WHERE rank >= 0) SELECT id, community, rank, round(n / (SELECT max(n) FROM r), 6) AS occurrence FROM r""",
+    "q28_batch_totals": f"""WITH RECURSIVE {I.HIERARCHY}, r AS (SELECT length(content) + length(title) + 2 AS cost, row_number() OVER
+      (ORDER BY community) AS i FROM rep),
+      w AS (SELECT 1 AS i, 0 AS batch, cost AS run, cost FROM r WHERE i = 1 UNION ALL SELECT r.i, CASE WHEN w.run + r.cost > 60 THEN
+      w.batch + 1 ELSE w.batch END, CASE WHEN w.run + r.cost > 60 THEN r.cost ELSE w.run + r.cost END, r.cost FROM w JOIN r ON r.i =
+      w.i + 1)
       SELECT batch, count(*) AS n, sum(cost)::BIGINT AS cost FROM w GROUP BY 1""",
-    "q29_map_points": """WITH p AS (SELECT event_id, 'event ' || event_id AS description, (event_id % 7)::DOUBLE AS score, length('event ' || event_id) + 10 AS cost FROM events WHERE event_id % 150 <> 0 AND event_id % 7 > 0),
-      r AS (SELECT *, sum(cost) OVER (ORDER BY score DESC, event_id ROWS UNBOUNDED PRECEDING) AS run FROM p) SELECT event_id, description, score, cost::INTEGER AS cost FROM r WHERE run <= 600""",
-    "q30_local_relationships": f"""WITH {I.GRAPH}, {SELECTED}, o AS (SELECT rel.*, target AS t FROM rel JOIN sel ON sel.title = target), l AS (SELECT source, count(DISTINCT target) AS links FROM o GROUP BY 1)
+    "q29_map_points": """WITH p AS (SELECT event_id, 'event ' || event_id AS description, (event_id % 7)::DOUBLE AS score, length('event '
+      || event_id) + 10 AS cost FROM events WHERE event_id % 150 <> 0 AND event_id % 7 > 0),
+      r AS (SELECT *, sum(cost) OVER (ORDER BY score DESC, event_id ROWS UNBOUNDED PRECEDING) AS run FROM p) SELECT event_id, description,
+      score, cost::INTEGER AS cost FROM r WHERE run <= 600""",
+    "q30_local_relationships": f"""WITH {I.GRAPH}, {SELECTED}, o AS (SELECT rel.*, target AS t FROM rel JOIN sel ON sel.title = target),
+      l AS (SELECT source, count(DISTINCT target) AS links FROM o GROUP BY 1)
       SELECT id, o.source, o.target, rank, links, 1 AS part FROM o JOIN l USING (source) ORDER BY links DESC, rank DESC, id LIMIT 80""",
-    "q32_local_units": f"""WITH {I.GRAPH}, {SELECTED}, x AS (SELECT title, place, unnest(text_unit_ids) AS unit FROM sel), own AS (SELECT unit, min(place) AS place, arg_min(title, place) AS title FROM x GROUP BY 1),
+    "q32_local_units": f"""WITH {I.GRAPH}, {SELECTED}, x AS (SELECT title, place, unnest(text_unit_ids) AS unit FROM sel), own AS (SELECT
+      unit, min(place) AS place, arg_min(title, place) AS title FROM x GROUP BY 1),
       m AS (SELECT target AS title, u AS unit, count(*) AS n FROM (SELECT target, unnest(text_unit_ids) AS u FROM rel) GROUP BY 1, 2),
-      y AS (SELECT own.unit, own.title, own.place, coalesce(n, 0) AS n, length(own.unit) + length(o_orderpriority) + 2 AS cost FROM own JOIN orders ON o_orderkey::VARCHAR = unit LEFT JOIN m ON m.title = own.title AND m.unit = own.unit),
-      r AS (SELECT *, sum(cost) OVER (ORDER BY place, n DESC, unit ROWS UNBOUNDED PRECEDING) AS run FROM y) SELECT unit, title, place::INTEGER AS place, n, cost::INTEGER AS cost FROM r WHERE run <= 3000""",
-    "q33_local_reports": f"WITH {I.HIERARCHY}, {SELECTED} SELECT rep.id, rep.community, count(*) AS matches, rank FROM sel JOIN com ON list_contains(com.entity_ids, sel.id) JOIN rep ON rep.community = com.community WHERE rank >= 0 GROUP BY ALL ORDER BY matches DESC, rank DESC, rep.id LIMIT 10",
-    "q34_conversation_turns": """WITH n AS (SELECT conv_id, turn, coalesce(length(text), 0) + 6 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text NULLS FIRST) AS r FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
-      s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS run FROM n WHERE r <= 3) SELECT conv_id, turn, cost::INTEGER AS cost FROM s WHERE run <= 400""",
-    "q35_majority_rating": "WITH c AS (SELECT user_id, (((floor(value)::BIGINT % 4) + 4) % 4) AS rating, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, rating FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, rating NULLS FIRST) = 1",
-    "q36_hierarchy_walk": f"""WITH {I.HIERARCHY}, r AS (SELECT community, level, parent, len(entity_ids) % 3 >= 1 AS ok FROM com), top AS (SELECT community, level, parent FROM r WHERE level = 0 AND ok), kid AS (SELECT community, level, parent FROM r WHERE level = 1 AND ok AND parent IN (SELECT community FROM top))
+      y AS (SELECT own.unit, own.title, own.place, coalesce(n, 0) AS n, length(own.unit) + length(o_orderpriority) + 2 AS cost FROM
+      own JOIN orders ON o_orderkey::VARCHAR = unit LEFT JOIN m ON m.title = own.title AND m.unit = own.unit),
+      r AS (SELECT *, sum(cost) OVER (ORDER BY place, n DESC, unit ROWS UNBOUNDED PRECEDING) AS run FROM y) SELECT unit, title, place::INTEGER
+      AS place, n, cost::INTEGER AS cost FROM r WHERE run <= 3000""",
+    "q33_local_reports": f"""WITH {I.HIERARCHY}, {SELECTED} SELECT rep.id, rep.community, count(*) AS matches, rank FROM sel JOIN com
+      ON list_contains(com.entity_ids, sel.id) JOIN rep ON rep.community = com.community WHERE rank >= 0 GROUP BY ALL ORDER BY matches
+      DESC, rank DESC, rep.id LIMIT 10""",
+    "q34_conversation_turns": """WITH n AS (SELECT conv_id, turn, coalesce(length(text), 0) + 6 AS cost, row_number() OVER (PARTITION
+      BY conv_id ORDER BY turn DESC, text NULLS FIRST) AS r FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn
+      IS NOT NULL),
+      s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS run FROM n WHERE r <= 3) SELECT
+      conv_id, turn, cost::INTEGER AS cost FROM s WHERE run <= 400""",
+    "q35_majority_rating": """WITH c AS (SELECT user_id, (((floor(value)::BIGINT % 4) + 4) % 4) AS rating, count(*) AS n FROM events
+      GROUP BY 1, 2) SELECT user_id, rating FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, rating NULLS FIRST)
+      = 1""",
+    "q36_hierarchy_walk": f"""WITH {I.HIERARCHY}, r AS (SELECT community, level, parent, len(entity_ids) % 3 >= 1 AS ok FROM com), top
+      AS (SELECT community, level, parent FROM r WHERE level = 0 AND ok), kid AS (SELECT community, level, parent FROM r WHERE level
+      = 1 AND ok AND parent IN (SELECT community FROM top))
       SELECT * FROM kid UNION ALL SELECT * FROM top WHERE community NOT IN (SELECT parent FROM kid)""",
-    "q37_primer_folds": f"WITH {VEC}, t AS (SELECT id, row_number() OVER (ORDER BY list_cosine_similarity(x, y) DESC, id) AS r FROM v QUALIFY r <= 23) SELECT id, (ntile(5) OVER (ORDER BY r) - 1)::INTEGER AS fold FROM t",
+    "q37_primer_folds": f"""WITH {VEC}, t AS (SELECT id, row_number() OVER (ORDER BY list_cosine_similarity(x, y) DESC, id) AS r FROM
+      v QUALIFY r <= 23) SELECT id, (ntile(5) OVER (ORDER BY r) - 1)::INTEGER AS fold FROM t""",
     "q38_rendered_rows": """WITH n AS (SELECT c_custkey, c_name, c_name || ', "' || c_nationkey || '"' AS note FROM customer)
       SELECT c_custkey, c_name || ',"' || replace(note, '"', '""') || '"' AS csv, c_name || '|"' || replace(note, '"', '""') || '"' AS bar,
         c_name || '||' || note AS raw, replace(note, '"', '&quot;') AS xml, (c_custkey / 4)::DOUBLE::VARCHAR AS number,
