@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import backoff, bpe, langid, nndescent, packing, quality, sharding, simhash, topk, toxicity
+from tessera.llm import backoff, bpe, infill, langid, nndescent, packing, quality, ranked, sharding, simhash, suffixes, topk, toxicity
 from tessera.llm.rows import remainder
 from tessera.session import table
 
@@ -76,6 +76,19 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_toxicity, op2_exact_topk, op3_bpe, op4_language, op5_packing, op6_sharding, op7_quality, op8_simhash, op9_embedding_dedup, op10_lm_scores, pipeline)
+    named = (op1_toxicity, op2_exact_topk, op3_bpe, op4_language, op5_packing, op6_sharding, op7_quality, op8_simhash, op9_embedding_dedup, op10_lm_scores, op11_fill_in_middle, op12_suffix_dedup, op13_ranked_search, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -139,6 +152,53 @@ SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, round(coalesce(s, 0), 3) AS
 FROM d LEFT JOIN g ON g.r = d.r
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+    ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d
+), k AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+    greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u
+), s AS (
+  SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1:b], ''), '') AS middle,
+    coalesce(array_to_string(units[b + 1:n], ''), '') AS suffix FROM k
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+    ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM s
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT DISTINCT item_id, text,
+    unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark WHERE item_id IS NOT NULL
+), g AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d WHERE len(w) > 0),
+t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+s AS (
+  SELECT i.item_id, i.text, t.r, t.doc_id,
+    sum(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+      * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * t.n * n_docs) // n_terms))))::BIGINT AS score
+  FROM i JOIN t USING (term) JOIN f USING (term) CROSS JOIN g WHERE t.doc_id IS NOT NULL GROUP BY ALL
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL, "op9_embedding_dedup": OP9_SQL, "op10_lm_scores": OP10_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op9_embedding_dedup": OP9_SQL, "op10_lm_scores": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op13_ranked_search": OP13_SQL}
