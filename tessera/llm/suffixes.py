@@ -270,7 +270,7 @@ def window_runs(held: DataFrame, width: int) -> DataFrame:
     return every.join(often, ["anchor", "left", "h"], "left_semi").select("anchor", "piece", "start", F.col("start").alias("stop"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, hot: int = 1000, shard_bytes: int = 16_000_000) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, hot: int = 8192, shard_bytes: int = 16_000_000) -> DataFrame:
     """(k0, k1, cover) of texts, named by two hashes, that hold repeated windows: cover lists (from, to) stretches of bytes."""
     spark = docs.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/suffixes-{uuid.uuid4().hex}"

@@ -69,7 +69,7 @@ def kept_bytes(texts: list, width: int) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
+@pytest.mark.parametrize("hot", [8192, 2])
 def test_repeated_strings(spark, docs, hot, monkeypatch):
     real = suffixes.repeats
     monkeypatch.setattr(suffixes, "repeats", lambda *a, **k: real(*a, **k, hot=hot))  # 2: every group goes window by window
