@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -156,11 +157,12 @@ def _counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_by: int = 5, held_rest: int = 0, z_min: float = 3.5, prior: float = 0.5, prior_mass: float = 1000.0, drift: float = 0.5, max_tokens: int = 200_000, calibration_rows: int = 20_000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_by: int = 5, held_rest: int = 0, chance: float = 3.0, prior: float = 0.5, prior_mass: float = 1000.0, drift: float = 0.5, max_tokens: int = 200_000, calibration_rows: int = 20_000) -> ToxicityModel:
     """Fit on labelled rows whose remainder differs from ``held_rest``.
 
     Counts cover all of them but those of the remainder before it, of which ``calibration_rows`` documents, in crc32
-    order, calibrate. The model keeps the ``max_tokens`` features of largest z, ties by name.
+    order, calibrate. A feature's z must pass a bar that ``chance`` of all features tested would pass by chance alone, so the
+    bar rises with the corpus. The model keeps the ``max_tokens`` features of largest z, ties by name.
     """
     rest = remainder(id_col, held_by)
     lab = labels.filter(f"{label_col} in (0, 1)").filter(rest != held_rest).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
@@ -177,7 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     alpha = F.lit(prior) + F.lit(prior_mass / (n_tox + n_clean)) * (F.col("toxic") + F.col("clean"))
     a, b = F.col("toxic") + alpha, F.col("clean") + alpha
     delta = F.log(a / (F.lit(n_tox + prior_mass) - a)) - F.log(b / (F.lit(n_clean + prior_mass) - b))
-    scored = counts.filter("toxic >= 2").withColumn("d", delta).withColumn("z", F.col("d") / F.sqrt(1 / a + 1 / b)).filter((F.col("z") >= z_min) & (F.col("d") > drift))
+    tested = counts.filter("toxic >= 2")
+    bar = NormalDist().inv_cdf(1 - min(0.05, chance / max(1, tested.count())))
+    scored = tested.withColumn("d", delta).withColumn("z", F.col("d") / F.sqrt(1 / a + 1 / b)).filter((F.col("z") >= bar) & (F.col("d") > drift))
     best = scored.orderBy(F.desc("z"), "feature").limit(max_tokens).collect()
     model = ToxicityModel({r["feature"]: float(r["d"]) for r in best}, drift)
     if not best:
