@@ -238,7 +238,7 @@ def exact_links(vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(vectors: DataFrame, counts: DataFrame, threshold: float, target: float, sample: int, least: int, chunk: int = 8192) -> DataFrame:
-    """(part, proved, low): of each part, whether ``counts`` (key, n_links, hot) is proved whole enough, or shown not to be.
+    """(part, proved, low, recall): of each part, whether ``counts`` (key, n_links, hot) is proved whole enough, or shown not to be.
 
     Of a part's hot vectors and of its others, about ``sample`` each are drawn by hash and compared with the whole part. Each
     needs at least ``least`` of them with links, and these need to have kept a mean share of ``target`` of their links.
@@ -266,12 +266,13 @@ def audit(vectors: DataFrame, counts: DataFrame, threshold: float, target: float
     each = true.join(known.select("part", "hot", "key", "n_links"), "key").join(strata, ["part", "hot"]).groupBy("part", "hot", "size")
     each = each.agg(F.count(share).alias("linked"), F.avg(share).alias("mean"), F.coalesce(F.min(share), F.lit(1.0)).alias("worst"))
     proved = F.when(F.col("size") <= sample, F.col("worst") == 1).otherwise((F.col("linked") >= least) & (F.col("mean") >= target))
+    recall = F.sum(F.col("mean") * F.col("linked")) / F.sum("linked")
     low = F.coalesce(F.when(F.col("size") <= sample, F.col("worst") < 1).otherwise((F.col("linked") >= least) & (F.col("mean") < target)), F.lit(False))
-    return each.groupBy("part").agg(F.every(F.coalesce(proved, F.lit(False))).alias("proved"), F.some(low).alias("low"))
+    return each.groupBy("part").agg(F.every(F.coalesce(proved, F.lit(False))).alias("proved"), F.some(low).alias("low"), recall.alias("recall"))
 
 
 def descend(plain: DataFrame, total: int, threshold: float, k: int, rounds: int, passes: int, block: int, tile: int, target: float, audit_rows: int, linked_rows: int, retries: int) -> tuple[DataFrame, DataFrame]:
-    """(key, component, n_links) of vectors (key, part, v) by NN-descent, and (part) of those it isn't proved for."""
+    """(key, component, n_links) of vectors (key, part, v) by NN-descent, and what the audit says of each part."""
     graph = cut(top_neighbours(start(plain, k, list(range(passes)), block, total), k))
     for attempt in range(retries + 1):
         done, had, now = 0, -1, graph.filter(F.col("sim") >= threshold).count()
@@ -299,28 +300,30 @@ def descend(plain: DataFrame, total: int, threshold: float, k: int, rounds: int,
             break
         fresh = start(low, k, [10 * (attempt + 1) + i for i in range(passes)], block, total)
         graph = cut(top_neighbours(graph.select("a", "b", "sim").unionByName(fresh), k))
-    return counts.select("key", "component", "n_links"), told.filter("not proved").select("part")
+    return counts.select("key", "component", "n_links"), told
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 10, rounds: int = 2, passes: int = 4, block: int = 256, tile: int = 2048, target: float = 0.97, audit_rows: int = 2048, linked_rows: int = 64, retries: int = 3, exact_rows: int = 16_384) -> DataFrame:
-    """(id, n_links, component, kept) of every row; links are pairs of equal label with cosine >= ``threshold``."""
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 10, rounds: int = 2, passes: int = 4, block: int = 256, tile: int = 2048, target: float = 0.97, audit_rows: int = 2048, linked_rows: int = 64, retries: int = 3) -> DataFrame:
+    """(id, n_links, component, kept, recall) of every row; links are pairs of equal label with cosine >= ``threshold``.
+
+    ``recall`` is what the audit of the rounds measured for the row's label, before anything was compared whole; null where no
+    vector that it drew has a link.
+    """
     vectors = unit_vectors(df, id_col, vector_col, label_col)
     plain = vectors.select("key", "part", "v")
-    large = plain.groupBy("part").agg(F.count("*").alias("size")).filter(F.col("size") > exact_rows)
-    whole, counts = plain, None
-    if total := large.agg(F.sum("size")).first()[0]:
-        many = cut(plain.join(large, "part", "left_semi"))
-        found, unproved = descend(many, total, threshold, k, rounds, passes, block, tile, target, audit_rows, linked_rows, retries)
-        proved = large.select("part").join(unproved, "part", "left_anti")
-        counts = found.join(many.join(proved, "part", "left_semi").select("key"), "key", "left_semi")
-        whole = plain.join(proved, "part", "left_anti")
-    exact = exact_links(whole, threshold)
-    counts = cut(exact if counts is None else exact.unionByName(counts))
+    total = plain.count()
+    found, told = descend(plain, total, threshold, k, rounds, passes, block, tile, target, audit_rows, linked_rows, retries)
+    proved = told.filter("proved").select("part")
+    kept = plain.join(proved, "part", "left_semi").select("key")
+    # what the audit doesn't prove is compared whole
+    exact = exact_links(plain.join(proved, "part", "left_anti"), threshold)
+    counts = cut(exact.unionByName(found.join(kept, "key", "left_semi")))
     # keys back to ids: a component is named by the smallest id in it, over all its rows
     named = vectors.select("key", "id").join(counts, "key")
     least = named.groupBy("component").agg(F.min("id").alias("first"))
     named = named.join(least, "component").select("id", "key", "n_links", "first")
+    recalls = vectors.select("id", "part").join(told.select("part", "recall"), "part").groupBy("id").agg(F.min("recall").alias("recall"))
     per_id = named.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("first").alias("first"))
     rows = df.select(F.col(id_col).cast("long").alias("id"))
-    out = rows.join(per_id, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = rows.join(per_id, "id", "left").join(recalls, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "id").alias("component_id"), "recall")
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), "recall")

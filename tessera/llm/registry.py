@@ -68,7 +68,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
