@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import content_id, trim_all, unescape_if_needed
 from tessera.operators.components import connected_components
+from tessera.operators.leiden import communities_of
 from tessera.operators.order import dense_ordinal, first_by, ordered_list
 from tessera.session import cut
 
@@ -70,40 +71,7 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return named.join(inside, "a", "left_semi")
 
 
-def _moves(edges: DataFrame, state: DataFrame, total: float, turn: int, resolution: float) -> DataFrame:
-    """``state`` (node, size, c) after the nodes of one hash half move to the neighbouring community of best gain."""
-    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "w")).filter("node <> other")
-    own = state.select("node", "k", F.col("c").alias("own"))
-    weight = ends.join(state.select(F.col("node").alias("other"), "c"), "other").groupBy("node", "c").agg(F.sum("w").alias("w"))
-    mass = state.groupBy("c").agg(F.sum("k").alias("mass"))
-    options = weight.unionByName(own.select("node", F.col("own").alias("c"), F.lit(0.0).alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
-    scored = options.join(own, "node").join(mass, "c")
-    others = F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-    gain = F.round(F.col("w") - F.lit(resolution) * F.col("k") * others / F.lit(2 * total), 9)
-    best = scored.withColumn("gain", gain).groupBy("node").agg(F.max_by("c", F.struct(F.col("gain"), F.col("c") == F.col("own"), -F.xxhash64("c"))).alias("best"))
-    mine = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
-    return state.join(best, "node", "left").select("node", "k", F.when(mine & F.col("best").isNotNull(), F.col("best")).otherwise(F.col("c")).alias("c"))
-
-
-def communities_of(edges: DataFrame, rounds: int = 6, resolution: float = 1.0) -> DataFrame:
-    """(node, c) by rounds of modularity moves over ``edges`` (a, b, weight).
-
-    A round is a few grouped joins, so a hub is pre-aggregated and no component meets in one task. Halves of the nodes
-    (by hash) move in turn, which keeps neighbours from trading places. Each community is connected when it is returned.
-    """
-    e = cut(edges.groupBy("a", "b").agg(F.sum("weight").alias("w")))
-    total = float(e.agg(F.sum("w")).first()[0] or 0.0)
-    ends = e.select(F.col("a").alias("node"), "w").unionByName(e.select(F.col("b").alias("node"), "w"))
-    state = cut(ends.groupBy("node").agg(F.sum("w").cast("double").alias("k")).withColumn("c", F.col("node")))
-    for turn in range(rounds if total > 0 else 0):
-        state = cut(_moves(e, state, total, turn, resolution))
-    c = state.select("node", "c")
-    inner = e.join(c.withColumnsRenamed({"node": "a", "c": "ca"}), "a").join(c.withColumnsRenamed({"node": "b", "c": "cb"}), "b").filter("ca = cb")
-    parts = connected_components(inner, "a", "b")
-    return c.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
-
-
-def hierarchical_clusters(edges: DataFrame, max_size: int = 10, rounds: int = 6) -> DataFrame:
+def hierarchical_clusters(edges: DataFrame, max_size: int = 10, rounds: int = 3) -> DataFrame:
     """(level, community, parent, title): clusters, those of more than ``max_size`` members split again below them.
 
     Communities are named level by level by their smallest member; parent is null at level 0. Splitting goes on until no
@@ -122,7 +90,7 @@ def hierarchical_clusters(edges: DataFrame, max_size: int = 10, rounds: int = 6)
         large = found.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") > max_size)
         inside = cut(found.join(large, "community", "left_semi").select("title", F.col("community").alias("parent")))
         left, right = inside.withColumnsRenamed({"title": "a", "parent": "pa"}), inside.withColumnsRenamed({"title": "b", "parent": "pb"})
-        current = cut(current.join(left, "a").join(right, "b").filter("pa = pb").select("a", "b", "weight"))
+        current = cut(current.join(left, "a").join(right, "b").filter("pa = pb").select("a", "b", "weight", F.col("pa").alias("g")))
         parent, level = inside, level + 1
         if current.isEmpty():
             return made

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
+from tessera.operators import leiden as L
 from tessera.operators import order as O
 from tessera.operators import projection as P
 from tessera.plans import context_queries, inputs, registry, search_queries
@@ -63,6 +64,94 @@ def test_clique_cannot_be_parted(spark):
     assert {(r.level, r.community, r.parent) for r in rows} == {(0, "k00", None)} and len(rows) == 14
 
 
+def louvain(edges):
+    """Plain single-machine Louvain, as a mark that modularity must reach."""
+    near = defaultdict(lambda: defaultdict(float))
+    for a, b, w in edges:
+        near[a][b] += w
+        if a != b:
+            near[b][a] += w
+    total = sum(w for _, _, w in edges)
+    name = {n: n for n in near}
+    while True:
+        k = {n: sum(near[n].values()) + near[n].get(n, 0.0) for n in near}
+        c, mass, any_move = {n: n for n in near}, dict(k), False
+        moved = True
+        while moved:
+            moved = False
+            for n in sorted(near):
+                to = defaultdict(float)
+                for o, w in near[n].items():
+                    if o != n:
+                        to[c[o]] += w
+                mass[c[n]] -= k[n]
+                gain = {d: w - k[n] * mass[d] / (2 * total) for d, w in to.items()}
+                gain[c[n]] = to.get(c[n], 0.0) - k[n] * mass[c[n]] / (2 * total)
+                best = max(sorted(gain), key=lambda d: (gain[d] > gain[c[n]] + 1e-12, gain[d]))
+                if gain[best] > gain[c[n]] + 1e-12:
+                    c[n], moved, any_move = best, True, True
+                mass[c[n]] += k[n]
+        if not any_move:
+            return name
+        name = {n: c[x] for n, x in name.items()}
+        smaller = defaultdict(lambda: defaultdict(float))
+        for a in near:
+            for b, w in near[a].items():
+                if a <= b:
+                    smaller[c[a]][c[b]] += w
+                    if c[a] != c[b]:
+                        smaller[c[b]][c[a]] += w
+        near = smaller
+
+
+def modularity(edges, c):
+    total, mass, inside = sum(w for _, _, w in edges), defaultdict(float), 0.0
+    for a, b, w in edges:
+        mass[c[a]] += w
+        mass[c[b]] += w
+        inside += w if c[a] == c[b] else 0.0
+    return inside / total - sum(x * x for x in mass.values()) / (4 * total * total), mass
+
+
+def held_communities(edges, c):
+    """Every community is connected and no merge of two betters the modularity."""
+    q, mass = modularity(edges, c)
+    total, between, members = sum(w for _, _, w in edges), defaultdict(float), defaultdict(set)
+    for n, x in c.items():
+        members[x].add(n)
+    for a, b, w in edges:
+        if c[a] != c[b]:
+            between[min(c[a], c[b]), max(c[a], c[b])] += w
+    assert all(connected(m, [(a, b) for a, b, _ in edges]) for m in members.values())
+    assert all(w - mass[x] * mass[y] / (2 * total) < 1e-6 for (x, y), w in between.items())
+    return q
+
+
+def test_communities_of_a_path(spark):
+    edges = [(f"n{i:02d}", f"n{i + 1:02d}", 1.0) for i in range(60)]
+    df = spark.createDataFrame(edges, "a string, b string, weight double")
+    made = L.communities_of(df)
+    c = {r.node: r.c for r in made.collect()}
+    q = held_communities(edges, c)
+    assert len(c) == 61 and 6 <= len(set(c.values())) <= 10 and q > 0.74
+    assert abs(L.modularity(df, spark.createDataFrame(list(c.items()), "node string, c string")) - q) < 1e-9
+
+
+def test_communities_reach_louvain(spark):
+    rel = G.cluster_edges(inputs.relationships(spark, "/root/testdata/sf0.01").select("source", "target", "weight", "pos"))
+    edges = [(r.a, r.b, float(r.weight)) for r in rel.collect()]
+    c = {r.node: r.c for r in L.communities_of(rel).collect()}
+    assert held_communities(edges, c) >= modularity(edges, louvain(edges))[0] - 1e-9
+
+
+def test_graphs_side_by_side(spark):
+    """A graph parted beside a much heavier one comes out as it does alone."""
+    pairs = lambda p: [(f"{p}{i}{j}", f"{p}{i}{k}", 1.0) for i in range(2) for j in range(5) for k in range(j)] + [(f"{p}00", f"{p}10", 1.0)]
+    rows = [(*e, "x") for e in pairs("x")] + [(a, b, 500.0, "y") for a, b, _ in pairs("y")]
+    c = {r.node: r.c for r in L.communities_of(spark.createDataFrame(rows, "a string, b string, weight double, g string")).collect()}
+    assert set(c.values()) == {"x00", "x10", "y00", "y10"}
+
+
 def test_global_batches(spark):
     rows = registry.queries()["q27_global_batches"](spark, SF).collect()
     place = O.seeded_shuffle(sorted(r.id for r in rows))
