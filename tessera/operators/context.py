@@ -76,11 +76,16 @@ def section_rows(df: DataFrame, section: str, line: Column, order: list, budget:
     return kept.select(F.lit(section).alias("section"), at.alias("at"), F.col("__line").alias("line"))
 
 
+RELATIONS, RELATIONS_LINKED = (f"-----Relationships-----\nid|source|target|weight{more}\n" for more in ("", "|links"))
+
+
 def local_sections(selected: DataFrame, communities: DataFrame, reports: DataFrame, edges: DataFrame, units: DataFrame, covariates: DataFrame | None, level: int = 2, budget: int = 12_000, text_share: float = 0.5, community_share: float = 0.15, top_k: int = 10) -> DataFrame:
     """(section, at, line, in_context) of a local search over ``selected`` (id, title, description, place, text_unit_ids).
 
-    Reports get ``community_share`` of the budget, source texts ``text_share``, entities with their relationships and
-    covariates the rest; shares are cut to whole tokens. Entities are taken one after the other until those rows no longer fit.
+    Reports get ``community_share`` of the budget, source texts ``text_share``; entities, relationships and covariates have one
+    budget, the rest; shares are cut to whole tokens. Entities are taken one after the other, each with its relationships and
+    covariates, one section a type of covariate, until all those rows with their headers no longer fit beside the entity rows; the
+    entity that brought too much goes back, the first one too. What stays is shown whole.
     """
     selected = cut(selected)
     grown_budget = int(budget * (1 - text_share - community_share))
@@ -88,17 +93,22 @@ def local_sections(selected: DataFrame, communities: DataFrame, reports: DataFra
     ranked = S.community_matches(member, reports.filter(F.col("level") <= level))
     made = [section_rows(ranked, "Reports", X.csv_row(F.col("id"), F.col("title"), F.col("content"), sep="|"), [F.desc("matches"), F.desc("rank"), "id"], int(budget * community_share), "id|title|content")]
     line = X.raw_row(F.col("id"), F.col("title"), described(F.col("description")))
-    made.append(section_rows(selected, "Entities", line, ["place", "id"], grown_budget, "id|entity|description"))
-    spent = made[-1].agg(F.coalesce(F.sum(F.length("line") + 1), F.lit(0))).first()[0]
-    edge_line = X.raw_row(F.col("id"), F.col("source"), F.col("target"), F.col("weight"))
-    n = S.growing_context(selected, edges, F.length(edge_line) + 1, grown_budget - spent, top_k)
-    kept = selected.filter(F.col("place") < max(1, n))
-    near = S.neighbour_edges(kept, edges, top_k)
-    made.append(section_rows(near, "Relationships", edge_line, ["part", F.desc("links"), F.desc("rank"), "id"], grown_budget, "id|source|target|weight"))
+    entities = cut(section_rows(selected, "Entities", line, ["place", "id"], grown_budget, "id|entity|description"))
+    spent = entities.agg(F.coalesce(F.sum(F.length("line") + 1), F.lit(0))).first()[0] + len("-----Entities-----\nid|entity|description\n")
+    shown = cut(S.with_lines(S.expansion(selected, edges, top_k), X.raw_row(F.col("id"), F.col("source"), F.col("target"), F.col("weight"))))
+    head = F.when(F.col("linked"), RELATIONS_LINKED).otherwise(RELATIONS)
+    rows = shown.select("prefix", F.lit("Relationships").alias("section"), F.struct(F.col("part").cast("long").alias("part"), F.col("at").cast("long").alias("at"), "id").alias("o"), "line", head.alias("head"))
     if covariates is not None:
-        rows = covariates_of(kept, covariates)
         claim = X.raw_row(F.col("short_id"), F.col("subject_id"), F.col("covariate_type"), F.col("description"))
-        made.append(section_rows(rows, "Claims", claim, ["place", "human_readable_id"], grown_budget, "id|entity|type|description"))
+        own = S.claims_of_prefixes(selected, covariates_of(selected, covariates))
+        order = F.struct(F.col("place").cast("long").alias("part"), F.col("human_readable_id").cast("long").alias("at"), F.col("id").alias("id"))
+        head = F.concat(F.lit("-----"), "covariate_type", F.lit("-----\nid|entity|type|description\n"))
+        rows = rows.unionByName(own.select("prefix", F.col("covariate_type").alias("section"), order.alias("o"), claim.alias("line"), head.alias("head")))
+    rows = cut(rows)
+    costs = rows.select("prefix", (F.length("line") + 1).alias("cost")).unionByName(S.header_costs(rows, F.col("head")))
+    kept = rows.filter(F.col("prefix") == S.fitting_prefix(costs, spent, grown_budget))
+    at = F.row_number().over(Window.partitionBy("section").orderBy("o")) - 1  # no more rows than the budget has characters
+    made += [entities, kept.select("section", at.alias("at"), "line")]
     sources = S.selected_units(selected, units, edges)
     made.append(section_rows(sources, "Sources", X.raw_row(F.col("unit"), F.col("text")), ["place", F.desc("n"), "unit"], int(budget * text_share), "id|text"))
     out = made[0]

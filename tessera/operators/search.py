@@ -77,23 +77,68 @@ def neighbour_edges(selected: DataFrame, edges: DataFrame, top_k: int) -> DataFr
     return inner.select(cols).unionByName(outer.select(cols))
 
 
-def growing_context(selected: DataFrame, edges: DataFrame, cost, budget: int, top_k: int) -> int:
-    """How many of the selected entities (title, place from 0) stay when the edges of the first n must fit ``budget``.
-
-    All prefixes are ranked side by side in one plan over the edges of the selected few; the first prefix over budget
-    ends the growth. At least the entities before it stay.
+def expansion(selected: DataFrame, edges: DataFrame, top_k: int) -> DataFrame:
+    """Edges (id, source, target, rank, weight) that a context over the first ``prefix`` selected entities (title, place from 0)
+    shows, for every prefix from 1: all with both ends selected (part 0), then of the others ``top_k`` an entity, by links,
+    rank and id (part 1); with their place ``at`` in the part.
+
+    ``links`` counts the selected neighbours of the outer end: kept as a list of places for each outer end, of which a prefix
+    counts those before it. An edge whose outer end was selected later keeps the links of the last prefix it was outside of.
+    Where a prefix has one outer edge only, links are not counted. Ranks that are null count as 0.
     """
     n = selected.count()
     titles = selected.select(F.col("title").alias("t"), "place")
-    ends = edges.select("id", "source", "target", "rank", "weight", F.explode(F.array_distinct(F.array("source", "target"))).alias("t")).join(broadcast_if_small(titles), "t")
-    per_edge = ends.groupBy("id", "source", "target", "rank", "weight").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("ends"))
-    grown = per_edge.withColumn("prefix", F.explode(F.sequence(F.col("first"), F.lit(n - 1))))
-    inner = ((F.col("ends") == 2) & (F.col("last") <= F.col("prefix"))) | (F.col("source") == F.col("target"))
-    order = Window.partitionBy("prefix", "inner").orderBy(F.desc("rank"), "id")
-    kept = grown.withColumn("inner", inner).withColumn("r", F.row_number().over(order)).filter(F.col("inner") | (F.col("r") <= top_k * (F.col("prefix") + 1)))
-    sums = kept.groupBy("prefix").agg(F.sum(cost).alias("spent")).filter(F.col("spent") > budget)
-    over = sums.agg(F.min("prefix")).first()[0]
-    return n if over is None else int(over)
+    ends = edges.select("id", "source", "target", F.coalesce("rank", F.lit(0)).alias("rank"), "weight", F.explode(F.array_distinct(F.array("source", "target"))).alias("t")).join(broadcast_if_small(titles), "t")
+    per_edge = ends.groupBy("id", "source", "target", "rank", "weight").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("ends"), F.min_by("t", "place").alias("near"))
+    outside = F.when(F.col("source") == F.col("target"), None).when(F.col("source") == F.col("near"), F.col("target")).otherwise(F.col("source"))
+    per_edge = cut(per_edge.withColumn("outside", outside).drop("near"))
+    places = per_edge.filter("outside is not null").groupBy("outside").agg(F.array_sort(F.collect_set("first")).alias("near"))  # one a selected entity at most
+    grown = per_edge.join(places, "outside", "left").withColumn("prefix", F.explode(F.sequence(F.col("first") + 1, F.lit(n))))
+    grown = grown.withColumn("inner", (F.col("source") == F.col("target")) | ((F.col("ends") == 2) & (F.col("last") < F.col("prefix"))))
+    counts = grown.filter("not inner").groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1").collect()  # a row a selected entity
+    many = F.array(*[F.lit(r["prefix"]) for r in counts]).cast("array<int>")
+    learned = F.array_max(F.filter(many, lambda m: (m > F.col("first")) & (m <= F.col("last"))))
+    before = lambda m: F.size(F.filter("near", lambda p: p < m)).cast("long")
+    counted = F.array_contains(many, F.col("prefix").cast("int"))
+    links = F.when(F.col("outside").isNull(), None).when(F.col("inner"), F.when(learned.isNotNull(), before(learned))).when(counted, before(F.col("prefix")))
+    order = Window.partitionBy("prefix", "inner").orderBy(F.when(F.col("inner"), 0).otherwise(-F.coalesce("links", F.lit(0))), F.desc("rank"), "id")
+    inner = grown.filter("inner").withColumn("links", links).withColumn("at", F.row_number().over(order))
+    outer = grown.filter("not inner").withColumn("links", links).withColumn("at", F.row_number().over(order))
+    outer = outer.filter(F.col("at") <= max(1, top_k * n)).filter((F.col("at") <= top_k * F.col("prefix")) | ~counted)  # the first bound cuts before the shuffle
+    cols = ["prefix", "id", "source", "target", "rank", "weight", "links", F.when(F.col("inner"), 0).otherwise(1).alias("part"), "at"]
+    return inner.select(cols).unionByName(outer.select(cols))
+
+
+def with_lines(shown: DataFrame, line) -> DataFrame:
+    """``shown`` (:func:`expansion`) with the line of each edge; links are a column of it where the prefix's first edge has some."""
+    first = shown.groupBy("prefix").agg(F.min_by(F.col("links").isNotNull(), F.struct("part", "at")).alias("linked"))
+    joined = shown.join(F.broadcast(first), "prefix")  # a row a selected entity
+    return joined.withColumn("line", F.when(F.col("linked"), F.concat(line, F.lit("|"), F.coalesce(F.col("links").cast("string"), F.lit("")))).otherwise(line))
+
+
+def claims_of_prefixes(selected: DataFrame, claims: DataFrame) -> DataFrame:
+    """``claims`` (with the place of their entity) for every prefix of the selected entities that holds it."""
+    return claims.withColumn("prefix", F.explode(F.sequence(F.col("place") + 1, F.lit(selected.count()))))
+
+
+def fitting_prefix(costs: DataFrame, spent: int, budget: int) -> int:
+    """How many entities stay, of costs (prefix, cost): growth ends before the first prefix whose rows and ``spent`` together
+    exceed ``budget``. That may be the first, and then none stays."""
+    over = costs.groupBy("prefix").agg(F.sum("cost").alias("cost")).filter(F.col("cost") + spent > budget).agg(F.min("prefix")).first()[0]
+    last = costs.agg(F.max("prefix")).first()[0]
+    return int(over) - 1 if over is not None else int(last or 0)
+
+
+def growing_context(selected: DataFrame, edges: DataFrame, line, header: str, budget: int, top_k: int) -> DataFrame:
+    """Edges with their lines of as many entities as fit: :func:`expansion` at the last prefix whose lines stay in ``budget``."""
+    shown = cut(with_lines(expansion(selected, edges, top_k), line))
+    costs = shown.select("prefix", (F.length("line") + 1).alias("cost")).unionByName(header_costs(shown, F.lit(header)))
+    return shown.filter(F.col("prefix") == fitting_prefix(costs, 0, budget))
+
+
+def header_costs(shown: DataFrame, header) -> DataFrame:
+    """(prefix, cost) of a header's characters, once for each prefix and header that has rows."""
+    return shown.select("prefix", header.alias("h")).distinct().select("prefix", F.length("h").alias("cost"))
 
 
 def selected_units(selected: DataFrame, units: DataFrame, edges: DataFrame) -> DataFrame:

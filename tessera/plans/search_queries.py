@@ -105,9 +105,9 @@ def local_relationships(spark, sf):
 
 def local_context(spark, sf, budget: int = 4_000):
     """Edges of the entities that stay when the context grows one entity at a time."""
-    rel, chosen = I.relationships(spark, sf), selected(spark, sf)
-    n = S.growing_context(chosen, rel, F.length(F.concat_ws("|", "id", "source", "target", "weight")) + 1, budget, 10)
-    return S.neighbour_edges(chosen.filter(F.col("place") < max(1, n)), rel, 10).select("id", "source", "target", "part")
+    line = X.raw_row(F.col("id"), F.col("source"), F.col("target"), F.col("weight"))
+    made = S.growing_context(selected(spark, sf), I.relationships(spark, sf), line, "-----Relationships-----\nid|source|target|weight\n", budget, 10)
+    return made.select("id", "source", "target", "part", F.coalesce("links", F.lit(-1)).alias("links"), F.length("line").alias("cost"))
 
 
 def local_units(spark, sf, budget: int = 3_000):

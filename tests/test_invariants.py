@@ -10,6 +10,7 @@ from tessera.operators import graph as G
 from tessera.operators import leiden as L
 from tessera.operators import order as O
 from tessera.operators import projection as P
+from tessera.operators import search as S
 from tessera.plans import context_queries, inputs, registry, search_queries
 
 SF = "/root/testdata/sf0.001"
@@ -171,51 +172,92 @@ def test_packing_by_rows_and_cost(spark):
     assert [made[i] for i in range(8)] == [0, 0, 1, 2, 3, 3, 3, 4]
 
 
-def neighbourhood(rel, titles, top_k):
-    """Ids of the edges at ``titles``: inner ones, then the best outer ones."""
-    inner = [r for r in rel if r.source in titles and r.target in titles or r.source == r.target and r.source in titles]
-    outer = [r for r in rel if (r.source in titles) != (r.target in titles) and r.source != r.target]
-    links = defaultdict(set)
-    for r in outer:
-        links[r.target if r.source in titles else r.source].add(r.source if r.source in titles else r.target)
-    outer.sort(key=lambda r: (-len(links[r.target if r.source in titles else r.source]), -r["rank"], r.id))
-    return inner + outer[: max(1, top_k * len(titles))]
-
-
-def grown(rel, chosen, budget, top_k):
-    """How many of ``chosen`` stay when their edges, the outer ones by rank, must fit ``budget``."""
+def attempt(rel, chosen, top_k, learned):
+    """Relationships of a context over ``chosen``, in order, with their links: the rule as a loop over one attempt after the other."""
+    names = {e.title for e in chosen}
+    near = [r for r in rel if r.source in names or r.target in names]
+    inner = sorted(([r, learned.get(r.id)] for r in near if r.source in names and r.target in names), key=lambda x: (-x[0]["rank"], x[0].id))
+    outer = sorted(([r, None] for r in near if not (r.source in names and r.target in names)), key=lambda x: (-x[0]["rank"], x[0].id))
+    if len(outer) > 1:
+        ends = [(r.target, r.source) if r.source in names else (r.source, r.target) for r, _ in outer]
+        neighbours = defaultdict(set)
+        for out, own in ends:
+            neighbours[out].add(own)
+        for x, (out, _) in zip(outer, ends):
+            x[1] = learned[x[0].id] = len(neighbours[out])
+        outer = sorted(outer, key=lambda x: (-x[1], -x[0]["rank"], x[0].id))[: top_k * len(chosen)]
+    return inner + outer
+
+
+def lines_of(shown):
+    linked = bool(shown) and shown[0][1] is not None
+    made = [f"{r.id}|{r.source}|{r.target}|{r.weight}" + (f"|{'' if n is None else n}" if linked else "") for r, n in shown]
+    return made, "-----Relationships-----\nid|source|target|weight" + ("|links" if linked else "") + "\n"
+
+
+def grown(rel, claims, chosen, spent, budget, top_k):
+    """(relationships, claims by type) of the last attempt within ``budget``; the entity that brings too much goes back."""
+    learned, accepted = {}, ([], {})
     for n in range(1, len(chosen) + 1):
-        titles = {e.title for e in chosen[:n]}
-        inner = [r for r in rel if r.source in titles and r.target in titles]
-        outer = sorted((r for r in rel if (r.source in titles) != (r.target in titles)), key=lambda r: (-r["rank"], r.id))[: top_k * n]
-        if sum(len(f"{r.id}|{r.source}|{r.target}|{r.weight}") + 1 for r in inner + outer) > budget:
-            return n - 1
-    return len(chosen)
+        shown = attempt(rel, chosen[:n], top_k, learned)
+        lines, head = lines_of(shown)
+        cost = spent + (len(head) + sum(len(x) + 1 for x in lines) if lines else 0)
+        groups = defaultdict(list)
+        for e in chosen[:n]:
+            for c in sorted((c for c in claims if c.subject_id == e.title), key=lambda c: (c.human_readable_id, c.id)):
+                groups[c.covariate_type].append(f"{c.short_id}|{c.subject_id}|{c.covariate_type}|{c.description}")
+        cost += sum(len(f"-----{k}-----\nid|entity|type|description\n") + sum(len(x) + 1 for x in g) for k, g in groups.items())
+        if cost > budget:
+            break
+        accepted = (shown, groups)
+    return accepted
 
 
-def test_local_context(spark, rel):
+@pytest.mark.parametrize("budget", [10, 90, 700, 1_500, 4_000, 100_000])
+def test_local_context(spark, rel, budget):
     chosen = sorted(search_queries.selected(spark, SF).collect(), key=lambda e: e.place)
-    kept = max(1, grown(rel, chosen, 4_000, 10))
-    want = {r.id for r in neighbourhood(rel, {e.title for e in chosen[:kept]}, 10)}
-    assert {r.id for r in registry.queries()["q31_local_context"](spark, SF).collect()} == want
+    want, learned = [], {}
+    for n in range(1, len(chosen) + 1):
+        shown = attempt(rel, chosen[:n], 10, learned)
+        lines, _ = lines_of(shown)
+        if sum(len(x) + 1 for x in lines) + len("-----Relationships-----\nid|source|target|weight\n") > budget:
+            break
+        want = [(r.id, -1 if n is None else n, len(x)) for (r, n), x in zip(shown, lines)]
+    rows = search_queries.local_context(spark, SF, budget).collect()
+    assert sorted((r.id, r.links, r.cost) for r in rows) == sorted(want)
+    assert sum(r.cost + 1 for r in rows) <= budget
+
+
+def test_expansion_of_touching_entities(spark):
+    """Edges among the selected, repeated ones, loops, and outer ends that share neighbours."""
+    rnd = random.Random(4)
+    rows = [(f"r{i:03d}", f"n{rnd.randrange(9)}", f"n{rnd.randrange(9)}", rnd.randrange(4), float(i)) for i in range(70)]
+    edges = spark.createDataFrame(rows, "id string, source string, target string, rank long, weight double")
+    chosen = spark.createDataFrame([(f"n{i}", i) for i in range(6)], "title string, place int")
+    rel, entities = edges.collect(), sorted(chosen.collect(), key=lambda e: e.place)
+    for top_k in (1, 3):
+        got, learned = defaultdict(list), {}
+        for r in sorted(S.expansion(chosen, edges, top_k).collect(), key=lambda r: (r.prefix, r.part, r["at"])):
+            got[r.prefix].append((r.id, r.links))
+        for n in range(1, 7):
+            assert got[n] == [(r.id, k) for r, k in attempt(rel, entities[:n], top_k, learned)]
 
 
 def test_local_growth(spark, rel):
-    """Relationships and claims of the composed search: those of the entities that stay, while the lines fit."""
+    """Relationships and claims of the composed search have one budget with the entities, headers counted."""
     chosen = sorted(search_queries.selected(spark, SF).collect(), key=lambda e: e.place)
     rows = context_queries.sections(spark, SF).collect()
-    spent = sum(len(r.line) + 1 for r in rows if r.section == "Entities")
+    claims = context_queries.section_claims(spark, SF).collect()
+    spent = sum(len(r.line) + 1 for r in rows if r.section == "Entities") + len("-----Entities-----\nid|entity|description\n")
     budget = int(6_000 * (1 - 0.5 - 0.15))
-    kept = max(1, grown(rel, chosen, budget - spent, 10))
-    want, run = [], len("-----Relationships-----\nid|source|target|weight\n")
-    for r in neighbourhood(rel, {e.title for e in chosen[:kept]}, 10):
-        line = f"{r.id}|{r.source}|{r.target}|{r.weight}"
-        if (run := run + len(line) + 1) > budget:
-            break
-        want.append(line)
-    assert [r.line for r in sorted(rows, key=lambda r: r["at"]) if r.section == "Relationships"] == want
-    names = {e.title for e in chosen[:kept]}
-    assert all(r.line.split("|")[1] in names for r in rows if r.section == "Claims")
+    shown, groups = grown(rel, claims, chosen, spent, budget, 10)
+    by = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["at"]):
+        by[r.section].append(r.line)
+    assert by["Relationships"] == lines_of(shown)[0] and shown
+    assert {k: by[k] for k in set(by) - {"Reports", "Entities", "Sources", "Relationships"}} == dict(groups)
+    inside = [r for r in rows if r.in_context]
+    assert sum(len(r.line) + 1 for r in inside) <= budget
 
 
 @pytest.mark.parametrize("nodes,edges,page", [(60, 100, 20_000), (12, 40, 7), (5, 500, 3), (1, 4, 2)])
