@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POINTS = "struct<points: array<struct<description: string, score: double>>>"
+POINTS = "struct<points: array<struct<description: variant, score: variant>>>"
 REPORT = "struct<title: string, summary: string, rating: double, rating_explanation: string, findings: array<struct<summary: string, explanation: string>>>"
 
 
@@ -82,12 +82,31 @@ def json_object(answer: Column) -> Column:
     return F.when(plain, answer).otherwise(_first_object(answer))
 
 
+def _kind(v: Column) -> Column:
+    """The JSON kind of a variant: STRING, BOOLEAN, a kind of number, or another."""
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+
+def _number(v: Column) -> Column:
+    """A JSON number as a double, true and false as 1 and 0; null for other kinds."""
+    kind = _kind(v)
+    return F.when(kind == "BOOLEAN", v.try_cast("boolean").cast("double")).when((kind == "BIGINT") | (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")), v.try_cast("double"))
+
+
+def whole_number(v: Column) -> Column:
+    """A JSON value as Python's int() takes it: a number cut to whole, true and false, a text of digits with a sign; else null."""
+    text = F.when(_kind(v) == "STRING", v.try_cast("string"))
+    digits = F.when(text.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), F.replace(F.trim(text), F.lit("_"), F.lit("")).try_cast("long"))
+    return F.coalesce(digits, _number(v).cast("long"))
+
+
 def points(answer: Column) -> Column:
-    """Scored points of a map answer; an answer without any gives one empty point of score 0."""
+    """Scored points of a map answer, those with a text and a whole score; an answer without any point gives one empty one of 0."""
     found = F.from_json(json_object(answer), POINTS)["points"]
-    kept = F.filter(found, lambda p: p["description"].isNotNull() & p["score"].isNotNull())
+    read = F.transform(found, lambda p: F.struct(F.when(_kind(p["description"]) == "STRING", p["description"].try_cast("string")).alias("description"), whole_number(p["score"]).cast("double").alias("score")))
+    kept = F.filter(read, lambda p: p["description"].isNotNull() & p["score"].isNotNull())
     none = F.array(F.struct(F.lit("").alias("description"), F.lit(0.0).alias("score")))
-    return F.when(F.size(kept) > 0, kept).otherwise(none)
+    return F.when(F.size(found) > 0, kept).otherwise(none)
 
 
 def report(answer: Column) -> Column:
@@ -96,5 +115,9 @@ def report(answer: Column) -> Column:
     return F.when(r["title"].isNotNull() & r["summary"].isNotNull() & r["findings"].isNotNull(), r)
 
 
-def rating(answer: Column, default: int = 1) -> Column:
-    return F.coalesce(F.get_json_object(json_object(answer), "$.rating").try_cast("int"), F.lit(default))
+def rating(answer: Column, default: float = 1.0) -> Column:
+    """The rating of an answer: a number as it is, true and false as 1 and 0, a text that is a number as that; null for another
+    text, which no threshold lets pass; ``default`` where the answer has none."""
+    v = F.from_json(json_object(answer), "struct<rating: variant>")["rating"]
+    text = F.when(_kind(v) == "STRING", v.try_cast("string"))
+    return F.when(v.isNull() | (_kind(v) == "VOID"), F.lit(float(default))).otherwise(F.coalesce(_number(v), text.try_cast("double")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import answers as A
 from tessera.functions import text as X
 from tessera.operators import audit as D
 from tessera.operators import context as C
@@ -274,4 +275,15 @@ def scalar_values(spark, sf):
     return made.join(chunk.select("c_custkey", "chunk", "n_tokens"), "c_custkey")
 
 
-QUERIES = {f"q{i}_{f.__name__}": f for i, f in enumerate((matched_entities, ranked_entities, unit_covariates, subject_covariates, covariate_groups, local_sections, local_growth, exploded_members, report_contexts, tight_report_contexts, backed_communities, hydrated_reports, reduced_points, primer_totals, chosen_units, fold_sizes, updated_units, updated_reports, updated_covariates, attached_summaries, graph_summary, filtered_entities, filtered_edges, filtered_communities, entity_overview, reported_communities, graph_elements, filtered_events, final_focus, event_payloads, latest_events, orphan_checks, canonical_rows, cluster_groups, sorted_edges, query_units, query_edges, scalar_values), 80)}
+def answer_ratings(spark, sf):
+    """Votes read out of answers of all kinds, and the most frequent one of each user."""
+    e = table(spark, sf, "events")
+    i = F.col("event_id")
+    said = F.when(i % 6 == 0, F.lit("3.7")).when(i % 6 == 1, "true").when(i % 6 == 2, '"2"').when(i % 6 == 3, '"high"').otherwise((i % 5).cast("string"))
+    answer = F.when(i % 11 == 0, F.lit("no rating")).otherwise(F.concat(F.lit('Rated: {"why": {"a": 1}, "rating": '), said, F.lit("}")))
+    votes = e.select("user_id", A.rating(answer).alias("rating"))
+    best = S.majority(votes.filter("rating is not null"), ["user_id"], "rating")
+    return votes.groupBy("user_id").agg(F.count("*").alias("votes"), F.count("rating").alias("numbers"), F.round(F.sum("rating"), 6).alias("total")).join(best, "user_id", "left")
+
+
+QUERIES = {f"q{i}_{f.__name__}": f for i, f in enumerate((matched_entities, ranked_entities, unit_covariates, subject_covariates, covariate_groups, local_sections, local_growth, exploded_members, report_contexts, tight_report_contexts, backed_communities, hydrated_reports, reduced_points, primer_totals, chosen_units, fold_sizes, updated_units, updated_reports, updated_covariates, attached_summaries, graph_summary, filtered_entities, filtered_edges, filtered_communities, entity_overview, reported_communities, graph_elements, filtered_events, final_focus, event_payloads, latest_events, orphan_checks, canonical_rows, cluster_groups, sorted_edges, query_units, query_edges, scalar_values, answer_ratings), 80)}

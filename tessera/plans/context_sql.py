@@ -143,4 +143,10 @@ SQL = {
       '[''' || c_name || ''', "it''s ' || c_custkey || '"]' AS py, '["' || c_name || '", "it''s ' || c_custkey || '"]' AS js,
       c_custkey % 2 = 0 AS plain, '2024-03-01' AS period, 'name: ' || c_name || '.' || chr(10) || c_mktsegment AS chunk,
       length('name: ' || c_name || '.' || chr(10) || c_mktsegment) AS n_tokens FROM customer""",
+    "q118_answer_ratings": """WITH v AS (SELECT user_id, CASE WHEN event_id % 11 = 0 THEN 1.0 WHEN event_id % 6 = 0 THEN 3.7 WHEN event_id % 6 = 1
+      THEN 1.0 WHEN event_id % 6 = 2 THEN 2.0 WHEN event_id % 6 = 3 THEN NULL ELSE event_id % 5 END::DOUBLE AS rating FROM events),
+      c AS (SELECT user_id, rating, count(*) AS n FROM v WHERE rating IS NOT NULL GROUP BY 1, 2),
+      b AS (SELECT user_id, rating FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, rating) = 1),
+      t AS (SELECT user_id, count(*) AS votes, count(rating) AS numbers, round(sum(rating), 6) AS total FROM v GROUP BY 1)
+      SELECT user_id, votes, numbers, total, rating FROM t LEFT JOIN b USING (user_id)""",
 }

@@ -82,11 +82,17 @@ def batch_totals(spark, sf, most: int = 60):
     return O.pack_in_order(rows, "cost", most, "place", ["g"]).groupBy("batch").agg(F.count("*").alias("n"), F.sum("cost").cast("long").alias("cost"))
 
 
+def _score(i):
+    """A score as models write it: a text of digits, a fraction, a truth value, a text that is no number, or a plain number."""
+    plain = (i % 7).cast("string")
+    return F.when(i % 10 == 3, F.concat(F.lit('"'), plain, F.lit('"'))).when(i % 10 == 4, F.concat(plain, F.lit(".9"))).when(i % 10 == 5, "true").when(i % 10 == 6, '"x"').otherwise(plain)
+
+
 def map_points(spark, sf, budget: int = 600):
     """Points of map answers, best first, while they fit; answers are made of events, some of them broken JSON."""
     e = table(spark, sf, "events")
     broken = F.col("event_id") % 100 == 0  # a nested object and a comma too many, which must not hide the outer object
-    text = F.concat(F.lit('{"points": [{"description": "event '), "event_id", F.lit('", "score": '), F.col("event_id") % 7, F.when(broken, ', "of": {"a": 1,}},').otherwise("}"), F.lit("]}"))
+    text = F.concat(F.lit('{"points": [{"description": "event '), "event_id", F.lit('", "score": '), _score(F.col("event_id")), F.when(broken, ', "of": {"a": 1,}},').otherwise("}"), F.lit("]}"))
     answer = F.when(F.col("event_id") % 150 == 0, F.lit("nothing")).otherwise(text)
     points = e.select("event_id", F.explode(A.points(answer)).alias("p")).select("event_id", "p.description", "p.score").filter("score > 0")
     return O.prefix_budget(points.withColumn("cost", F.length("description") + 10), "cost", budget, [F.desc("score"), "event_id"])
@@ -212,8 +218,8 @@ SQL = {
       w.batch + 1 ELSE w.batch END, CASE WHEN w.run + r.cost > 60 THEN r.cost ELSE w.run + r.cost END, r.cost FROM w JOIN r ON r.i =
       w.i + 1)
       SELECT batch, count(*) AS n, sum(cost)::BIGINT AS cost FROM w GROUP BY 1""",
-    "q29_map_points": """WITH p AS (SELECT event_id, 'event ' || event_id AS description, (event_id % 7)::DOUBLE AS score, length('event '
-      || event_id) + 10 AS cost FROM events WHERE event_id % 150 <> 0 AND event_id % 7 > 0),
+    "q29_map_points": """WITH p AS (SELECT event_id, 'event ' || event_id AS description, (CASE WHEN event_id % 10 = 5 THEN 1 ELSE event_id % 7 END)::DOUBLE AS score, length('event '
+      || event_id) + 10 AS cost FROM events WHERE event_id % 150 <> 0 AND event_id % 10 <> 6 AND (event_id % 7 > 0 OR event_id % 10 = 5)),
       r AS (SELECT *, sum(cost) OVER (ORDER BY score DESC, event_id ROWS UNBOUNDED PRECEDING) AS run FROM p) SELECT event_id, description,
       score, cost::INTEGER AS cost FROM r WHERE run <= 600""",
     "q30_local_relationships": f"""WITH {I.GRAPH}, {SELECTED}, o AS (SELECT rel.*, target AS t FROM rel JOIN sel ON sel.title = target),
