@@ -146,7 +146,7 @@ def report_contexts(members: DataFrame, edges: DataFrame, budget: int) -> DataFr
     ends = members.select(F.col("level").alias("nl"), F.col("community").alias("nc"), "title", F.col("human_readable_id").alias("nid"), described(F.col("description")).alias("node_description"))
     kinds = "level int, community long, context string"
 
-    def grow(key, some: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, some: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         if not len(some):
             return pd.DataFrame({"level": [], "community": [], "context": []}).astype({"level": "int32", "community": "int64"})
         quote = lambda v: '"' + str(v).replace('"', '""') + '"' if any(c in str(v) for c in ',"\n\r') else str(v)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from tessera.operators import search as S
 from tessera.operators import update as U
 from tessera.plans import inputs as I
 from tessera.plans.context_sql import SQL  # noqa: F401  the registry reads it here
-from tessera.plans.search_queries import query_vector, selected
-from tessera.session import cut, table
+from tessera.plans.search_queries import query_vector, selected, vectors
+from tessera.session import checkpoint_dir, cut, table
+from tessera.sources import lists as lists_source
 
 joined = lambda c: F.array_join(c, ",")
 
@@ -286,4 +289,18 @@ def answer_ratings(spark, sf):
     return votes.groupBy("user_id").agg(F.count("*").alias("votes"), F.count("rating").alias("numbers"), F.round(F.sum("rating"), 6).alias("total")).join(best, "user_id", "left")
 
 
-QUERIES = {f"q{i}_{f.__name__}": f for i, f in enumerate((matched_entities, ranked_entities, unit_covariates, subject_covariates, covariate_groups, local_sections, local_growth, exploded_members, report_contexts, tight_report_contexts, backed_communities, hydrated_reports, reduced_points, primer_totals, chosen_units, fold_sizes, updated_units, updated_reports, updated_covariates, attached_summaries, graph_summary, filtered_entities, filtered_edges, filtered_communities, entity_overview, reported_communities, graph_elements, filtered_events, final_focus, event_payloads, latest_events, orphan_checks, canonical_rows, cluster_groups, sorted_edges, query_units, query_edges, scalar_values, answer_ratings), 80)}
+def list_index_recall(spark, sf, k: int = 10, lists: int = 16):
+    """Every twentieth vector searched in an index by inverted lists and by an exact scan: how many of its neighbours both found,
+    and whether those are 0.95 of all."""
+    v = vectors(spark, sf).select("id", "vector")
+    index = lists_source.build(v, f"{checkpoint_dir(spark).rstrip('/')}/lists-{uuid.uuid4().hex}", lists)
+    asked = v.filter("id % 20 = 0").select(F.col("id").alias("query"), "vector")
+    found = index.search_all(asked, k, index.probes_for(k)).select("query", "id", F.lit(True).alias("found"))
+    true = index.search_all(asked, k, lists).select("query", "id", "rank")  # all lists: an exact scan
+    both = cut(true.join(found, ["query", "id"], "left"))
+    recall = both.agg((F.count("found") >= 0.95 * F.count("*")).alias("enough"))
+    each = both.groupBy("query").agg(F.count("*").alias("k"), F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("nearest"))
+    return each.join(F.broadcast(recall)).select("query", "k", "nearest", "enough")  # one row is broadcast
+
+
+QUERIES = {f"q{i}_{f.__name__}": f for i, f in enumerate((matched_entities, ranked_entities, unit_covariates, subject_covariates, covariate_groups, local_sections, local_growth, exploded_members, report_contexts, tight_report_contexts, backed_communities, hydrated_reports, reduced_points, primer_totals, chosen_units, fold_sizes, updated_units, updated_reports, updated_covariates, attached_summaries, graph_summary, filtered_entities, filtered_edges, filtered_communities, entity_overview, reported_communities, graph_elements, filtered_events, final_focus, event_payloads, latest_events, orphan_checks, canonical_rows, cluster_groups, sorted_edges, query_units, query_edges, scalar_values, answer_ratings, list_index_recall), 80)}

@@ -149,4 +149,8 @@ SQL = {
       b AS (SELECT user_id, rating FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, rating) = 1),
       t AS (SELECT user_id, count(*) AS votes, count(rating) AS numbers, round(sum(rating), 6) AS total FROM v GROUP BY 1)
       SELECT user_id, votes, numbers, total, rating FROM t LEFT JOIN b USING (user_id)""",
+    "q119_list_index_recall": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) = (SELECT
+      len(embedding) FROM embeddings WHERE len(embedding) > 0 ORDER BY vec_id LIMIT 1)), s AS (SELECT q.id AS query, v.id, list_distance(q.x, v.x)
+      AS gap FROM v q JOIN v ON q.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY gap, id) AS rank FROM s)
+      SELECT query, count(*) AS k, max(CASE WHEN rank = 1 THEN id END) AS nearest, true AS enough FROM r WHERE rank <= 10 GROUP BY query""",
 }

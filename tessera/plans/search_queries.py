@@ -11,6 +11,7 @@ from tessera.functions import vectors as V
 from tessera.operators import order as O
 from tessera.operators import projection as P
 from tessera.operators import search as S
+from tessera.operators.packing import pack_whole
 from tessera.plans import inputs as I
 from tessera.session import table
 
@@ -71,15 +72,15 @@ def global_batches(spark, sf, most: int = 60):
     rows = S.community_weights(I.reports(spark, sf), e).withColumn("cost", F.length("content") + F.length("title") + 2)
     ids = [r[0] for r in rows.select("id").orderBy("id").limit(1_000_001).collect()]  # seeded_shuffle refuses more than a million
     place = spark.createDataFrame(list(O.seeded_shuffle(ids).items()), "id string, place long")
-    packed = O.pack_in_order(rows.join(place, "id").withColumn("g", F.lit(0)), "cost", most, "place", ["g"])
+    packed = pack_whole(rows.join(place, "id"), "cost", most, "place")
     order = Window.partitionBy("batch").orderBy(F.desc("occurrence"), F.desc("rank"), "place")
     return packed.select("batch", "id", "cost", (F.row_number().over(order) - 1).alias("at"))
 
 
 def batch_totals(spark, sf, most: int = 60):
     """The same packing in id order, as totals of each batch."""
-    rows = I.reports(spark, sf).select(F.col("community").alias("place"), (F.length("content") + F.length("title") + 2).alias("cost"), F.lit(0).alias("g"))
-    return O.pack_in_order(rows, "cost", most, "place", ["g"]).groupBy("batch").agg(F.count("*").alias("n"), F.sum("cost").cast("long").alias("cost"))
+    rows = I.reports(spark, sf).select(F.col("community").alias("place"), (F.length("content") + F.length("title") + 2).alias("cost"))
+    return pack_whole(rows, "cost", most, "place").groupBy("batch").agg(F.count("*").alias("n"), F.sum("cost").cast("long").alias("cost"))
 
 
 def _score(i):

@@ -11,6 +11,7 @@ from tessera.operators import leiden as L
 from tessera.operators import order as O
 from tessera.operators import projection as P
 from tessera.operators import search as S
+from tessera.operators.packing import pack_whole
 from tessera.plans import context_queries, inputs, registry, search_queries
 
 SF = "/root/testdata/sf0.001"
@@ -162,8 +163,30 @@ def test_global_batches(spark):
             batch, run = batch + 1, 0
         run += r.cost
         assert r.batch == batch
+    e = S.memberships(inputs.entities(spark, SF), inputs.communities(spark, SF), 1)
+    weight = {r.id: (r.occurrence, r["rank"]) for r in S.community_weights(inputs.reports(spark, SF), e).collect()}
     for k in {r.batch for r in rows}:
-        assert sorted(r["at"] for r in rows if r.batch == k) == list(range(sum(r.batch == k for r in rows)))
+        own = sorted((r for r in rows if r.batch == k), key=lambda r: (-weight[r.id][0], -weight[r.id][1], place[r.id]))
+        assert [r["at"] for r in own] == list(range(len(own)))
+
+
+@pytest.mark.parametrize("most,most_rows,parts", [(60, None, 8), (60, 3, 8), (5, None, 3), (100_000, None, 8), (400, 50, 8), (10**9, 7, 5)])
+def test_packing_of_a_whole_table(spark, most, most_rows, parts):
+    rnd = random.Random(most)
+    costs = [rnd.choice([0, 1, 3, 9, 40, 90]) for _ in range(3_000)]
+    df = spark.createDataFrame([(7 * i, c) for i, c in enumerate(costs)], "o long, c int").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.o // 7: r.batch for r in pack_whole(df, "c", most, "o", most_rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    batch, run, n = 0, 0, 0
+    for i, c in enumerate(costs):
+        if n and (run + c > most or most_rows and n >= most_rows):
+            batch, run, n = batch + 1, 0, 0
+        run, n = run + c, n + 1
+        assert got[i] == batch
+    assert len(got) == 3_000 and pack_whole(df.limit(0), "c", most, "o").count() == 0
 
 
 def test_packing_by_rows_and_cost(spark):
