@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.rows import long, slices
-from tessera.session import broadcast_if_small, checkpoint_dir, cut, remove, without_columns
+from tessera.session import broadcast_if_small, checkpoint_dir, cut, remove, stored, without_columns
 
 ANCHOR = 50
 BLOCK = 1 << 16
@@ -278,7 +278,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     rows = keyed.filter(F.octet_length("text") >= width)
     pieces(rows.select("k0", "k1", "text"), width).write.parquet(f"{folder}/pieces")
     every = spark.read.schema(PIECES).parquet(f"{folder}/pieces")
-    often = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    often = stored(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))  # plain exchanges below, which AQE can split
     # copies of a text have the same pieces at the same places, which are one row from here on
     here = every.join(often, "anchor", "left_semi").groupBy("k0", "k1", "first", "anchor", "piece", "windows", "back").agg(F.count("*").alias("copies"))
     here.write.parquet(f"{folder}/here")
