@@ -7,8 +7,7 @@ component of threshold links found so far), compared exactly in tiles. Before th
 searched again among each other, so that classes which touch are joined. Rounds go on until links stop coming. Every
 attempt is audited label by label against a blocked full search for a sample of its vectors, saturated classes apart, and by
 the mean share a linked vector keeps; below ``target`` another start and more rounds follow. A label that is still below it,
-or whose sample holds too few linked vectors to tell, is compared whole in tiles. So is every label of at most
-``exact_rows`` rows, for which that is cheaper than the rounds.
+or whose sample holds too few linked vectors to tell, is compared whole in tiles. The audit's recall is told for each row.
 
 Defined results: null, empty, zero or non-finite vectors, and rows whose label or id is null, link with nothing; they
 are returned with no links (a null id has a null component). Vectors of different length don't link. Rows repeating an
