@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,39 +131,55 @@ def level_first_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     return one("source", 0).unionByName(one("target", 1)).groupBy("level", "title").agg(F.min("e").alias("e")).select("level", "title", F.col("e.id").alias("edge_id"))
 
 
+HEADS = "-----Entities-----\nhuman_readable_id,title,description\n"
+RELATED = "\n\n-----Relationships-----\nhuman_readable_id,source,target,description,combined_degree\n"
+SHORTEST = 5  # characters of an edge's line with every field at its shortest, and its line end
+
+
+def first_edges(edges: DataFrame, most: int, parts: int = 64) -> DataFrame:
+    """The ``most`` first edges of each (level, community) by combined degree and id, with their rank ``at`` from 1.
+
+    A hot community is cut in ``parts`` hash parts first, so that the window over it sees at most ``parts * most`` rows.
+    """
+    order = [F.desc_nulls_last("combined_degree"), F.asc_nulls_last("eid"), "edge_id"]
+    if most < 1 << 20:
+        part = F.pmod(F.xxhash64("edge_id"), F.lit(parts)).alias("part")
+        cut_off = F.row_number().over(Window.partitionBy("level", "community", "part").orderBy(*order))
+        edges = edges.select("*", part).withColumn("at", cut_off).filter(F.col("at") <= most).drop("part", "at")
+    ranked = edges.withColumn("at", F.row_number().over(Window.partitionBy("level", "community").orderBy(*order)))
+    return ranked.filter(F.col("at") <= min(most, (1 << 31) - 1))
+
+
 def report_contexts(members: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
     """(level, community, context): what a community's report is written from, grown edge by edge while it fits ``budget``.
 
     ``members`` (level, community, title, human_readable_id, description) bring the first edge of each title at their level; edges
-    (id, human_readable_id, source, target, description, combined_degree) come by combined degree. Each step renders the whole text
-    anew, entities at the ends of the edges first; the last text that fits is kept, and a first one that does not fit stays.
+    (id, human_readable_id, source, target, description, combined_degree) come by combined degree, nulls last, then by id. An edge's
+    line follows the lines of those ends that are members and not named yet; the longest text that fits is kept, and a first one that
+    does not fit stays. Null fields are empty, a null description of a member says so. A repeated title of a community counts once,
+    by its smallest id. Communities without an edge have no row.
+
+    No text is rendered to measure it: an edge has at least ``SHORTEST`` characters, so a community sends only as many edges as the
+    budget can hold, and the size of a text is a running sum over their lines and those of the ends they name first.
     """
     named = edges.select(F.col("id").alias("edge_id"), F.col("human_readable_id").alias("eid"), "source", "target", "combined_degree", F.col("description").alias("edge_description"))
-    firsts = cut(level_first_edges(members, edges).join(named, "edge_id"))
-    members = cut(members)
-    listed = members.join(firsts, ["level", "title"]).select("level", "community", "eid", "source", "target", "combined_degree", "edge_description").distinct()
-    ends = members.select(F.col("level").alias("nl"), F.col("community").alias("nc"), "title", F.col("human_readable_id").alias("nid"), described(F.col("description")).alias("node_description"))
-    kinds = "level int, community long, context string"
-
-    def grow(key: tuple, some: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        if not len(some):
-            return pd.DataFrame({"level": [], "community": [], "context": []}).astype({"level": "int32", "community": "int64"})
-        quote = lambda v: '"' + str(v).replace('"', '""') + '"' if any(c in str(v) for c in ',"\n\r') else str(v)
-        known = {r.title: f"{r.nid},{quote(r.title)},{quote(r.node_description)}" for r in nodes.itertuples()}
-        some = some.sort_values(["combined_degree", "eid"], ascending=[False, True])
-        seen, heads, lines, kept = set(), [], [], None
-        for r in some.itertuples():
-            for title in (r.source, r.target):
-                if title in known and title not in seen:
-                    seen.add(title)
-                    heads.append(known[title])
-            lines.append(f"{r.eid},{quote(r.source)},{quote(r.target)},{quote(r.edge_description)},{r.combined_degree}")
-            text = "\n".join(["-----Entities-----", "human_readable_id,title,description", *heads, "", "-----Relationships-----", "human_readable_id,source,target,description,combined_degree", *lines])
-            if len(text) > budget and kept is not None:
-                break
-            kept = text
-            if len(text) > budget:
-                break
-        return pd.DataFrame({"level": [key[0]], "community": [key[1]], "context": [kept or ""]})
-
-    return listed.groupBy("level", "community").cogroup(ends.groupBy("nl", "nc")).applyInPandas(grow, kinds)
+    firsts = level_first_edges(members, edges).join(named, "edge_id")
+    brought = members.join(firsts, ["level", "title"]).select("level", "community", "edge_id", "eid", "source", "target", "combined_degree", "edge_description").distinct()
+    fixed = len(HEADS + RELATED) - 2  # every line's cost has a line end, the last of either list has none
+    kept = cut(first_edges(brought, max(1, (budget - fixed) // SHORTEST)))
+    key = ["level", "community"]
+    edge_line = X.csv_row(F.col("eid"), F.col("source"), F.col("target"), F.col("edge_description"), F.col("combined_degree"))
+    lines = kept.select(*key, "at", F.lit(1).alias("part"), edge_line.alias("line"))
+    ends = kept.select(*key, "at", F.posexplode(F.array("source", "target")).alias("part", "title"))
+    seen = ends.groupBy(*key, "title").agg(F.min(F.struct("at", "part")).alias("o"))
+    told = members.groupBy(*key, "title").agg(F.min(F.struct("human_readable_id", described(F.col("description")).alias("description"))).alias("m"))
+    node_line = X.csv_row(F.col("m.human_readable_id"), F.col("title"), F.col("m.description"))
+    heads = seen.join(told, [*key, "title"]).select(*key, F.col("o.at").alias("at"), F.col("o.part").alias("end"), node_line.alias("line"))
+    rows = cut(lines.select(*key, "at", F.lit(None).cast("int").alias("end"), "line").unionByName(heads))
+    cost = rows.groupBy(*key, "at").agg(F.sum(F.length("line") + 1).alias("cost"))
+    run = F.sum("cost").over(Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    fits = cost.withColumn("run", run + fixed).filter((F.col("run") <= budget) | (F.col("at") == 1)).groupBy(*key).agg(F.max("at").alias("last"))
+    shown = rows.join(fits, key).filter("at <= last").withColumn("o", F.struct("at", "end", "line"))
+    text = lambda those: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(those, F.col("o")))), lambda o: o["line"]), "\n")
+    is_head = F.col("end").isNotNull()
+    return shown.groupBy(*key).agg(F.concat(F.lit(HEADS), text(is_head), F.lit(RELATED), text(~is_head)).alias("context"))

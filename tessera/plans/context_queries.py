@@ -113,11 +113,11 @@ def report_contexts(spark, sf):
     members, edges = report_context_rows(spark, sf, 0)
     made = C.report_contexts(members, edges, 1 << 40)
     lines = F.split("context", "\n")
-    return made.select("level", "community", F.size(lines).alias("lines"), F.length("context").alias("size"))
+    return made.select("level", "community", F.size(lines).alias("lines"), F.length("context").alias("size"), F.md5("context").alias("digest"))
 
 
 def tight_report_contexts(spark, sf):
-    """Contexts within 2,000 characters; tests/test_invariants.py holds them against a plain loop."""
+    """Contexts within 2,000 characters."""
     return C.report_contexts(*report_context_rows(spark, sf, 0), 2_000)
 
 

@@ -16,6 +16,30 @@ FIRST_EDGES = """firsts AS (
   LEFT JOIN (SELECT source, arg_min(id, pos) AS i FROM rel GROUP BY 1) s ON source = title
   LEFT JOIN (SELECT target, arg_min(id, pos) AS i FROM rel GROUP BY 1) t ON target = title)"""
 
+REPORT_LINES = f"""{I.GRAPH}, {I.MEMBERS}, {DESCRIBED}, {FIRST_EDGES},
+      e AS (SELECT DISTINCT m.level, m.community, rel.id, pos, source, target, len(a.text_unit_ids) + len(b.text_unit_ids) AS deg
+        FROM mem m JOIN firsts f ON f.level = m.level AND f.title = m.title JOIN rel ON rel.id = f.edge_id
+        JOIN ent a ON a.title = source JOIN ent b ON b.title = target),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY level, community ORDER BY deg DESC, pos) AS "at" FROM e),
+      seen AS (SELECT level, community, title, min(2 * "at" + side) AS o FROM (SELECT level, community, "at", source AS title, 0 AS side FROM ranked
+        UNION ALL SELECT level, community, "at", target, 1 FROM ranked) GROUP BY 1, 2, 3),
+      nl AS (SELECT seen.level, seen.community, o, human_readable_id || ',' || seen.title || ',' || coalesce(description, 'No Description') AS line
+        FROM seen JOIN mem ON mem.level = seen.level AND mem.community = seen.community AND mem.title = seen.title JOIN des ON des.title = seen.title),
+      el AS (SELECT level, community, 2 * "at" AS o, pos || ',' || source || ',' || target || ',' || id || ',' || deg AS line FROM ranked),
+      every AS (SELECT *, true AS head FROM nl UNION ALL SELECT *, false FROM el)"""
+
+
+def report_texts(budget: int) -> str:
+    """Texts whose running size, counted edge by edge, stays within the budget; the first edge always."""
+    top, middle = ("'-----" + name + "-----' || chr(10) || '" + columns + "' || chr(10)" for name, columns in (
+        ("Entities", "human_readable_id,title,description"), ("Relationships", "human_readable_id,source,target,description,combined_degree")))
+    return f"""SELECT level, community::BIGINT AS community, count(*) FILTER (WHERE head) AS n, count(*) FILTER (WHERE NOT head) AS m,
+        {top} || string_agg(line, chr(10) ORDER BY o) FILTER (WHERE head) || chr(10) || chr(10)
+        || {middle} || string_agg(line, chr(10) ORDER BY o) FILTER (WHERE NOT head) AS context
+      FROM (SELECT *, sum(length(line) + 1) OVER (PARTITION BY level, community ORDER BY o // 2) AS run FROM every)
+      WHERE run + length({top}) + length({middle}) <= {budget} OR o // 2 = 1 GROUP BY level, community"""
+
+
 SQL = {
     "q80_matched_entities": f"""WITH {I.ENTITIES},
       q AS (SELECT embedding::DOUBLE[] AS y FROM embeddings ORDER BY vec_id LIMIT 1),
@@ -57,18 +81,9 @@ SQL = {
     "q87_exploded_members": f"""WITH {I.HIERARCHY}
       SELECT com.level, com.community, count(*) AS n, sum(len(ent.text_unit_ids))::BIGINT AS units
       FROM com JOIN ent ON list_contains(com.entity_ids, ent.id) GROUP BY 1, 2""",
-    "q88_report_contexts": f"""WITH {I.GRAPH}, {I.MEMBERS}, {DESCRIBED}, {FIRST_EDGES},
-      e AS (SELECT DISTINCT m.level, m.community, rel.id, pos, source, target, len(a.text_unit_ids) + len(b.text_unit_ids) AS deg
-        FROM mem m JOIN firsts f ON f.level = m.level AND f.title = m.title JOIN rel ON rel.id = f.edge_id
-        JOIN ent a ON a.title = source JOIN ent b ON b.title = target),
-      ends AS (SELECT DISTINCT level, community, source AS title FROM e UNION SELECT level, community, target FROM e),
-      nl AS (SELECT ends.level, ends.community, human_readable_id || ',' || ends.title || ',' || coalesce(description, 'No Description') AS line
-        FROM ends JOIN mem ON mem.level = ends.level AND mem.community = ends.community AND mem.title = ends.title JOIN des ON des.title = ends.title),
-      el AS (SELECT level, community, pos || ',' || source || ',' || target || ',' || id || ',' || deg AS line FROM e),
-      every AS (SELECT * FROM nl UNION ALL SELECT * FROM el)
-      SELECT level, community::BIGINT AS community, (count(*) + 5)::INTEGER AS lines, (sum(length(line) + 1) + length('-----Entities-----') + 1
-        + length('human_readable_id,title,description') + 2 + length('-----Relationships-----') + 1
-        + length('human_readable_id,source,target,description,combined_degree'))::INTEGER AS size FROM every GROUP BY 1, 2""",
+    "q88_report_contexts": f"""WITH {REPORT_LINES}
+      SELECT level, community, (n + m + 5)::INTEGER AS lines, length(context)::INTEGER AS size, md5(context) AS digest FROM ({report_texts(1 << 40)})""",
+    "q89_tight_report_contexts": f"WITH {REPORT_LINES} SELECT level, community, context FROM ({report_texts(2_000)})",
     "q90_backed_communities": f"WITH {I.HIERARCHY} SELECT community, level, parent FROM com WHERE community % 3 <> 0",
     "q91_hydrated_reports": f"""WITH {I.HIERARCHY}
       SELECT id, community % 4 = 0 AS missing, CASE WHEN community % 4 <> 0 THEN community::DOUBLE END AS first FROM rep""",

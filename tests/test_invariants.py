@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import context as C
 from tessera.operators import graph as G
 from tessera.operators import leiden as L
 from tessera.operators import order as O
@@ -337,3 +338,32 @@ def test_budget_over_ranges(spark):
         want.append(i)
     assert sorted(r["at"] for r in O.prefix_budget(df, "c", 4_000, ["at"]).collect()) == want
     assert O.prefix_budget(df.filter(F.col("c") < 0), "c", 10, ["at"]).count() == 0
+
+
+def test_report_contexts_of_a_hot_community(spark):
+    """One community with nearly all edges sends no more of them than the budget can hold; odd values are quoted or empty."""
+    n = 3_000
+    members = [(0, 1, f"n{i}", i, None if i % 3 else 'says "x", y') for i in range(n)] + [(0, 2, "lone", n, "d"), (0, 3, "a", n + 1, ""), (0, 3, "b", n + 2, "two\nlines")]
+    edges = [(f"e{i}", i, i, f"n{i}", f"n{(i + 1) % n}", None if i % 2 else "d,", i % 50) for i in range(n)] + [("f", n, n, "a", "b", "x" * 90, 1)]
+    m = spark.createDataFrame(members * 2, "level int, community long, title string, human_readable_id long, description string")
+    e = spark.createDataFrame(edges, "id string, human_readable_id long, pos long, source string, target string, description string, combined_degree long")
+    quote = lambda v: '"' + v.replace('"', '""') + '"' if any(c in v for c in ',"\n') else v
+
+    def grown(budget, community):
+        own = {t: f"{h},{t},{quote('No Description' if d is None else d)}" for _, c, t, h, d in members if c == community}
+        heads, lines, kept = [], [], None
+        for _, h, _, s, t, d, deg in sorted((x for x in edges if x[3] in own), key=lambda x: (-x[6], x[1])):
+            heads += [own[x] for x in (s, t) if own[x] not in heads]
+            lines.append(f"{h},{s},{t},{quote(d or '')},{deg}")
+            text = "\n".join(["-----Entities-----", "human_readable_id,title,description", *heads, "", "-----Relationships-----", "human_readable_id,source,target,description,combined_degree", *lines])
+            if len(text) > budget:
+                return text if kept is None else kept
+            kept = text
+        return kept
+
+    for budget in (10, 400, 3_000):
+        got = {r.community: r.context for r in C.report_contexts(m, e, budget).collect()}
+        assert got == {1: grown(budget, 1), 3: grown(budget, 3)}
+    listed = e.withColumnsRenamed({"id": "edge_id", "human_readable_id": "eid"}).selectExpr("*", "0 level", "1L community")
+    assert sorted(r["at"] for r in C.first_edges(listed, 40).collect()) == list(range(1, 41))
+    assert C.report_contexts(m.filter("level < 0"), e, 100).count() == 0
