@@ -45,14 +45,14 @@ def test_batch_timeline(spark):
     rnd = random.Random(3)
     kinds = [*N.KINDS.values(), "other", None]
     rows = []
-    for run in range(60):
-        for at in range(40):
-            kind = "map_started" if at in (0, 5) and run % 7 else rnd.choice(kinds[1:] if at < 12 else kinds[2:])
-            rows.append((run, at, kind, "m" if kind == "map_started" else rnd.choice(["s", "t", None]), rnd.choice(["m", "m", "m", "n", None]), rnd.choice([0, 1, None])))
+    for run in range(200):
+        for at in range(60):
+            kind = "map_started" if at in (0, 5) and run % 7 else rnd.choice(kinds[1:] if at < 30 else [*kinds[2:], *4 * [N.KINDS["points"]]])
+            rows.append((run, at, kind, "m" if kind == "map_started" else rnd.choice(["s", "s", "t", None]), rnd.choice(["m", "m", "m", "n", None]), rnd.choice([0, 1, None])))
     got = {}
     for r in N.batch_timeline(spark.createDataFrame(rows, LOG).repartition(5)).collect():
         got.setdefault(r.run_id, {})[r.batch_index] = (r.span_id, r.built, r.n_built, r.started, r.completed, r.produced)
-    want = {run: made for run in range(60) if (made := plain([e for e in rows if e[0] == run]))}
+    want = {run: made for run in range(200) if (made := plain([e for e in rows if e[0] == run]))}
     both = {(run, b): (got.get(run, {}).get(b), w) for run, made in want.items() for b, w in made.items() if w[0] is not None}
     assert both and all(g == w for g, w in both.values())
     assert sum(w[5] is not None for _, w in both.values()) > 5  # the fixture holds batches that came to points
