@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import spans as N
 from tessera.plans import inputs as I
+from tessera.session import checkpoint_dir
+from tessera.sources.versions import Store, append_events
 
 
 def span_log(spark, sf):
@@ -37,7 +41,16 @@ def batch_timeline(spark, sf):
     return N.batch_timeline(span_log(spark, sf))
 
 
-QUERIES = {f"q{i}_{f.__name__}": f for i, f in enumerate((span_roots, run_methods, batch_timeline), 120)}
+def stored_runs(spark, sf):
+    """Run logs appended to a store in two parts, the later sequences behind the earlier ones, and what the store then holds."""
+    log, store = I.run_log(spark, sf), Store(spark, f"{checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}")
+    append_events(store, log.filter("sequence < 20"))
+    append_events(store, log.filter("sequence >= 20"))
+    held = store.read("events").groupBy("run_id").agg(F.count("*").alias("events"), F.max("sequence").alias("last"), F.round(F.sum("value"), 2).alias("total"))
+    return held.join(store.read("events_runs").select("run_id", F.col("last").alias("noted")), "run_id")
+
+
+QUERIES = {f"q{i}_{f.__name__}": f for i, f in enumerate((span_roots, run_methods, batch_timeline, stored_runs), 120)}
 
 SPANS = f"""{I.RUN_LOG}, spans AS (
   SELECT run_id, sequence, CASE WHEN sequence = 0 THEN 'map_started' ELSE CASE event_type WHEN 'signup' THEN 'batch_built' WHEN 'error' THEN 'batch_built'
@@ -64,4 +77,6 @@ SQL = {
       SELECT run_id, batch AS batch_index, span AS span_id, built, n_built, started, completed, (SELECT max(p.sequence) FROM below p WHERE p.run_id = l.run_id
         AND p.span = l.span AND p.kind = 'points_produced' AND p.sequence >= completed AND NOT EXISTS (SELECT 1 FROM below s WHERE s.run_id = l.run_id
           AND s.span = l.span AND s.kind = 'request_started' AND s.sequence > completed AND s.sequence <= p.sequence)) AS produced FROM l""",
+    "q123_stored_runs": f"""WITH {I.RUN_LOG} SELECT run_id, count(*) AS events, max(sequence) AS last, round(sum(value), 2) AS total, max(sequence) AS noted
+      FROM log GROUP BY 1""",
 }

@@ -127,11 +127,6 @@ def with_cache(requests: DataFrame, cache: Tables, table: str, call: Callable[[D
     return requests.join(cache.read(table).dropDuplicates([key]), key, "left")
 
 
-def write_events(log: DataFrame, folder: str) -> None:
-    """Event envelopes appended as JSON lines, one folder a run."""
-    log.write.mode("append").partitionBy("run_id").json(folder)
-
-
 def write_graphml(lines: DataFrame, folder: str) -> None:
     """Graph lines with the file's frame, in order; parts are read one after the other."""
     key = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="weight" for="edge" attr.name="weight" attr.type="double"/>\n<graph edgedefault="undirected">'
