@@ -121,3 +121,34 @@ def rating(answer: Column, default: float = 1.0) -> Column:
     v = F.from_json(json_object(answer), "struct<rating: variant>")["rating"]
     text = F.when(_kind(v) == "STRING", v.try_cast("string"))
     return F.when(v.isNull() | (_kind(v) == "VOID"), F.lit(float(default))).otherwise(F.coalesce(_number(v), text.try_cast("double")))
+
+
+GIVEN = "struct<json: string, label: string, number: double, text: boolean>"
+
+
+def given_rating(answer: Column, default: int = 1) -> Column:
+    """The rating of an answer as it was given: its JSON, how Python writes it, its number, and whether it is a text; ``default``
+    where the answer has none, null where it is neither a number nor a truth value nor a text."""
+    v = F.from_json(json_object(answer), "struct<rating: variant>")["rating"]
+    text, json_text = _kind(v) == "STRING", F.to_json(v)
+    label = F.when(text, v.try_cast("string")).when(_kind(v) == "BOOLEAN", F.initcap(json_text)).otherwise(json_text)
+    made = F.struct(json_text.alias("json"), label.alias("label"), _number(v).alias("number"), text.alias("text"))
+    absent = F.struct(F.lit(str(default)).alias("json"), F.lit(str(default)).alias("label"), F.lit(float(default)).alias("number"), F.lit(False).alias("text"))
+    return F.when(v.isNull(), absent).when(text | _number(v).isNotNull(), made)
+
+
+def _most_frequent(values: Column) -> Column:
+    """The most frequent value of an array, the smallest of equals."""
+    counted = F.transform(F.array_distinct(values), lambda v: F.struct((-F.size(F.filter(values, lambda x: x == v))).alias("n"), v.alias("v")))
+    return F.array_min(counted)["v"]
+
+
+def vote(given: Column) -> Column:
+    """The whole number that most of an array of :func:`given_rating` say, the smallest of equals; null if any of them is null.
+
+    With a text among them they are counted as texts, and the winner must be a whole number; else as numbers, the winner cut to whole.
+    """
+    label = F.trim(_most_frequent(F.transform(given, lambda g: g["label"])))
+    by_text = F.when(label.rlike(r"^[+-]?\d+$"), label.try_cast("long"))
+    by_number = _most_frequent(F.transform(given, lambda g: g["number"])).cast("long")
+    return F.when(F.exists(given, lambda g: g.isNull()), None).when(F.exists(given, lambda g: g["text"]), by_text).otherwise(by_number)

@@ -145,9 +145,22 @@ def report_text(title: Column, summary: Column, findings: Column) -> Column:
 
 
 def python_float(c: Column) -> Column:
-    """A double as Python prints it where both engines use plain notation; null as an empty text."""
-    whole = (F.abs(c) < 1e16) & (c == F.floor(c))
-    return F.when(c.isNull(), "").when(whole, F.concat(F.format_string("%.0f", c), F.lit(".0"))).otherwise(c.cast("string"))
+    """A number as Python prints a float: plain from 1e-4 to 1e16, else with an exponent of two digits or more; null is empty.
+
+    The digits are the JVM's, which before version 19 finds one more than the shortest for a few numbers.
+    """
+    s = F.abs(c).cast("double").cast("string")  # plain from 1e-3 to 1e7, else one digit, a point, digits and an exponent
+    part = lambda i: F.regexp_extract(s, r"^(\d)\.(\d+)E(-?\d+)$", i)
+    lead, rest, e = part(1), F.when(part(2) == "0", "").otherwise(part(2)), part(3).try_cast("int")
+    above = F.rpad(F.concat(lead, rest), F.greatest(e + 1, F.length(rest) + 1), F.lit("0"))
+    tail = F.substring(above, e + 2, F.lit(400))
+    large = F.concat(F.substring(above, F.lit(1), e + 1), F.lit("."), F.when(tail == "", "0").otherwise(tail))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), lead, rest)
+    power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+    exponent = F.concat(lead, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), power)
+    made = F.when(s == "Infinity", "inf").when(e.isNull(), s).when((e >= 0) & (e < 16), large).when((e < 0) & (e >= -4), small).otherwise(exponent)
+    negative = F.startswith(c.cast("double").cast("string"), F.lit("-"))
+    return F.when(c.isNull(), "").otherwise(F.concat(F.when(negative, "-").otherwise(""), made))
 
 
 def citations(answer: Column) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions.answers import given_rating, rating, report, vote
 from tessera.functions.answers import points as answer_points
-from tessera.functions.answers import rating, report
-from tessera.operators.search import majority, reduce_points
+from tessera.operators.search import reduce_points
 from tessera.session import cut
 
 Provider = Callable[[list[str]], list[str | None]]
@@ -181,12 +181,24 @@ def map_reduce(batches: DataFrame, factory: Callable[[], Provider], map_template
     return points, factory()([reduce_template.replace("{{ report_data }}", "\n\n".join(r["text"] for r in chosen))])[0]
 
 
+def answer_from(rows: DataFrame, order: list[str], header: str, factory: Callable[[], Provider], template: str, line: str = "line") -> tuple[str, str | None]:
+    """The context of rows that a budget has cut (header, then their lines in order) and the provider's answer to it.
+
+    ``template`` takes the context as ``context_data``. Without a row the provider is asked with the header alone.
+    """
+    lines = [r[0] for r in rows.orderBy(*order).select(line).collect()]  # what the budget holds
+    context = header + "".join(f"{t}\n" for t in lines)
+    return context, factory()([template.replace("{{ context_data }}", context)])[0]
+
+
 def rate(communities: DataFrame, factory: Callable[[], Provider], template: str, repeats: int = 1) -> DataFrame:
-    """(community, rating, ratings): each community's text is rated ``repeats`` times; the most frequent rating, the smallest of equals."""
+    """(community, rating, ratings, given): each community's text is rated ``repeats`` times; the whole number most of them say, the
+    smallest of equals (:func:`tessera.functions.answers.vote`), the ratings as numbers and as the JSON they were, in order."""
     asked = ask(communities.select("community", bind(template, context_data=F.col("context")).alias("prompt"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("turn")), factory)
-    votes = cut(asked.select("community", "turn", rating(F.col("answer")).alias("rating")))
-    every = votes.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "rating"))), lambda x: x["rating"]).alias("ratings"))
-    return majority(votes, ["community"], "rating").join(every, "community")
+    votes = cut(asked.select("community", "turn", given_rating(F.col("answer")).alias("g"), rating(F.col("answer")).alias("rating")))
+    every = votes.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("turn", "rating", "g"))).alias("v"))  # a vote a repeat
+    said = F.transform("v", lambda x: x["g"])
+    return every.select("community", vote(said).alias("rating"), F.transform("v", lambda x: x["rating"]).alias("ratings"), F.transform(said, lambda g: g["json"]).alias("given"))
 
 
 def budgeted_examples(examples: DataFrame, budget: int, least: int, cost: str = "tokens", order: str = "at") -> DataFrame:

@@ -44,12 +44,13 @@ def roll_up_reports(reports: DataFrame, communities: DataFrame, level: int) -> D
 
 
 def community_weights(reports: DataFrame, entities: DataFrame) -> DataFrame:
-    """``reports`` of rank 0 or more with occurrence: distinct text units of the community's entities over the most."""
+    """``reports`` of rank 0 or more with occurrence: distinct text units of the community's entities over the most that any of the
+    reports has, those of a lower rank too."""
     pairs = entities.select("text_unit_ids", F.explode("community_ids").alias("c")).select("c", F.explode("text_unit_ids").alias("u"))
     counts = pairs.distinct().groupBy("c").agg(F.count("*").alias("n"))
-    rows = reports.filter("rank >= 0").join(counts, F.col("community").cast("string") == F.col("c"), "left").drop("c").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = reports.join(counts, F.col("community").cast("string") == F.col("c"), "left").drop("c").withColumn("n", F.coalesce("n", F.lit(0)))
     most = rows.agg(F.max("n").alias("most"))
-    return rows.join(F.broadcast(most)).withColumn("occurrence", F.when(F.col("most") > 0, F.col("n") / F.col("most")).otherwise(0.0)).drop("n", "most")
+    return rows.filter("rank >= 0").join(F.broadcast(most)).withColumn("occurrence", F.when(F.col("most") > 0, F.col("n") / F.col("most")).otherwise(0.0)).drop("n", "most")
 
 
 def community_matches(selected: DataFrame, reports: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import context_queries, graph_queries, run_queries, search_queries, update_queries
+from tessera.plans import context_queries, global_queries, graph_queries, run_queries, search_queries, update_queries
 
-MODULES = (search_queries, graph_queries, update_queries, context_queries, run_queries)
+MODULES = (search_queries, graph_queries, update_queries, context_queries, run_queries, global_queries)
 
 
 def queries() -> dict:

@@ -211,8 +211,8 @@ SQL = {
     "q25_rolled_up_reports": f"""WITH {I.HIERARCHY} SELECT id, community, level, title FROM rep WHERE level <= 1 AND community IN (SELECT
       max(community) FROM com WHERE level <= 1 GROUP BY title)""",
     "q26_community_weights": f"""WITH {I.HIERARCHY}, {MEMBERSHIP}, n AS (SELECT community, count(DISTINCT u) AS n FROM (SELECT community,
-      unnest(text_unit_ids) AS u FROM ms) GROUP BY 1), r AS (SELECT rep.*, coalesce(n, 0) AS n FROM rep LEFT JOIN n USING (community)
-      WHERE rank >= 0) SELECT id, community, rank, round(n / (SELECT max(n) FROM r), 6) AS occurrence FROM r""",
+      unnest(text_unit_ids) AS u FROM ms) GROUP BY 1), r AS (SELECT rep.*, coalesce(n, 0) AS n FROM rep LEFT JOIN n USING (community))
+      SELECT id, community, rank, round(n / (SELECT max(n) FROM r), 6) AS occurrence FROM r WHERE rank >= 0""",
     "q28_batch_totals": f"""WITH RECURSIVE {I.HIERARCHY}, r AS (SELECT length(content) + length(title) + 2 AS cost, row_number() OVER
       (ORDER BY community) AS i FROM rep),
       w AS (SELECT 1 AS i, 0 AS batch, cost AS run, cost FROM r WHERE i = 1 UNION ALL SELECT r.i, CASE WHEN w.run + r.cost > 60 THEN
