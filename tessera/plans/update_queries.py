@@ -29,12 +29,12 @@ def updated_entities(spark, sf):
 
 
 def updated_relationships(spark, sf):
-    r = I.relationships(spark, sf).withColumn("human_readable_id", F.col("pos")).select("id", "human_readable_id", "source", "target", "weight", "text_unit_ids")
+    r = I.relationships(spark, sf).withColumn("human_readable_id", F.col("pos")).withColumn("description", F.concat(F.lit("rank "), "rank")).select("id", "human_readable_id", "source", "target", "weight", "description", "text_unit_ids")
     previous = r.filter("human_readable_id % 2 = 0")
-    delta = r.filter("human_readable_id % 3 = 0").withColumn("weight", F.col("weight") + 1)
+    delta = r.filter("human_readable_id % 3 = 0").withColumn("weight", F.col("weight") + 1).withColumn("description", F.lit("again"))
     known = I.entities(spark, sf).filter("human_readable_id % 5 <> 0")
     m = U.merge_relationships(previous, delta, known)
-    return m.select("id", "source", "target", F.round("weight", 4).alias("weight"), F.size("text_unit_ids").alias("n_units"), "combined_degree")
+    return m.select("id", "human_readable_id", "source", "target", F.round("weight", 4).alias("weight"), F.array_join("descriptions", ",").alias("descriptions"), F.size("text_unit_ids").alias("n_units"), "combined_degree")
 
 
 def rebased_union(spark, sf):
@@ -184,18 +184,22 @@ HALVES = f"""{I.ENTITIES}, prev AS (SELECT id, human_readable_id, title, type AS
 del AS (SELECT 'd' || id AS id, human_readable_id, title, 'again' AS description, text_unit_ids, len(text_unit_ids) AS degree FROM ent WHERE type <> 'SUPPLIER' AND human_readable_id % 3 = 0)"""
 
 SQL = {
-    "q50_updated_entities": f"""WITH {HALVES}, x AS (SELECT *, 0 AS o FROM prev UNION ALL SELECT *, 1 FROM del), g AS (SELECT title,
+    "q50_updated_entities": f"""WITH {HALVES}, x AS (SELECT *, 0 AS o FROM prev UNION ALL SELECT * REPLACE ((SELECT max(human_readable_id) FROM prev)
+      + row_number() OVER (ORDER BY human_readable_id) AS human_readable_id), 1 FROM del), g AS (SELECT title,
       arg_min(id, o) AS id, arg_min(human_readable_id, o) AS human_readable_id, arg_min(degree, o) AS degree, string_agg(description,
       ',' ORDER BY o) AS descriptions, flatten(list(text_unit_ids ORDER BY o)) AS u FROM x GROUP BY 1)
       SELECT id, human_readable_id, title, len(u)::INTEGER AS frequency, degree::INTEGER AS degree, descriptions, md5(array_to_string(u,
       ',')) AS units FROM g""",
-    "q51_updated_relationships": f"""WITH {I.GRAPH}, x AS (SELECT id, source, target, weight, text_unit_ids FROM rel WHERE pos % 2 =
-      0 UNION ALL SELECT id, source, target, weight + 1, text_unit_ids FROM rel WHERE pos % 3 = 0),
-      m AS (SELECT any_value(id) AS id, source, target, avg(weight) AS weight, sum(len(text_unit_ids)) AS n FROM x GROUP BY 2, 3), c
-      AS (SELECT *, count(*) OVER (PARTITION BY source) + count(*) OVER (PARTITION BY target) AS combined_degree FROM m), k AS (SELECT
-      title FROM ent WHERE human_readable_id % 5 <> 0)
-      SELECT id, source, target, round(weight, 4) AS weight, n::INTEGER AS n_units, combined_degree FROM c WHERE source IN (SELECT title
-      FROM k) AND target IN (SELECT title FROM k)""",
+    "q51_updated_relationships": f"""WITH {I.GRAPH}, p AS (SELECT id, pos AS n, source, target, weight, 'rank ' || rank AS d, text_unit_ids, 0 AS o
+        FROM rel WHERE pos % 2 = 0),
+      x AS (SELECT * FROM p UNION ALL SELECT id, (SELECT max(n) FROM p) + row_number() OVER (ORDER BY pos), source, target, weight + 1, 'again', text_unit_ids, 1
+        FROM rel WHERE pos % 3 = 0),
+      m AS (SELECT arg_min(id, o) AS id, arg_min(n, o) AS human_readable_id, source, target, avg(weight) AS weight, string_agg(d, ',' ORDER BY o) AS descriptions,
+        sum(len(text_unit_ids)) AS units FROM x GROUP BY source, target),
+      c AS (SELECT *, count(*) OVER (PARTITION BY source) + count(*) OVER (PARTITION BY target) AS combined_degree FROM m),
+      k AS (SELECT title FROM ent WHERE human_readable_id % 5 <> 0)
+      SELECT id, human_readable_id, source, target, round(weight, 4) AS weight, descriptions, units::INTEGER AS n_units, combined_degree FROM c
+      WHERE source IN (SELECT title FROM k) AND target IN (SELECT title FROM k)""",
     "q52_rebased_union": f"""WITH {HALVES} SELECT id, human_readable_id, title, NULL::VARCHAR AS raw_data FROM prev UNION ALL SELECT
       id, (SELECT max(human_readable_id) FROM prev) + row_number() OVER (ORDER BY human_readable_id), title, 'x' FROM del""",
     "q53_id_mapping": f"WITH {HALVES} SELECT del.id AS delta_id, prev.id FROM del JOIN prev USING (title)",

@@ -118,7 +118,7 @@ def test_update_of_all_tables(spark):
         e = make([(f"{tag}e", n, "A", "t", f"{tag}d", [f"{tag}u"], 1), (f"{tag}f", n + 1, "B", "t", f"{tag}d", [f"{tag}u"], 1)], "id string, human_readable_id long, title string, type string, description string, text_unit_ids array<string>, degree int")
         tables = {
             "documents": make([(f"{tag}doc", n, f"{tag}.txt")], "id string, human_readable_id long, title string"), "entities": e,
-            "relationships": make([(f"{tag}r", n, "A", "B", 2.0 + n, [f"{tag}u"])], "id string, human_readable_id long, source string, target string, weight double, text_unit_ids array<string>"),
+            "relationships": make([(f"{tag}r", n, "A", "B", 2.0 + n, f"{tag}s", [f"{tag}u"]), (f"{tag}q", n + 1, "B", "A" if tag == "d" else "B", 1.0, None, [f"{tag}u"])], "id string, human_readable_id long, source string, target string, weight double, description string, text_unit_ids array<string>"),
             "text_units": make([(f"{tag}u", n, [f"{tag}e", f"{tag}f"])], "id string, human_readable_id long, entity_ids array<string>"),
             "communities": make([(f"{tag}c", 0, 0, -1, "x", 0)], "id string, community long, level int, parent long, title string, human_readable_id long"),
             "community_reports": make([(f"{tag}p", 0, -1, "x", [("s", "e")])], "id string, community long, parent long, title string, findings array<struct<summary: string, explanation: string>>"),
@@ -130,7 +130,7 @@ def test_update_of_all_tables(spark):
     assert {r.id: (r.human_readable_id, r.entity_ids) for r in made["text_units"].collect()} == {"pu": (0, ["pe", "pf"]), "du": (1, ["pe", "pf"])}
     assert {r.id: (r.community, r.parent, r.title) for r in made["community_reports"].collect()} == {"pp": (0, -1, "x"), "dp": (1, -1, "x")}
     assert {r.id: r.human_readable_id for r in made["covariates"].collect()} == {"pk": 0, "dk": 1}
-    assert [(r.id, r.weight) for r in made["relationships"].collect()] == [("pr", 2.0)] and made["documents"].count() == 2
+    assert {(r.id, r.human_readable_id, r.weight, *r.descriptions) for r in made["relationships"].collect()} == {("pr", 0, 2.0, "ps", "ds"), ("pq", 1, 1.0), ("dq", 3, 1.0)} and made["documents"].count() == 2
     assert "covariates" not in U.update_index(side("p", 0, False), side("d", 0, True))
 
 
