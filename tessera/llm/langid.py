@@ -5,7 +5,8 @@ blocks, every block is compressed with every dictionary, and the language with t
 is the gap to the runner-up relative to the runner-up's bytes; with one learned language the runner-up is compression
 without a dictionary. What counts as narrow is learned for each length of text from training texts outside the
 dictionaries: a fifth of the margin that all but one in twenty of them have. A text below it is rejected
-(``accepted`` false). Of a word or two no margin can be asked for, and none is where training texts of that length have none.
+(``accepted`` false). None is asked of a text in a shorter class than any that enough training texts are in, nor where those of
+its class have none.
 
 Defined results: a null text or one without a letter (Unicode category L) is ``und`` with score 0 and not accepted; equal
 sizes go to the language with more training texts, then by name; with no learned language everything is ``und``. Rows with a
@@ -53,9 +54,12 @@ class LanguageModel:
     narrow: dict[int, float] = field(default_factory=dict)
 
     def least(self, size: int) -> float:
-        """The margin asked of a text of ``size`` bytes: that of its class, or of the nearest one known, the shorter of two."""
-        at = min(self.narrow, key=lambda b: (abs(b - band(size)), b), default=None)
-        return 0.0 if at is None else self.narrow[at]
+        """The margin asked of a text of ``size`` bytes: that of its class, or of the nearest one known, the shorter of two; none
+        below the shortest known."""
+        if not self.narrow or band(size) < min(self.narrow):
+            return 0.0
+        at = min(self.narrow, key=lambda b: (abs(b - band(size)), b))
+        return self.narrow[at]
 
 
 def _by_slot(train: DataFrame, by: list, slots: int, seed: int) -> DataFrame:

@@ -57,6 +57,22 @@ def test_defined_results(spark):
     assert {r.lang_pred for r in made} == {"und"} and len(made) == 5
 
 
+def test_margin_by_length():
+    """The bar of a class, of the nearest one above the shortest, the shorter of two; none below the shortest."""
+    model = langid.LanguageModel({}, {5: 0.1, 9: 0.3})
+    assert [model.least(n) for n in (0, 1, 15, 16, 31, 64, 128, 300, 10**7)] == [0.0, 0.0, 0.0, 0.1, 0.1, 0.1, 0.3, 0.3, 0.3]
+    assert langid.LanguageModel().least(100) == 0.0
+
+
+def test_short_texts_stay(spark):
+    """A word or two, which no training text is as short as, is accepted whatever its margin; no letter at all is not."""
+    words = {"en": "the house and the river were of old stone", "fr": "la maison et le fleuve furent de pierre", "de": "das haus und der fluss waren aus stein"}
+    rows = [(i, " ".join([words[la]] * 8), la) for i, la in enumerate(list(words) * 150)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, "zz"), (2, "Von."), (3, "12")], "doc_id long, text string")
+    assert model.narrow and {r.doc_id: r.accepted for r in langid.predict(asked, model).collect()} == {1: True, 2: True, 3: False}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
