@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star contraction.
 
 Every step is a grouped minimum followed by an equi-join, so a hub of any degree is pre-aggregated
-before the shuffle and its rows can be split by AQE; nothing is collected but two counters a round.
+before the shuffle and its rows can be split by AQE; nothing is collected but two counters a round. Where the counters stay as
+they were, the edges of both rounds are compared themselves.
 """
 
 from __future__ import annotations
@@ -37,11 +38,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     star, seen = pairs.filter("a <> b"), None
     for _ in range(max_rounds):
-        star = cut(_small_star(_large_star(star)))
-        state = star.agg(F.count("*"), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0))).first()
-        if tuple(state) == seen:
+        star, before = cut(_small_star(_large_star(star))), star
+        state = tuple(star.agg(F.count("*"), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0))).first())
+        if state == seen and star.join(before, ["a", "b"], "left_anti").isEmpty():  # distinct edges, as many in both
             break
-        seen = tuple(state)
+        seen = state
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = star.select(F.col("a").alias("node"), F.col("b").alias("component"))
