@@ -82,9 +82,9 @@ def canonical(df: DataFrame, identity: DataFrame, scalars: list[str], lists: lis
     for col in scalars:
         df = df.join(known, df[col] == known["__id"], "left").withColumn(col, F.coalesce("__name", F.lit("?"))).drop("__id", "__name")
     for col in lists:
-        numbered = df.withColumn("__row", F.xxhash64(*[c for c in df.columns if c != col], col))
-        flat = numbered.select("__row", F.explode(col).alias("__id")).distinct().join(known, "__id", "left").select("__row", "__id", F.coalesce("__name", F.lit("?")).alias("__name"))
-        names = flat.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("__id", "__name"))).alias("__m"))
-        mapped = F.array_sort(F.transform(col, lambda x: F.element_at("__m", x)))
-        df = numbered.join(names, "__row", "left").withColumn(col, F.coalesce(mapped, F.array().cast("array<string>"))).drop("__row", "__m")
+        # names are gathered as joined: looking each id up in a map of its list would cost the square of the list's length
+        numbered = df.withColumn("__row", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+        flat = numbered.dropDuplicates(["__row"]).select("__row", F.explode(col).alias("__id")).join(known, "__id", "left")
+        names = flat.groupBy("__row").agg(F.sort_array(F.collect_list(F.coalesce("__name", F.lit("?")))).alias("__m"))
+        df = numbered.join(names, "__row", "left").withColumn(col, F.coalesce("__m", F.array().cast("array<string>"))).drop("__row", "__m")
     return df
