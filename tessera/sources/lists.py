@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,8 @@ from tessera.functions import vectors as V
 from tessera.session import broadcast_if_small, remove, stored
 
 MOST_LISTS = 4096
+CELL_QUERIES, CELL_ROWS = 2_048, 16_384  # about as many queries and rows of a list meet in one task
+BLOCK = 256  # queries whose distances to the rows of a cell are in memory at once
 
 
 class ListIndex:
@@ -45,12 +48,24 @@ class ListIndex:
         return some.select("id", gap.alias("gap")).orderBy("gap", "id").limit(k).select("id", (1 - F.col("gap")).alias("score"))
 
     def search_all(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        """(query, rank, id, score) for a stated set of queries (query, vector): each meets the lists it probes, and no others."""
-        asked = _dealt(queries.withColumnRenamed("vector", "asked"), "asked", self.centroids, probes)
-        both = self.rows.join(broadcast_if_small(asked.select("query", "list")), "list").join(queries.select("query", F.col("vector").alias("asked")), "query")
-        near = both.select("query", "id", V.squared_distance(F.col("vector"), F.col("asked")).alias("gap"))
+        """(query, rank, id, score) for a stated set of queries (query, vector): each meets the lists it probes, and no others.
+        Queries of another length or with components that are not finite find nothing.
+
+        Lists and their queries are dealt into cells of bounded size by hash; a cell compares blocks of its rows with its queries and
+        sends at most ``k`` rows a query on. All lists make an exact scan, whose pairs grow with both tables.
+        """
+        fit = queries.filter(V.valid(F.col("vector"), self.matrix.shape[1]))
+        asked = _dealt(fit, "vector", self.centroids, probes).select("query", "vector", "list")
+        held = self.rows.select("id", "vector", F.col("list").cast("int").alias("list"))
+        counts = lambda df, most, name: df.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+        parts = F.broadcast(counts(asked, CELL_QUERIES, "q").join(counts(held, CELL_ROWS, "r"), "list"))  # a row a list
+        cell = lambda df, own, other: df.join(parts, "list").withColumns({
+            own: F.pmod(F.xxhash64(df.columns[0], F.lit(3)), F.col(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
+        left, right = cell(asked, "q", "r"), cell(held, "r", "q")
+        kind = lambda df, c: df.schema[c].dataType.simpleString()
+        made = left.groupBy("list", "q", "r").cogroup(right.groupBy("list", "q", "r")).applyInPandas(lambda x, y: _nearest_of(x, y, k), f"query {kind(queries, 'query')}, id {kind(held, 'id')}, gap double")
         order = Window.partitionBy("query").orderBy("gap", "id")
-        return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", "id", (1 - F.col("gap")).alias("score"))
+        return made.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", "id", (1 - F.col("gap")).alias("score"))
 
     def probes_for(self, k: int, target: float = 0.97, sample_rows: int = 256, seed: int = 7) -> int:
         """The fewest probes that hold ``target`` of the ``k`` true neighbours of at most ``sample_rows`` stored rows chosen by hash."""
@@ -85,6 +100,29 @@ def _valid(rows: DataFrame, dim: int) -> DataFrame:
     return rows.filter(F.col("id").isNotNull()).filter(V.valid(F.col("vector"), dim))
 
 
+def _nearest_of(asked: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query, id, gap): the ``k`` nearest rows of each query, ties by id. Products of matrices find all that can be among them, up
+    to rounding; their distances are summed from the first component on, as ``squared_distance`` does."""
+    if not len(asked) or not len(rows):
+        return pd.DataFrame({"query": asked["query"][:0], "id": rows["id"][:0], "gap": np.zeros(0)})
+    x, ids = np.stack(rows["vector"].to_numpy()).astype(float), rows["id"].to_numpy()
+    made, squares = [], (x * x).sum(1)
+    for at in range(0, len(asked), BLOCK):
+        q = np.stack(asked["vector"].to_numpy()[at:at + BLOCK]).astype(float)
+        own = (q * q).sum(1)
+        about = squares - 2 * (q @ x.T) + own[:, None]
+        room = 1e-12 * (own + squares.max()) * x.shape[1]  # more than either way of summing can be off
+        most = np.partition(about, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1] + 2 * room
+        i, j = np.nonzero(~(about > most[:, None]))
+        gap = np.zeros(len(i))
+        for c in range(x.shape[1]):
+            off = x[j, c] - q[i, c]
+            gap += off * off
+        found = pd.DataFrame({"i": i, "id": ids[j], "gap": gap}).sort_values(["i", "gap", "id"], kind="stable").groupby("i").head(k)
+        made.append(pd.DataFrame({"query": asked["query"].to_numpy()[at + found["i"].to_numpy()], "id": found["id"], "gap": found["gap"]}))
+    return pd.concat(made)
+
+
 def _dealt(rows: DataFrame, vector: str, centroids: DataFrame, probes: int) -> DataFrame:
     """``rows`` once for each of their ``probes`` nearest lists, with its turn from 0; the centroids are one array, sent along with the plan."""
     table = centroids.agg(F.array_sort(F.collect_list(F.struct("list", "centroid"))).alias("__table"))  # at most MOST_LISTS

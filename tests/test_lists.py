@@ -65,3 +65,31 @@ def test_a_list_may_become_empty(spark, tmp_path):
     assert index.rows.select("list").distinct().count() == 1 and index.rows.count() == 10
     with pytest.raises(ValueError):
         L.build(spark.createDataFrame([], "id long, vector array<double>"), str(tmp_path / "none"), 2)
+
+
+def test_search_in_cells(spark, table, index, monkeypatch):
+    """Many small cells give what one plain loop gives, copies and ties by id too; no row meets a query outside the cells."""
+    monkeypatch.setattr(L, "CELL_QUERIES", 7)
+    monkeypatch.setattr(L, "CELL_ROWS", 50)
+    rows = table.filter("id < 600")
+    copies = rows.filter("id % 3 = 0").withColumn("id", F.col("id") + 100_000)
+    small = L.build(rows.unionByName(copies), index.path + "-cells", 4)
+    all_rows = [(r.id, np.array(r.vector)) for r in small.rows.collect()]
+    asked = rows.filter("id % 20 = 0").select(F.col("id").alias("query"), "vector")
+    true = small.search_all(asked, 10, 4)
+    got = {}
+    for r in sorted(true.collect(), key=lambda r: (r["query"], r["rank"])):
+        got.setdefault(r["query"], []).append((r["id"], r["score"]))
+    for q in asked.collect():
+        gaps = []
+        for i, v in all_rows:
+            gap = 0.0
+            for a, b in zip(v, q.vector):
+                gap += float((a - b) * (a - b))
+            gaps.append((gap, i))
+        assert got[q["query"]] == [(i, 1 - g) for g, i in sorted(gaps)[:10]]
+    assert "FlatMapCoGroupsInPandas" in true._jdf.queryExecution().toString()
+    empty = small.search_all(asked.filter("query < 0"), 10, 4)
+    assert empty.count() == 0
+    far = spark.createDataFrame([(1, [1e200] * 64), (2, [1.0]), (3, None), (4, [float("nan")] * 64)], "query long, vector array<double>")
+    assert [r["id"] for r in small.search_all(far, 3, 4).orderBy("rank").collect()] == sorted(i for i, _ in all_rows)[:3]  # all are infinitely far
