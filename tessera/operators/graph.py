@@ -9,7 +9,7 @@ from tessera.functions.text import content_id, trim_all, unescape_if_needed
 from tessera.operators.components import connected_components
 from tessera.operators.leiden import communities_of
 from tessera.operators.order import dense_ordinal, first_by, ordered_list
-from tessera.session import cut
+from tessera.session import cut, stored
 
 
 def merge_entities(raw: DataFrame) -> DataFrame:
@@ -62,13 +62,23 @@ def cluster_edges(edges: DataFrame, keep: str = "last") -> DataFrame:
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
-    """Edges of the largest component after names are unescaped, trimmed and upper-cased; ties to the smallest name."""
-    name = lambda c: F.upper(trim_all(unescape_if_needed(F.col(c))))
-    named = cluster_edges(edges.select(name("source").alias("source"), name("target").alias("target"), "weight", "pos"), "first")
-    roots = cut(connected_components(named, "a", "b"))
+    """Edges of the largest component after names are unescaped, trimmed and upper-cased; ties to the smallest name.
+
+    Each distinct name is cleaned once and numbered in the order of the clean names; edges and components are numbers till the end.
+    """
+    edges = stored(edges.select("source", "target", "weight", "pos"))
+    raw = edges.select(F.col("source").alias("raw")).distinct().union(edges.select("target").distinct()).distinct().filter("raw is not null")
+    names = cut(raw.withColumn("name", F.upper(trim_all(unescape_if_needed(F.col("raw"))))))
+    numbers = cut(dense_ordinal(names.select("name").distinct(), "name", name="n"))
+    known = cut(names.join(numbers, "name").select("raw", "n"))
+    for end in ("source", "target"):
+        edges = edges.join(known.select(F.col("raw").alias(end), F.col("n").alias(f"__{end}")), end, "left").drop(end).withColumnRenamed(f"__{end}", end)
+    numbered = stored(cluster_edges(edges, "first"))
+    roots = cut(connected_components(numbered, "a", "b"))
     best = roots.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
-    inside = roots.join(F.broadcast(best), "component", "left_semi").select(F.col("node").alias("a"))  # one row is broadcast
-    return named.join(inside, "a", "left_semi")
+    inside = numbers.join(roots.join(F.broadcast(best), "component", "left_semi").select(F.col("node").alias("n")), "n", "left_semi")  # one row is broadcast
+    a, b = inside.select(F.col("n").alias("a"), F.col("name").alias("__a")), inside.select(F.col("n").alias("b"), F.col("name").alias("__b"))
+    return numbered.join(a, "a").join(b, "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"), "weight")
 
 
 def hierarchical_clusters(edges: DataFrame, max_size: int = 10, rounds: int = 3) -> DataFrame:
