@@ -1,11 +1,17 @@
 """Communities by Leiden's method, written as grouped joins: moves, refinement, aggregation, until nothing moves.
 
 Every step is a few joins and grouped sums over edges, so a hub is pre-aggregated before the shuffle and no component or
-community meets in one task. What crosses to the driver is a number a step.
+community of more than ``whole`` edges meets in one task. What crosses to the driver is a number a step. Graphs and components
+of up to ``whole`` edges are parted side by side, each in a task of its own, since a job a step costs more than they do.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,22 +106,144 @@ def _aggregated(e: DataFrame, parts: DataFrame) -> DataFrame:
     return stored(named.groupBy(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).agg(F.sum("w").alias("w")))
 
 
-def communities_of(edges: DataFrame, rounds: int = 3, resolution: float = 1.0, merges: int = 3, levels: int = 12) -> DataFrame:
+def _visits(at: np.ndarray, near: np.ndarray, w: np.ndarray, k: np.ndarray, c: np.ndarray, half: float, inside: np.ndarray | None = None) -> bool:
+    """Nodes go, one by one, to the adjacent community of best gain till none wins; whether one went. ``c`` is changed.
+
+    Where ``inside`` is given, only nodes that are alone go, and only to a node of the same value there, so what they form is connected.
+    """
+    mass, size, moved = np.bincount(c, k, len(k)), np.bincount(c, minlength=len(k)), False
+    waiting, queue = np.ones(len(k), bool), deque(range(len(k)))
+    while queue:
+        i = queue.popleft()
+        waiting[i], own = False, c[i]
+        if inside is not None and size[own] > 1:
+            continue
+        js, ws = near[at[i] : at[i + 1]], w[at[i] : at[i + 1]]
+        if inside is not None:
+            js, ws = js[inside[js] == inside[i]], ws[inside[js] == inside[i]]
+        to, where = np.unique(c[js], return_inverse=True)
+        gain = np.bincount(where, ws, len(to)) - half * k[i] * (mass[to] - np.where(to == own, k[i], 0.0))
+        if not len(to) or to[best := int(gain.argmax())] == own:
+            continue
+        stays = gain[to == own]
+        if gain[best] - (stays[0] if len(stays) else -half * k[i] * (mass[own] - k[i])) > LEAST:
+            new, moved = to[best], True
+            mass[own], mass[new], size[own], size[new] = mass[own] - k[i], mass[new] + k[i], size[own] - 1, size[new] + 1
+            c[i] = new
+            again = js[(c[js] != new) & ~waiting[js]] if inside is None else js[:0]
+            waiting[again] = True
+            queue.extend(again.tolist())
+    return moved
+
+
+def _pieces(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each node reaches."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _parted(a: np.ndarray, b: np.ndarray, w: np.ndarray, k: np.ndarray, half: float, c: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Communities of nodes 0 to n - 1 under edges without loops, from ``c`` on, and whether the first visits moved a node.
+
+    Visits, parts that grow inside the communities, and the parts as nodes; at the end every community is a node and none wants to move.
+    """
+    where, first = np.arange(len(k)), None
+    while True:
+        ends, others = np.r_[a, b], np.r_[b, a]
+        order = np.argsort(ends, kind="stable")
+        at = np.searchsorted(ends[order], np.arange(len(k) + 1))
+        graph = at, others[order], np.r_[w, w][order], k
+        moved = _visits(*graph, c, half)
+        first = moved if first is None else first
+        if not moved and len(np.unique(c)) == len(k):
+            return where, first
+        part = np.arange(len(k))
+        _visits(*graph, part, half, inside=c)
+        if len(np.unique(part)) == len(k):  # nothing grows: communities become nodes, those in pieces fall apart
+            inner = c[a] == c[b]
+            part = c = _pieces(len(k), a[inner], b[inner])
+        held, index, part = np.unique(part, return_index=True, return_inverse=True)
+        c, k, where = np.unique(c[index], return_inverse=True)[1], np.bincount(part, k, len(held)), part[where]
+        lo, hi = np.minimum(part[a], part[b]), np.maximum(part[a], part[b])
+        pairs, to = np.unique((lo * len(held) + hi)[lo < hi], return_inverse=True)
+        a, b, w = pairs // len(held), pairs % len(held), np.bincount(to, w[lo < hi], len(pairs))
+
+
+def _alone(state: DataFrame, e: DataFrame, rounds: int, resolution: float) -> DataFrame:
+    """(node, c) of graphs ``u``, each of which fits a task; ``state`` (unit, node, k, m), ``e`` (u, a, b, w). c is the smallest member."""
+
+    def run(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        if not len(nodes):  # no weight at all
+            return pa.table({"node": nodes["node"], "c": nodes["node"]})
+        nodes = nodes.sort_by("node")
+        names, k, m = nodes["node"].combine_chunks(), nodes["k"].to_numpy(), nodes["m"][0].as_py()
+        a, b = (pc.index_in(edges[x], value_set=names).to_numpy().astype(np.int64) for x in ("a", "b"))
+        order = np.lexsort((b, a))
+        order = order[a[order] != b[order]]
+        a, b, w, c = a[order], b[order], edges["w"].to_numpy()[order], np.arange(len(names))
+        for turn in range(rounds):
+            found, moved = _parted(a, b, w, k, resolution / 2 / m, c.copy())
+            if turn and not moved:
+                break
+            c = found
+        return pa.table({"node": names, "c": names.take(pa.array(np.unique(c, return_index=True)[1][np.unique(c, return_inverse=True)[1]]))})
+
+    node = state.schema["node"].dataType.simpleString()
+    return state.groupBy("unit").cogroup(e.groupBy("u")).applyInArrow(run, f"node {node}, c {node}")
+
+
+def _units(e: DataFrame, whole: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(u, a, b, w) of ``e`` (a, b, w, g) that fit a task, (node, unit) of their nodes, and the rest of ``e``, if any.
+
+    A unit is a graph, or a component of one that is too large: moves never leave a component.
+    """
+    def fits(e: DataFrame) -> DataFrame | None:
+        sizes = e.groupBy("u").agg(F.count("*").alias("n"))
+        return None if (sizes.agg(F.max("n")).first()[0] or 0) <= whole else cut(sizes.filter(F.col("n") > whole).select("u"))
+
+    e = e.withColumn("u", F.concat(F.lit("g"), F.col("g").cast("string")))
+    rest = None
+    if (large := fits(e)) is not None:
+        inside = stored(e.join(large, "u", "left_semi"))
+        roots = connected_components(inside, "a", "b").select(F.col("node").alias("a"), F.concat(F.lit("c"), F.col("component").cast("string")).alias("u"))
+        inside = stored(inside.drop("u").join(roots, "a"))
+        e = stored(e.join(large, "u", "left_anti").unionByName(inside))
+        if (large := fits(e)) is not None:
+            rest, e = e.join(large, "u", "left_semi").select("a", "b", "w", "g"), e.join(large, "u", "left_anti")
+    nodes = e.select(F.col("a").alias("node"), F.col("u").alias("unit")).union(e.select("b", "u")).distinct()
+    return e.select("u", "a", "b", "w"), nodes, rest
+
+
+def communities_of(edges: DataFrame, rounds: int = 3, resolution: float = 1.0, merges: int = 3, levels: int = 12, whole: int = 1_000_000) -> DataFrame:
     """(node, c): connected communities over ``edges`` (a, b, weight), none of which a merge of two would better.
 
     A level moves nodes between communities, refines each community into parts that grow along its edges, and makes the parts the
     nodes of the next level's graph, which starts from the communities. When a level shrinks the graph no more, communities
     themselves become the nodes, and adjacent ones are merged while any merge gains. At last a community that is not connected
     falls into its components. Edges of one pair are added up; an empty input gives an empty result. Where edges have a column
-    ``g``, each value of it is a graph of its own, with its own total weight, and all are parted side by side.
+    ``g``, each value of it is a graph of its own, with its own total weight, and all are parted side by side. Graphs and components
+    of at most ``whole`` edges are parted by the same steps inside a task, larger ones by joins.
     """
     group = F.col("g") if "g" in edges.columns else F.lit(0)
     e = stored(edges.withColumn("g", group).groupBy("a", "b").agg(F.sum("weight").cast("double").alias("w"), F.first("g").alias("g")))
-    total, had = e.agg(F.sum("w"), F.count("*")).first()
     ends = e.select(F.col("a").alias("node"), "w", "g").unionByName(e.select(F.col("b").alias("node"), "w", "g"))
     totals = e.groupBy("g").agg(F.sum("w").alias("m")).filter("m > 0")
     state = stored(ends.groupBy("node").agg(F.sum("w").alias("k"), F.first("g").alias("g")).join(totals, "g").select("node", "k", "m", F.col("node").alias("c")))
-    e = e.drop("g")
+    few, nodes, rest = _units(e, whole)
+    alone = _alone(state.drop("c").join(nodes, "node"), few, rounds, resolution)
+    if rest is None:
+        return alone
+    e = stored(rest.drop("g"))
+    total, had = e.agg(F.sum("w"), F.count("*")).first()
+    ends = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+    state = stored(state.join(ends, "node", "left_semi"))
     graph, where = e, state.select("node", F.col("node").alias("at"))
     for level in range(levels if total else 0):
         state = _moves(graph, state, rounds, resolution)
@@ -138,5 +266,6 @@ def communities_of(edges: DataFrame, rounds: int = 3, resolution: float = 1.0, m
     c = state.select("node", "c")
     inner = e.join(c.withColumnsRenamed({"node": "a", "c": "ca"}), "a").join(c.withColumnsRenamed({"node": "b", "c": "cb"}), "b").filter("ca = cb")
     roots = connected_components(inner, "a", "b")
-    return c.select("node").join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+    joined = c.select("node").join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+    return joined.unionByName(alone)
 
