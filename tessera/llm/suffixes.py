@@ -224,7 +224,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sorted_runs(held: DataFrame, width: int, shards: int, batch_rows: int = 8192) -> DataFrame:
-    """(anchor, piece, start, stop): runs of repeated windows of pieces (anchor, piece, times, back, windows, content)."""
+    """(anchor, piece, start, stop): runs of repeated windows of pieces (anchor, piece, times, back, windows, content), each taken once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -246,7 +246,7 @@ def sorted_runs(held: DataFrame, width: int, shards: int, batch_rows: int = 8192
         row, first, last = _runs(repeated_windows(group, times, back, windows, pdf["content"].tolist(), width))
         return pd.DataFrame({"anchor": anchor[row], "piece": piece[row], "start": first.astype(np.int32), "stop": last.astype(np.int32)})
 
-    return held.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInPandas(run, RUNS)
+    return held.repartition(shards, "anchor").dropDuplicates(["anchor", "piece"]).sortWithinPartitions("anchor").mapInPandas(run, RUNS)
 
 
 def window_runs(held: DataFrame, width: int) -> DataFrame:
@@ -295,10 +295,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     some = rows.withColumn("id", F.coalesce("id", F.lit(""))).join(broadcast_if_small(first), ["k0", "k1", "id"])
     lists = wanted.groupBy("k0", "k1").agg(F.collect_list(F.struct("anchor", "piece", "times", "kinds", "first", "windows", "back")).alias("p"))
     held = some.join(lists, ["k0", "k1"]).select(F.encode("text", "utf-8").alias("raw"), F.explode("p").alias("p"))
-    held = held.select("p.*", F.substring("raw", F.col("p.first").cast("int") + 1, F.col("p.windows") + (width - 1)).alias("content")).dropDuplicates(["anchor", "piece"])
+    held = held.select("p.*", F.substring("raw", F.col("p.first").cast("int") + 1, F.col("p.windows") + (width - 1)).alias("content"))
+    held.write.parquet(f"{folder}/held")  # both ways below read it, so that whole texts travel once
+    held = spark.read.schema(held.schema).parquet(f"{folder}/held")
     size = wanted.agg(F.sum(F.col("windows") + width)).first()[0] or 0
     cool = sorted_runs(held.filter(F.col("kinds") <= hot), width, max(32, int(size // shard_bytes)))
-    warm = window_runs(held.filter(F.col("kinds") > hot), width) if not wanted.filter(F.col("kinds") > hot).isEmpty() else None
+    warm = window_runs(held.filter(F.col("kinds") > hot).dropDuplicates(["anchor", "piece"]), width) if not wanted.filter(F.col("kinds") > hot).isEmpty() else None
     found = alone.unionByName(cool) if warm is None else alone.unionByName(cool).unionByName(warm)
     span = F.struct((F.col("first") + F.col("start")).alias("from"), (F.col("first") + F.col("stop") + width).alias("to"))
     cover = cut(here.join(found, ["anchor", "piece"]).groupBy("k0", "k1").agg(F.collect_list(span).alias("cover")))

@@ -156,3 +156,17 @@ def test_bisection_parts_topics():
     leaf = tree.leaves(doc, np.concatenate(lists), 64)
     assert {int(leaf[i]) for i, x in enumerate(lists) if x[0] < 20} != {int(leaf[i]) for i, x in enumerate(lists) if x[0] >= 20}
     assert sorted(Counter(leaf.tolist()).values()) == [32, 32]
+
+
+def test_pieces_meet_without_a_second_join(spark, monkeypatch):
+    """Groups that are sorted and groups that go by hashes read the same stored pieces: whole texts are joined once."""
+    plans = []
+    for name in ("sorted_runs", "window_runs"):
+        real = getattr(suffixes, name)
+        monkeypatch.setattr(suffixes, name, lambda held, *a, real=real: (plans.append(held._jdf.queryExecution().optimizedPlan().toString()), real(held, *a))[1])
+    rnd = random.Random(5)
+    passages = ["".join(rnd.choices("abcdefgh ", k=260)) for _ in range(3)]
+    texts = ["".join(rnd.choices("abcdefgh ", k=40)) + passages[i % 3] + "".join(rnd.choices("abcdefgh ", k=40)) for i in range(9)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(c for c in [r.cover for r in suffixes.repeats(rows, hot=2).collect()])
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
