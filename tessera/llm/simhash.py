@@ -217,13 +217,13 @@ def likely_links(texts: DataFrame, similarity: float, share: float = 0.25, tile:
     """
     angle = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
     most = int(np.ceil(128 * angle + 3 * np.sqrt(128 * angle * (1 - angle))))
-    placed = texts.select("node", "n", "f0", "f1", F.size("cells").alias("m"), F.explode("cells").alias("cell"))
+    placed = texts.select("node", F.explode("cells").alias("cell"))
     often = placed.groupBy("cell").agg(F.count("*").alias("often")).filter("often > 1")
-    shared = placed.join(often, "cell")
+    shared = placed.join(often, "cell")  # what else a text has meets its rows by node, where the window puts them
     own = Window.partitionBy("node")
     # passages that no other text holds are the rarest; they have no row here
-    rank = F.row_number().over(own.orderBy("often", "cell")) + F.col("m") - F.count("*").over(own)
-    rare = shared.withColumn("at", rank).filter(F.col("at") <= F.ceil(F.col("m") * (1 - share)))
+    ranked = shared.withColumn("at", F.row_number().over(own.orderBy("often", "cell"))).withColumn("held", F.count("*").over(own))
+    rare = ranked.join(texts.select("node", "n", "f0", "f1", F.size("cells").alias("m")), "node").filter(F.col("at") + F.col("m") - F.col("held") <= F.ceil(F.col("m") * (1 - share)))
     step = F.floor(F.log(F.greatest("n", F.lit(1))) / float(-np.log(similarity))).cast("int")
     tiles = F.ceil(F.col("often") / F.lit(tile)).cast("int")
     rows = rare.withColumn("size", step).withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node"), tiles).cast("int"))
@@ -271,6 +271,32 @@ def likely_links(texts: DataFrame, similarity: float, share: float = 0.25, tile:
     return spread.withColumn("g", group).groupBy(buckets.alias("bucket")).applyInPandas(run, "src long, dst long").distinct()
 
 
+class Places:
+    """Which texts hold a shingle: sorted arrays of 12 bytes an entry, and lists for the few that came last."""
+
+    def __init__(self):
+        self.keys, self.texts = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.last, self.n = defaultdict(list), 0
+
+    def add(self, shingles: np.ndarray, text: int) -> None:
+        for x in shingles.tolist():
+            self.last[x].append(text)
+        self.n += len(shingles)
+        if self.n > 4096 + len(self.keys) // 4:
+            keys = np.fromiter(chain.from_iterable(repeat(x, len(t)) for x, t in self.last.items()), np.int64, self.n)
+            keys, texts = np.r_[self.keys, keys], np.r_[self.texts, np.fromiter(chain.from_iterable(self.last.values()), np.int32, self.n)]
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.texts = keys[order], texts[order]
+            self.last, self.n = defaultdict(list), 0
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        """The texts of all ``shingles``, repeats included."""
+        lo, hi = np.searchsorted(self.keys, shingles), np.searchsorted(self.keys, shingles, "right")
+        n = hi - lo
+        old = self.texts[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        return np.r_[old, np.fromiter(chain.from_iterable(self.last.get(x, ()) for x in shingles.tolist()), np.int32)]
+
+
 class Heads:
     """Shingle sets of texts that stay, kept by how they differ from what most texts of their class hold.
 
@@ -283,18 +309,18 @@ class Heads:
         self.core = held[2 * times > len(sample)]
         self.similarity, self.n = similarity, 0
         self.sizes, self.lacks = np.zeros(64, np.int64), np.zeros(64, np.int64)
-        self.where: tuple[defaultdict, defaultdict] = (defaultdict(list), defaultdict(list))  # by core shingle lacked, by other shingle held
+        self.where = (Places(), Places())  # by core shingle lacked, by other shingle held
 
-    def _parts(self, shingles: np.ndarray) -> tuple[list[int], list[int]]:
-        return np.setdiff1d(self.core, shingles, assume_unique=True).tolist(), np.setdiff1d(shingles, self.core, assume_unique=True).tolist()
+    def _parts(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.setdiff1d(self.core, shingles, assume_unique=True), np.setdiff1d(shingles, self.core, assume_unique=True)
 
     def like(self, shingles: np.ndarray) -> bool:
         """Whether a text that stays is as similar as asked."""
         if not self.n:
             return False
         parts = self._parts(shingles)
-        places = list(chain.from_iterable(where.get(x, ()) for where, part in zip(self.where, parts) for x in part))
-        both = len(self.core) - len(parts[0]) - self.lacks[: self.n] + np.bincount(np.array(places, np.int64), minlength=self.n)
+        places = np.concatenate([where.of(part) for where, part in zip(self.where, parts)])
+        both = len(self.core) - len(parts[0]) - self.lacks[: self.n] + np.bincount(places, minlength=self.n)
         return bool((both >= self.similarity * (self.sizes[: self.n] + len(shingles) - both)).any())
 
     def add(self, shingles: np.ndarray) -> None:
@@ -302,8 +328,7 @@ class Heads:
             self.sizes, self.lacks = np.r_[self.sizes, self.sizes * 0], np.r_[self.lacks, self.lacks * 0]
         parts = self._parts(shingles)
         for where, part in zip(self.where, parts):
-            for x in part:
-                where[x].append(self.n)
+            where.add(part, self.n)
         self.sizes[self.n], self.lacks[self.n] = len(shingles), len(parts[0])
         self.n += 1
 

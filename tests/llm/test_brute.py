@@ -266,3 +266,24 @@ def test_tiles_are_dealt_apart(spark, monkeypatch):
     for r in spread.selectExpr("spark_partition_id() as p", "t1", "t2").collect():
         counts[r.t1, r.t2].add(r.p)
     assert all(len(p) == 1 for p in counts.values()) and len(set().union(*counts.values())) > 3
+
+
+def test_heads_are_small_and_right():
+    """Texts that stay take few bytes an entry, and likeness is that of whole shingle sets."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(2)
+    sets = [np.unique(np.r_[np.arange(100), rnd.integers(0, 1 << 60, rnd.integers(100, 400))]) for _ in range(300)]
+    sets += [np.unique(np.r_[s[: len(s) - len(s) // k], rnd.integers(0, 1 << 60, 2)]) for s, k in zip(sets, [5, 8, 12, 30] * 20)]
+    tracemalloc.start()
+    heads, stays, entries = simhash.Heads(0.8, sets), [], 0
+    for s in sets:
+        like = any(len(np.intersect1d(s, t)) >= 0.8 * len(np.union1d(s, t)) for t in stays)
+        assert heads.like(s) == like
+        if not like:
+            heads.add(s)
+            stays.append(s)
+            entries += len(s)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert 300 < len(stays) < 380 and kept < 40 * entries
