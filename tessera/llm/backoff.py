@@ -42,7 +42,7 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         made = self[word] = xxhash.xxh64_intdigest(word)
         return made
@@ -50,9 +50,16 @@ class Hashes(dict):
 
 def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A hash of ordered pairs of word hashes."""
-    x = (u ^ (u >> np.uint64(31))) * MIX + w
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    x = u >> np.uint64(31)
+    x ^= u
+    x *= MIX
+    x += w
+    y = x >> np.uint64(29)  # one array of helping values, used again
+    x ^= y
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, np.uint64(32), out=y)
+    x ^= y
+    return x
 
 
 def tokens(text: str | None, known: Hashes) -> np.ndarray:
@@ -80,7 +87,7 @@ def hot_pairs_of(docs: DataFrame, most: int, one_in: int, run_tokens: int) -> np
     """(pair hash, first word, second word) of the commonest pairs in one in ``one_in`` texts, chosen by hash; sorted by pair."""
 
     def run(batches):
-        for _, sizes, h in _runs(batches, run_tokens):
+        for _, sizes, h in _runs(batches, min(run_tokens, FEW)):
             doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             at = np.flatnonzero(doc[1:] == doc[:-1])
             p, first, n = np.unique(pair_hash(h[at], h[at + 1]), return_index=True, return_counts=True)
@@ -106,7 +113,7 @@ def gram_counts(docs: DataFrame, hot: np.ndarray, run_tokens: int = 1_000_000) -
     """(pair, h, c): the unigram table (pair false) and the counts of the hot pairs (pair true), over all documents."""
 
     def run(batches):
-        for _, sizes, h in _runs(batches, run_tokens):
+        for _, sizes, h in _runs(batches, min(run_tokens, FEW)):
             doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             at = np.flatnonzero(doc[1:] == doc[:-1])
             place = _places(pair_hash(h[at], h[at + 1]), hot)
@@ -118,6 +125,9 @@ def gram_counts(docs: DataFrame, hot: np.ndarray, run_tokens: int = 1_000_000) -
     return docs.mapInArrow(run, "pair boolean, h long, c long").groupBy("pair", "h").agg(F.sum("c").alias("c"))
 
 
+#: Tokens a run where only sums or rows of single documents leave it, which are the same for runs of any size.
+FEW = 125_000
+
 #: Code of a word that is not among the heavy ones.
 LIGHT = 0xFFFFF
 
@@ -157,8 +167,13 @@ def _pairs(docs: DataFrame, buckets: int, run_tokens: int, heavy_h: np.ndarray,
             at, p = at[cold], p[cold]
             bucket = ((p >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             # pairs that agree in all of this key may come apart into more than one entry, which does no harm
-            order = np.argsort((bucket << np.uint64(40)) | (code[at].astype(np.uint64) << np.uint64(20)) | (p & np.uint64(0xFFFFF)))
+            key = code[at].astype(np.uint64) << np.uint64(20)
+            key |= bucket << np.uint64(40)
+            key |= p & np.uint64(0xFFFFF)
+            order = np.argsort(key)
+            del key, cold
             p, at, bucket = p[order], at[order], bucket[order]
+            del order
             new = np.flatnonzero(np.r_[True, p[1:] != p[:-1]][: len(p)])
             times, first, bucket = np.diff(np.r_[new, len(p)]), at[new], bucket[new].astype(np.int64)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -281,7 +296,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
 
     # first tokens, hot pairs, and tokens a document: first words' terms meet the counts with the light words of the pairs
     def firsts(batches):
-        for keys, sizes, h in _runs(batches, run_tokens):
+        for keys, sizes, h in _runs(batches, min(run_tokens, FEW)):
             starts = np.r_[0, np.cumsum(sizes)[:-1]][sizes > 0]
             key = np.array(keys, np.int64)[sizes > 0]
             w = h[starts].view(np.int64)
