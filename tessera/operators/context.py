@@ -122,13 +122,27 @@ def exploded_members(communities: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def level_first_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(level, title, edge_id): the first edge by pos that starts at a title, else the first that ends there, among those with
-    both ends at its level."""
-    at = members.select("level", "title").distinct()
-    source, target = (at.select(F.col("level").alias(f"l_{end}"), F.col("title").alias(end)) for end in ("source", "target"))
-    inside = edges.select("id", "pos", "source", "target").join(source, "source").join(target, "target").filter("l_source = l_target")
-    one = lambda end, rank: inside.select(F.col("l_source").alias("level"), F.col(end).alias("title"), F.struct(F.lit(rank).alias("r"), "pos", "id").alias("e"))
-    return one("source", 0).unionByName(one("target", 1)).groupBy("level", "title").agg(F.min("e").alias("e")).select("level", "title", F.col("e.id").alias("edge_id"))
+    """(level, title, and the columns of ``edges``): the first edge by pos that starts at a title, else the first that ends there,
+    among those with both ends at its level.
+
+    Edges are gone through once: each title's first edge whatever its levels, which most titles keep at all their levels. Levels
+    where its other end is missing are searched among all edges of those titles; if there are none, no second pass takes place.
+    """
+    levels = members.groupBy("title").agg(F.collect_set("level").alias("levels"))
+    side = lambda title, other, rank: F.struct(F.col(title).alias("title"), F.col(other).alias("other"), F.lit(rank).alias("r"))
+    rest = [c for c in edges.columns if c not in ("pos", "id", "source", "target")]
+    found = F.struct("end.r", "pos", "id", "end.other", *rest).alias("e")
+    ends = edges.withColumn("end", F.explode(F.array(side("source", "target", 0), side("target", "source", 1)))).select("end.title", found)
+    others = levels.withColumnsRenamed({"title": "other", "levels": "other_levels"})
+    first = ends.groupBy("title").agg(F.min("e").alias("e")).withColumn("other", F.col("e.other")).join(levels, "title").join(others, "other", "left")
+    first = cut(first.select("title", "e", F.explode("levels").alias("level"), F.coalesce("other_levels", F.array().cast(others.schema["other_levels"].dataType)).alias("at")).withColumn("kept", F.array_contains("at", F.col("level"))).drop("at"))
+    kept, open_ = first.filter("kept").select("level", "title", "e"), first.filter("not kept").select("level", "title")
+    if not open_.isEmpty():
+        inside = ends.join(open_, "title").withColumn("other", F.col("e.other")).join(others, "other").filter(F.array_contains("other_levels", F.col("level")))
+        kept = kept.unionByName(inside.groupBy("level", "title").agg(F.min("e").alias("e")))
+    starts = F.col("e.r") == 0
+    ends_of = {"source": F.when(starts, F.col("title")).otherwise(F.col("e.other")), "target": F.when(starts, F.col("e.other")).otherwise(F.col("title"))}
+    return kept.select("level", "title", *[ends_of.get(c, F.col(f"e.{c}")).alias(c) for c in edges.columns])
 
 
 HEADS = "-----Entities-----\nhuman_readable_id,title,description\n"
@@ -162,9 +176,9 @@ def report_contexts(members: DataFrame, edges: DataFrame, budget: int) -> DataFr
     No text is rendered to measure it: an edge has at least ``SHORTEST`` characters, so a community sends only as many edges as the
     budget can hold, and the size of a text is a running sum over their lines and those of the ends they name first.
     """
-    named = edges.select(F.col("id").alias("edge_id"), F.col("human_readable_id").alias("eid"), "source", "target", "combined_degree", F.col("description").alias("edge_description"))
-    firsts = level_first_edges(members, edges).join(named, "edge_id")
-    brought = members.join(firsts, ["level", "title"]).select("level", "community", "edge_id", "eid", "source", "target", "combined_degree", "edge_description").distinct()
+    firsts = level_first_edges(members, edges.select("id", "pos", "human_readable_id", "source", "target", "combined_degree", "description"))
+    named = firsts.select("level", "title", F.col("id").alias("edge_id"), F.col("human_readable_id").alias("eid"), "source", "target", "combined_degree", F.col("description").alias("edge_description"))
+    brought = members.select("level", "community", "title").join(named, ["level", "title"]).drop("title").distinct()
     fixed = len(HEADS + RELATED) - 2  # every line's cost has a line end, the last of either list has none
     kept = cut(first_edges(brought, max(1, (budget - fixed) // SHORTEST)))
     key = ["level", "community"]

@@ -384,3 +384,38 @@ def test_clusters_take_few_jobs(spark):
     before = jobs()
     registry.queries()["q17_clusters"](spark, "/root/testdata/sf0.001").collect()
     assert jobs() - before < 250
+
+
+def test_first_edges_in_one_pass(spark):
+    """Edges are gone through once where each title's first edge serves all its levels; where it does not, the next that does is found."""
+    members = [(0, 1, x, i, x) for i, x in enumerate("abcd")] + [(1, 9, x, i, x) for i, x in enumerate("acd")]
+    rows = [("e1", 1, "a", "b"), ("e2", 2, "d", "a"), ("e3", 3, "a", "c"), ("e4", 4, "c", "gone"), ("e5", 5, "b", "d")]
+    m = spark.createDataFrame(members, "level int, community long, title string, human_readable_id long, description string")
+    e = spark.createDataFrame([(i, p, p, s, t, i, 7) for i, p, s, t in rows], "id string, human_readable_id long, pos long, source string, target string, description string, combined_degree long")
+
+    def want(level):
+        at = {x for l, _, x, *_ in members if l == level}
+        found = {x: sorted((x != s, p, i) for i, p, s, t in rows if {s, t} <= at and x in (s, t)) for x in at}
+        return {(level, x, f[0][2]) for x, f in found.items() if f}
+
+    assert {(r.level, r.title, r.id) for r in C.level_first_edges(m, e).collect()} == want(0) | want(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    flat = [r for r in rows if "gone" not in r]
+    counted = e.filter("target <> 'gone'").mapInPandas(passed, e.schema)
+    got = {r.community: r.context for r in C.report_contexts(m.filter("level = 0"), counted, 1 << 40).collect()}
+    assert list(got) == [1] and seen.value == len(flat)
+
+
+def test_edges_found_by_number_give_the_same_contexts(spark):
+    """Contexts of the edges that are some title's first are those of all edges."""
+    every, few = context_queries.report_context_rows(spark, SF, 0), context_queries.report_first_edges(spark, SF)
+    assert few[1].columns == every[1].columns and 0 < few[1].count() < every[1].count()
+    assert few[1].exceptAll(every[1]).isEmpty()
+    texts = lambda rows: {r.community: r.context for r in C.report_contexts(*rows, 1 << 40).collect()}
+    assert texts(few) == texts(every)
