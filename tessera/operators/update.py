@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import drop_orphans
 from tessera.operators.order import dense_ordinal
+from tessera.session import dealt
 
 
 def new_documents(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -33,17 +33,18 @@ def id_mapping(previous: DataFrame, delta: DataFrame) -> DataFrame:
     return delta.select("title", F.col("id").alias("delta_id")).join(last, "title").select("delta_id", "id")
 
 
-def _both(previous: DataFrame, delta: DataFrame) -> DataFrame:
-    """Rows of both sides with their order ``o``, the delta's ids going on after the largest earlier one."""
-    moved = dense_ordinal(delta.withColumnRenamed("human_readable_id", "__old"), "__old", name="human_readable_id", start=max_id(previous) + 1).drop("__old")
+def _both(previous: DataFrame, delta: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of both sides with their order ``o``, the delta's ids going on after the largest earlier one; and how many they are."""
+    most, n = previous.agg(F.max("human_readable_id"), F.count("*")).first()
+    moved = dense_ordinal(delta.withColumnRenamed("human_readable_id", "__old"), "__old", name="human_readable_id", start=0 if most is None else int(most) + 1).drop("__old")
     kind = previous.schema["human_readable_id"].dataType
     side = lambda df, i: df.withColumn("human_readable_id", F.col("human_readable_id").cast(kind)).withColumn("o", F.struct(F.lit(i), F.col("human_readable_id")))
-    return side(previous, 0).unionByName(side(moved, 1))
+    return side(previous, 0).unionByName(side(moved, 1)), n + moved.count()
 
 
 def merge_entities(previous: DataFrame, delta: DataFrame) -> DataFrame:
     """One row a title: identity of its first row, descriptions and units of all; frequency counts units, degree stays."""
-    rows = _both(previous, delta)
+    rows, _ = _both(previous, delta)
     first = F.min_by(F.struct("id", "human_readable_id", "type", "degree"), "o")
     lists = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", c))), lambda s: s[c]))
     merged = rows.groupBy("title").agg(first.alias("f"), F.transform(F.array_sort(F.collect_list(F.struct("o", "description"))), lambda s: s["description"]).alias("descriptions"), lists("text_unit_ids").alias("text_unit_ids"))
@@ -52,15 +53,17 @@ def merge_entities(previous: DataFrame, delta: DataFrame) -> DataFrame:
 
 def merge_relationships(previous: DataFrame, delta: DataFrame, entities: DataFrame) -> DataFrame:
     """One row a directed pair: first identity, mean weight, descriptions and units of all in order; combined degree is the source's
-    pairs out plus the target's pairs in, counted before pairs without known ends go. Null descriptions are left out."""
-    rows = _both(previous, delta)
+    pairs out plus the target's pairs in, counted before pairs without known ends go. Null descriptions are left out.
+
+    Rows are dealt by source once, for merging, counting and looking up that end, then by target once for the other."""
+    rows = dealt(*_both(previous, delta), "source", 250_000)
     listed = F.array_sort(F.collect_list(F.struct("o", "description", "text_unit_ids")))
     merged = rows.groupBy("source", "target").agg(F.min_by(F.struct("id", "human_readable_id"), "o").alias("f"), F.avg("weight").alias("weight"), listed.alias("l"))
     merged = merged.withColumn("descriptions", F.array_compact(F.transform("l", lambda x: x["description"]))).withColumn("text_unit_ids", F.flatten(F.transform("l", lambda x: x["text_unit_ids"])))
-    out = F.count("*").over(Window.partitionBy("source"))
-    into = F.count("*").over(Window.partitionBy("target"))
-    counted = merged.withColumn("combined_degree", out + into).select(F.col("f.id").alias("id"), F.col("f.human_readable_id").alias("human_readable_id"), "source", "target", "weight", "descriptions", "text_unit_ids", "combined_degree")
-    return drop_orphans(counted, entities)
+    known = entities.select("title").distinct()
+    ends = merged.withColumn("out", F.count("*").over(Window.partitionBy("source"))).join(known.select(F.col("title").alias("source"), F.lit(True).alias("known")), "source", "left")
+    counted = ends.withColumn("into", F.count("*").over(Window.partitionBy("target"))).filter("known").join(known.select(F.col("title").alias("target")), "target", "left_semi")
+    return counted.select(F.col("f.id").alias("id"), F.col("f.human_readable_id").alias("human_readable_id"), "source", "target", "weight", "descriptions", "text_unit_ids", (F.col("out") + F.col("into")).alias("combined_degree"))
 
 
 def remap_list(df: DataFrame, list_col: str, mapping: DataFrame, key: str = "id") -> DataFrame:

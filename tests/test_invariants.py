@@ -12,6 +12,7 @@ from tessera.operators import leiden as L
 from tessera.operators import order as O
 from tessera.operators import projection as P
 from tessera.operators import search as S
+from tessera.operators import update as U
 from tessera.operators.packing import pack_whole
 from tessera.plans import context_queries, inputs, registry, search_queries
 
@@ -419,3 +420,24 @@ def test_edges_found_by_number_give_the_same_contexts(spark):
     assert few[1].exceptAll(every[1]).isEmpty()
     texts = lambda rows: {r.community: r.context for r in C.report_contexts(*rows, 1 << 40).collect()}
     assert texts(few) == texts(every)
+
+
+def test_merged_relationships_are_dealt_twice(spark):
+    """Merged pairs are dealt by source once and by target once, whatever the sides' sizes; degrees count pairs without known ends."""
+    rows = lambda ids: spark.createDataFrame([(f"e{i}", i, f"s{i % 4}", f"t{i % 3}", float(i), f"d{i}", [f"u{i}"]) for i in ids], "id string, human_readable_id long, source string, target string, weight double, description string, text_unit_ids array<string>")
+    known = spark.createDataFrame([(x,) for x in ("s0", "s1", "s2", "t0", "t1")], "title string")
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = U.merge_relationships(rows(range(5)), rows(range(3, 15)), known)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        got = {(r.source, r.target): (r.id, r.weight, r.descriptions, r.combined_degree) for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    by = defaultdict(list)
+    for i in [*range(5), *range(3, 15)]:
+        by[f"s{i % 4}", f"t{i % 3}"].append(i)
+    out, into = ({x: sum(k[e] == x for k in by) for x in {k[e] for k in by}} for e in (0, 1))
+    ends = {"s0", "s1", "s2", "t0", "t1"}
+    assert got == {k: (f"e{v[0]}", sum(v) / len(v), [f"d{i}" for i in v], out[k[0]] + into[k[1]]) for k, v in by.items() if set(k) <= ends}
+    assert len([x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "(title" not in x and "__r" not in x]) <= 4  # those of the two sides' titles too
