@@ -73,13 +73,30 @@ def repair(text: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def _first_object(s: pd.Series) -> pd.Series:
-    return s.map(first_object)
+    return s.map(first_object, na_action="ignore")
+
+
+#: What Python's json writes otherwise than it was given, or reads and the JVM does not; and a list's end behind an object, which
+#: could close the list that a text is put in to see that it is one object and nothing more.
+REWRITTEN = r"[0-9][eE]|[0-9.]{16}|\.[0-9]*0(?![0-9])|\\|NaN|Infinity|\}\s*\]"
+
+
+def _one(items: Column) -> Column:
+    """Whether a variant is a list of one item."""
+    return F.try_variant_get(items, "$[0]", "variant").isNotNull() & F.try_variant_get(items, "$[1]", "variant").isNull()
 
 
 def json_object(answer: Column) -> Column:
-    """The answer's JSON object; only answers that aren't plain JSON leave the JVM."""
-    plain = F.try_parse_json(answer).isNotNull() & F.startswith(F.ltrim(answer), F.lit("{"))
-    return F.when(plain, answer).otherwise(_first_object(answer))
+    """The answer's JSON object; only answers that aren't plain JSON from their first brace to the end reach Python: a call of it
+    under a condition takes every row all the same, so the others are null there."""
+    def read(t: Column) -> Column:
+        plain = F.startswith(F.ltrim(answer), F.lit("{")) & F.try_parse_json(answer).isNotNull()
+        whole = ~F.contains(answer, F.lit("```")) & ~t.rlike(REWRITTEN) & _one(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))))
+        return F.when(plain, answer).when(whole, t)
+
+    tail = F.when(F.contains(answer, F.lit("{")), F.substr(answer, F.instr(answer, "{")))
+    given = F.when(tail.isNotNull(), F.get(F.transform(F.array(tail), read), F.lit(0)))
+    return F.coalesce(_first_object(F.when(tail.isNotNull() & given.isNull(), answer)), given)
 
 
 def _kind(v: Column) -> Column:
@@ -118,9 +135,12 @@ def report(answer: Column) -> Column:
 def rating(answer: Column, default: float = 1.0) -> Column:
     """The rating of an answer: a number as it is, true and false as 1 and 0, a text that is a number as that; null for another
     text, which no threshold lets pass; ``default`` where the answer has none."""
+    def read(v: Column) -> Column:
+        text = F.when(_kind(v) == "STRING", v.try_cast("string"))
+        return F.when(v.isNull() | (_kind(v) == "VOID"), F.lit(float(default))).otherwise(F.coalesce(_number(v), text.try_cast("double")))
+
     v = F.from_json(json_object(answer), "struct<rating: variant>")["rating"]
-    text = F.when(_kind(v) == "STRING", v.try_cast("string"))
-    return F.when(v.isNull() | (_kind(v) == "VOID"), F.lit(float(default))).otherwise(F.coalesce(_number(v), text.try_cast("double")))
+    return F.get(F.transform(F.array(v), read), F.lit(0))  # the answer is parsed once for all that is asked of it
 
 
 GIVEN = "struct<json: string, label: string, number: double, text: boolean>"

@@ -181,3 +181,17 @@ def test_stored_vectors(spark, tmp_path):
     t.snapshot("raw_", {"entities": spark.createDataFrame([], "id string, vector array<double>")})
     t.append("raw_entities", spark.createDataFrame([("b", [1.0]), ("a", [2.0]), ("a", [3.0])], "id string, vector array<double>"))
     assert t.count("raw_entities") == 3 and [r.id for r in t.ids("raw_entities").collect()] == ["a", "a", "b"]
+
+
+def test_only_odd_answers_reach_python(spark):
+    """Answers with plain JSON behind some words, and those without a brace, are read in the JVM; all are read as Python does."""
+    from tessera.functions import answers as A
+
+    plain = ["no rating", 'Rated: {"why": {"a": 1}, "rating": 3.7}', 'So: {"rating": "2"}', '{"rating": 4}', 'x {"rating": true}\n']
+    odd = ['h {"rating": 3} and more', 'i {"rating": 1}, {"rating": 2}', 'j {"rating": 1}] [{"a": 1}', 'a ```json\n{"rating": 2}```', "b {'rating': 2,}", 'c {"rating": 2e0}', 'd {"rating": 2.50}', '{{"rating": 1}}', 'e {oops {"rating": 5}', 'f {"rating": NaN}', 'g {"rating": 1, "rating": 2}']
+    df = spark.createDataFrame([(a,) for a in [*plain, *odd, None]], "a string").repartition(1)
+    got = {r.a: r.o for r in df.select("a", A.json_object(F.col("a")).alias("o")).collect()}
+    read = lambda t: None if t is None else json.loads(t)
+    assert all(repr(read(got[a])) == repr(read(A.first_object(a))) for a in [*plain, *odd]) and got[None] is None
+    reached = df.select(A.json_object(F.col("a")).alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_first_object(CASE WHEN" in reached  # its argument is null for the others
