@@ -32,8 +32,12 @@ def centroid_nearest(vectors: DataFrame, k: int, id_col: str = "id", vector_col:
 
 def memberships(entities: DataFrame, communities: DataFrame, level: int) -> DataFrame:
     """``entities`` with community_ids: sorted distinct communities up to ``level`` as strings, ['-1'] for none."""
-    listed = communities.filter(F.col("level") <= level).select(F.explode("entity_ids").alias("id"), F.col("community").cast("long").alias("c"))
-    sets = listed.groupBy("id").agg(F.transform(F.array_sort(F.collect_set("c")), lambda c: c.cast("string")).alias("community_ids"))
+    return memberships_of(entities, communities.filter(F.col("level") <= level).select("community", F.explode("entity_ids").alias("id")))
+
+
+def memberships_of(entities: DataFrame, listed: DataFrame) -> DataFrame:
+    """:func:`memberships` of rows (community, id), which need no list of a community's entities."""
+    sets = listed.groupBy("id").agg(F.transform(F.array_sort(F.collect_set(F.col("community").cast("long"))), lambda c: c.cast("string")).alias("community_ids"))
     return entities.join(sets, "id", "left").withColumn("community_ids", F.coalesce("community_ids", F.array(F.lit("-1"))))
 
 
@@ -47,8 +51,14 @@ def community_weights(reports: DataFrame, entities: DataFrame) -> DataFrame:
     """``reports`` of rank 0 or more with occurrence: distinct text units of the community's entities over the most that any of the
     reports has, those of a lower rank too."""
     pairs = entities.select("text_unit_ids", F.explode("community_ids").alias("c")).select("c", F.explode("text_unit_ids").alias("u"))
-    counts = pairs.distinct().groupBy("c").agg(F.count("*").alias("n"))
+    return weights_of_units(reports, pairs.distinct())
+
+
+def weights_of_units(reports: DataFrame, units: DataFrame) -> DataFrame:
+    """:func:`community_weights` of rows (c, u), each once: a community, as number or text, and a text unit of its entities."""
+    counts = units.groupBy(F.col("c").cast("string").alias("c")).agg(F.count("*").alias("n"))
     rows = reports.join(counts, F.col("community").cast("string") == F.col("c"), "left").drop("c").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = cut(rows)  # a row a community; the units are not counted again for the largest
     most = rows.agg(F.max("n").alias("most"))
     return rows.filter("rank >= 0").join(F.broadcast(most)).withColumn("occurrence", F.when(F.col("most") > 0, F.col("n") / F.col("most")).otherwise(0.0)).drop("n", "most")
 

@@ -172,6 +172,31 @@ def test_global_batches(spark):
         assert [r["at"] for r in own] == list(range(len(own)))
 
 
+def test_community_weights_list_nothing(spark, tmp_path):
+    """Units and entities meet as rows: no list of either is made, a name that repeats meets itself once a community, and orders count once."""
+    customers = [(i, f"C{i % 7}", (i % 5) if i % 7 else 1) for i in range(60)] + [(60, "C60", 77), (61, None, 2)]
+    suppliers = [(i, f"S{i}", i % 3) for i in range(6)]
+    orders = [(o, o % 64) for o in range(300)]
+    lines = [(o % 310, (o * 7) % 8) for o in range(900)]
+    nations = [(n, f"N{n}", n % 2) for n in range(5)]
+    for name, rows, schema in (("customer", customers, "c_custkey long, c_name string, c_nationkey int"), ("supplier", suppliers, "s_suppkey long, s_name string, s_nationkey int"), ("orders", orders, "o_orderkey long, o_custkey long"), ("lineitem", lines, "l_orderkey long, l_suppkey long"), ("nation", nations, "n_nationkey int, n_name string, n_regionkey int")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    named, people = {}, [(("c", i), t, n) for i, t, n in customers] + [(("s", i), t, n) for i, t, n in suppliers]
+    for _, t, n in people:
+        if t is not None and n < 5:
+            for c in (n % 2, n + 100):
+                named.setdefault(c, set()).add(t)
+    inside = {c: {k for k, t, _ in people if t in ts} for c, ts in named.items()}
+    units = {c: {o for o, k in orders if ("c", k) in ks} | {o for o, k in lines if ("s", k) in ks} for c, ks in inside.items()}
+    most = max(map(len, units.values()))
+    want = {f"r{c}": round(len(units[c]) / most, 6) for c in named if (c * 7) % 10 >= 1}
+    plan = inputs.community_units(spark, str(tmp_path)).union(inputs.reports(spark, str(tmp_path)).select("community", F.length("content")))
+    assert "collect_" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.occurrence for r in registry.queries()["q26_community_weights"](spark, str(tmp_path)).collect()} == want
+    assert {r.community: int(r.content[9:]) for r in inputs.reports(spark, str(tmp_path)).collect()} == {c: len(k) for c, k in inside.items()}
+    assert {r.community: set(r.entity_ids) for r in inputs.communities(spark, str(tmp_path)).collect()} == {c: {f"{a}{b}" for a, b in k} for c, k in inside.items()}
+
+
 @pytest.mark.parametrize("most,most_rows,parts", [(60, None, 8), (60, 3, 8), (5, None, 3), (100_000, None, 8), (400, 50, 8), (10**9, 7, 5)])
 def test_packing_of_a_whole_table(spark, most, most_rows, parts):
     rnd = random.Random(most)
