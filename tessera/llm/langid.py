@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.rows import append, double, remainder
+from tessera.llm.rows import append, double, over_texts, remainder
 from tessera.session import broadcast_if_small, cut
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             made = [(band(size), margin if name == lang else 0.0) for (name, _, margin, size), lang in made if name != UNKNOWN]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.array([m for _, m in made], pa.float64())], names=["band", "margin"])
 
-    by_band = tried.mapInArrow(margins, "band int, margin double").groupBy("band").agg(F.percentile("margin", F.lit(0.05)).alias("low"), F.count("*").alias("n"))
+    by_band = over_texts(tried, margins, "band int, margin double").groupBy("band").agg(F.percentile("margin", F.lit(0.05)).alias("low"), F.count("*").alias("n"))
     model.narrow = {r["band"]: r["low"] / 5 for r in by_band.filter("n >= 8").collect()}
     return model
 

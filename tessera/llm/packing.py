@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import byte_alphabet
-from tessera.llm.rows import slices
+from tessera.llm.rows import over_texts, slices
 from tessera.session import cut, without_columns
 
 #: Characters that every Unicode version and both regex engines class alike: ASCII, Latin letters, common marks.
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(out["id"], batch.schema.field(0).type), *[pa.array(out[k], pa.int64()) for k in ("start", "length", "crc", "all")]], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
 
     kept = docs.select(F.col(id_col), F.col(text_col))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, {PIECES}")
+    return over_texts(kept, run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, {PIECES}")
 
 
 def combinations(bins: int) -> np.ndarray:

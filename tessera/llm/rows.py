@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,24 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def over_texts(df: DataFrame, run: Callable, schema: str | T.StructType, most: int = 4 << 20) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in Arrow batches that end at ``most`` bytes.
+
+    By Spark's default they hold 10,000 rows or 64 MB, which is all the texts of a task: the JVM and its worker each keep
+    them twice as a batch is made and the next is read. The bound is a setting of the session; a lower one stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if in_bytes(conf.get(name)) > most:
+        conf.set(name, f"{most}b")
+    return df.mapInArrow(run, schema)
+
+
+def in_bytes(size: str) -> int:
+    """A size as Spark's settings write it: 67108864b, 64m, 1g, or a plain number of bytes."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def append(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list[pa.Array]]], keep_text: bool = True) -> DataFrame:
     """``df`` with new columns computed from its text column, batch by batch, without a shuffle.
 
@@ -43,7 +62,7 @@ def append(df: DataFrame, text_col: str, fields: list[T.StructField], make: Call
             made = work(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], *made], names=[*[batch.schema.names[i] for i in stay], *[f.name for f in fields]])
 
-    return base.mapInArrow(run, T.StructType([*[base.schema[i] for i in stay], *fields]))
+    return over_texts(base, run, T.StructType([*[base.schema[i] for i in stay], *fields]))
 
 
 def double(name: str) -> T.StructField:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.rows import append, long, slices
+from tessera.llm.rows import append, long, over_texts, slices
 from tessera.operators.components import connected_components
 from tessera.session import broadcast_if_small, cut, stored, without_columns
 
@@ -203,7 +203,7 @@ def sketches(rows: DataFrame, shingle: int, every: int) -> DataFrame:
                 made.append((len(once), _bits(once), _bits(other ^ (other >> np.uint64(28))), _cut_at(h, every)))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *[pa.array([m[i] for m in made], pa.int64()) for i in range(3)], pa.array([m[3] for m in made], pa.list_(pa.int64()))], names=["id", "k0", "k1", "n", "f0", "f1", "cells"])
 
-    return rows.mapInArrow(run, "id long, k0 long, k1 long, n long, f0 long, f1 long, cells array<long>")
+    return over_texts(rows, run, "id long, k0 long, k1 long, n long, f0 long, f1 long, cells array<long>")
 
 
 def likely_links(texts: DataFrame, similarity: float, share: float = 0.25, tile: int = 2048, bucket_rows: int = 100_000) -> DataFrame:
@@ -349,7 +349,7 @@ def dropped_texts(docs: DataFrame, texts: DataFrame, shingle: int, similarity: f
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     held = docs.join(broadcast_if_small(left.select("node", "id", "k0", "k1")), ["id", "k0", "k1"]).select("node", "text").dropDuplicates(["node"])
-    held = stored(held.mapInArrow(sets, "node long, shingles array<long>"))
+    held = stored(over_texts(held, sets, "node long, shingles array<long>"))
 
     def among(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "k0", "k1"])

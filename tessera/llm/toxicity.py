@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.rows import append, double, remainder, slices
+from tessera.llm.rows import append, double, over_texts, remainder, slices
 from tessera.session import broadcast_if_small, cut
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -154,7 +154,7 @@ def _counts(train: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return train.mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return over_texts(train, run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_by: int = 5, held_rest: int = 0, chance: float = 3.0, prior: float = 0.5, prior_mass: float = 1000.0, drift: float = 0.5, max_tokens: int = 200_000, calibration_rows: int = 20_000) -> ToxicityModel:
@@ -217,7 +217,7 @@ def _calibrate(model: ToxicityModel, sample: DataFrame, id_col: str, text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.list_(pa.float64())), pa.array([max(1, len(w)) for w in words], pa.int64()), batch.column(1), batch.column(2)], names=["sums", "n", "label", "id"])
 
     kind = sample.schema[id_col].dataType.simpleString()
-    found = cut(sample.select(text_col, "__label", id_col).mapInArrow(run, f"sums array<double>, n long, label int, id {kind}"))
+    found = cut(over_texts(sample.select(text_col, "__label", id_col), run, f"sums array<double>, n long, label int, id {kind}"))
     best = F.coalesce(F.array_max("sums"), F.lit(0.0))
     held, mass = found.filter("label = 0").agg(F.count(F.when(F.size("sums") > 0, 1)), F.sum(F.col("n") * F.exp(-F.lit(model.lam) * best))).first()
     model.log_k = math.log(max(held, 0.5) / mass) if mass else 0.0

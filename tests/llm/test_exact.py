@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import backoff, bpe, nndescent, packing, sharding, simhash, topk
+from tessera.llm import backoff, bpe, nndescent, packing, rows, sharding, simhash, topk
 from tessera.llm.registry import vocabulary
 
 
@@ -28,6 +29,27 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, FP string").repartition(3).cache()
 
 
+def test_texts_reach_python_in_bounded_batches(spark):
+    """A task's texts are not one Arrow batch, in the operators' own stages too; a lower bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def run(batches):
+        for b in batches:
+            yield b.select(["id"]).slice(0, 1).set_column(0, "id", pa.array([b.nbytes]))
+
+    big = spark.range(3_000, numPartitions=1).select("id", F.repeat(F.lit("0123456789"), 1_000).alias("text"))
+    try:
+        simhash.sketches(big.limit(1).select("id", F.lit(0).cast("long").alias("k0"), F.lit(0).cast("long").alias("k1"), "text"), 5, 10).collect()
+        assert max(r.id for r in big.mapInArrow(run, "id long").collect()) < 5 << 20
+        spark.conf.set(name, "1m")
+        got = [r.id for r in rows.over_texts(big, run, "id long").collect()]
+        assert len(got) > 28 and max(got) < 2 << 20 and spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+    assert [rows.in_bytes(x) for x in ("67108864b", "4m", "1g", "12")] == [64 << 20, 4 << 20, 1 << 30, 12]
+
+
 def test_bpe_is_the_library(spark, docs):
     from tokenizers import Tokenizer
 
