@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_id, trim_all, unescape_if_needed
 from tessera.operators.components import connected_components
-from tessera.operators.leiden import communities_of
+from tessera.operators.leiden import communities_of, nested
 from tessera.operators.order import dense_ordinal, first_by, ordered_list
-from tessera.session import cut, stored
+from tessera.session import broadcast_if_small, cut, stored
 
 
 def merge_entities(raw: DataFrame) -> DataFrame:
@@ -81,29 +83,48 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return numbered.join(a, "a").join(b, "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"), "weight")
 
 
-def hierarchical_clusters(edges: DataFrame, max_size: int = 10, rounds: int = 3) -> DataFrame:
+def hierarchical_clusters(edges: DataFrame, max_size: int = 10, rounds: int = 3, whole: int = 1_000_000) -> DataFrame:
     """(level, community, parent, title): clusters, those of more than ``max_size`` members split again below them.
 
     Communities are named level by level by their smallest member; parent is null at level 0. Splitting goes on until no
-    cluster is over ``max_size`` or those that are no longer part; such a cluster has no level below it.
+    cluster is over ``max_size`` or those that are no longer part; such a cluster has no level below it. Titles are numbered in their
+    order till the end. A cluster of at most ``whole`` edges is split to its end in one task, a larger one level by level.
     """
-    level, parent = 0, None
-    current, made = edges.select("a", "b", "weight"), None
+    named = stored(edges.select("a", "b", "weight"))
+    titles = named.select(F.col("a").alias("title")).union(named.select("b")).distinct().filter("title is not null")
+    titles = cut(dense_ordinal(titles, "title", name="node"))
+    current = named
+    for end in ("a", "b"):
+        number = broadcast_if_small(titles.select(F.col("title").alias(end), F.col("node").alias(f"__{end}")))
+        current = current.join(number, end).drop(end).withColumnRenamed(f"__{end}", end)
+    level, parent, made = 0, None, []
     while True:
-        found = communities_of(current, rounds).select(F.lit(level).alias("level"), F.col("c").alias("community"), F.col("node").alias("title"))
-        found = found.join(parent, "title", "left") if parent is not None else found.withColumn("parent", F.lit(None).cast("string"))
-        found = cut(found.select("level", "community", "parent", "title"))
+        found = communities_of(current, rounds, whole=whole).select(F.lit(level).alias("level"), F.col("c").alias("community"), "node")
+        found = found.join(parent, "node") if parent is not None else found.withColumn("parent", F.lit(None).cast("long"))
+        found = cut(found.select("level", "community", "parent", "node"))
         if parent is not None:
             parted = found.groupBy("parent").agg(F.countDistinct("community").alias("n")).filter("n > 1").select("parent")
-            found = cut(found.join(parted, "parent", "left_semi").select("level", "community", "parent", "title"))
-        made = found if made is None else made.unionByName(found)
+            found = cut(found.join(parted, "parent", "left_semi").select("level", "community", "parent", "node"))
+        made.append(found)
         large = found.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") > max_size)
-        inside = cut(found.join(large, "community", "left_semi").select("title", F.col("community").alias("parent")))
-        left, right = inside.withColumnsRenamed({"title": "a", "parent": "pa"}), inside.withColumnsRenamed({"title": "b", "parent": "pb"})
-        current = cut(current.join(left, "a").join(right, "b").filter("pa = pb").select("a", "b", "weight", F.col("pa").alias("g")))
-        parent, level = inside, level + 1
-        if current.isEmpty():
-            return made
+        parent = cut(found.join(large, "community", "left_semi").select("node", F.col("community").alias("parent")))
+        inside = current.select("a", "b", "weight")
+        for end in ("a", "b"):
+            inside = inside.join(broadcast_if_small(parent.withColumnsRenamed({"node": end, "parent": f"p{end}"})), end)
+        current = stored(inside.filter("pa = pb").select("a", "b", "weight", F.col("pa").alias("g")))
+        sizes = cut(current.groupBy("g").agg(F.count("*").alias("n")))
+        larger = sizes.filter(F.col("n") > whole).select("g")
+        small = nested(current.join(larger, "g", "left_anti"), max_size, rounds)
+        made.append(cut(small.select((F.col("step") + level + 1).alias("level"), F.col("c").alias("community"), "parent", "node")))
+        if larger.isEmpty():
+            break
+        current, level = stored(current.join(larger, "g", "left_semi")), level + 1
+        parent = parent.join(larger.withColumnRenamed("g", "parent"), "parent", "left_semi").select("node", "parent")
+    rows = reduce(DataFrame.unionByName, made)
+    for c, name in (("community", "community"), ("parent", "parent"), ("node", "title")):
+        named = broadcast_if_small(titles.select(F.col("node").alias(c), F.col("title").alias(f"__{name}")))
+        rows = rows.join(named, c, "left" if c == "parent" else "inner").drop(c)
+    return rows.select("level", *[F.col(f"__{x}").alias(x) for x in ("community", "parent", "title")])
 
 
 def cluster_groups(clusters: DataFrame) -> DataFrame:

@@ -412,6 +412,21 @@ def test_clusters_take_few_jobs(spark):
     assert jobs() - before < 250
 
 
+def test_large_graphs_end_in_a_task(spark):
+    """What joins have made of a graph over ``whole`` goes on in a task as soon as it fits, and clusters below it are split to their end in one."""
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    rnd = random.Random(7)
+    pairs = {tuple(sorted(rnd.sample(range(40 * g, 40 * g + 40), 2))) for g in range(12) for _ in range(200)} | {(40 * g, 40 * g - 1) for g in range(1, 12)}
+    edges = [(f"n{min(p):03d}", f"n{max(p):03d}", 1.0) for p in pairs]
+    df, before = spark.createDataFrame(edges, "a string, b string, weight double"), jobs()
+    c = {r.node: r.c for r in L.communities_of(df, whole=1_500).collect()}
+    assert jobs() - before < 200
+    assert len(edges) > 1_500 and held_communities(edges, c) > 0.8 and all(c[n] == min(m for m in c if c[m] == c[n]) for n in c)
+    before = jobs()
+    rows = G.hierarchical_clusters(df).collect()
+    assert jobs() - before < 60 and max(r.level for r in rows) >= 1
+
+
 def test_first_edges_in_one_pass(spark):
     """Edges are gone through once where each title's first edge serves all its levels; where it does not, the next that does is found."""
     members = [(0, 1, x, i, x) for i, x in enumerate("abcd")] + [(1, 9, x, i, x) for i, x in enumerate("acd")]
