@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.rows import slices
+from tessera.llm.rows import over_texts, slices
 from tessera.session import broadcast_if_small, checkpoint_dir, cut
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +95,7 @@ def hot_pairs_of(docs: DataFrame, most: int, one_in: int, run_tokens: int) -> np
             yield pa.RecordBatch.from_arrays([*[pa.array(x[some].view(np.int64)) for x in (p, h[at][first], h[at + 1][first])], pa.array(n[some].astype(np.int64))], names=["p", "u", "w", "c"])
 
     sample = docs.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(one_in)) == 0).select(F.lit(0).cast("long"), "text")
-    counts = sample.mapInArrow(run, "p long, u long, w long, c long").groupBy("p").agg(F.min("u").alias("u"), F.min("w").alias("w"), F.sum("c").alias("c"))
+    counts = over_texts(sample, run, "p long, u long, w long, c long").groupBy("p").agg(F.min("u").alias("u"), F.min("w").alias("w"), F.sum("c").alias("c"))
     rows = counts.orderBy(F.desc("c"), "p").limit(most).select("p", "u", "w").collect()  # at most ``most``
     made = np.array(rows, np.int64).reshape(-1, 3).view(np.uint64)
     return made[np.argsort(made[:, 0])]
@@ -122,7 +122,7 @@ def gram_counts(docs: DataFrame, hot: np.ndarray, run_tokens: int = 1_000_000) -
             keys = np.concatenate([u, hot[held > 0]]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(keys)) >= len(u)), pa.array(keys), pa.array(np.r_[n, held[held > 0]].astype(np.int64))], names=["pair", "h", "c"])
 
-    return docs.mapInArrow(run, "pair boolean, h long, c long").groupBy("pair", "h").agg(F.sum("c").alias("c"))
+    return over_texts(docs, run, "pair boolean, h long, c long").groupBy("pair", "h").agg(F.sum("c").alias("c"))
 
 
 #: Tokens a run where only sums or rows of single documents leave it, which are the same for runs of any size.
@@ -188,7 +188,7 @@ def _pairs(docs: DataFrame, buckets: int, run_tokens: int, heavy_h: np.ndarray,
                 binary = [pa.array([x], pa.binary()) for x in (_pack(steps), h[words[codes == LIGHT]].tobytes(), _pack(times[own]), _pack(where))]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *binary, pa.array([keys[held]], pa.list_(pa.int64()))], names=["bucket", "codes", "light", "times", "docs", "keys"])
 
-    return docs.mapInArrow(run, "bucket int, codes binary, light binary, times binary, docs binary, keys array<long>")
+    return over_texts(docs, run, "bucket int, codes binary, light binary, times binary, docs binary, keys array<long>")
 
 
 def _words(block, heavy_h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,14 +260,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
         halves = [[x.reshape(2, -1) for x in _words(b, heavy_h)] for b in blocks]
         code, h = (np.concatenate([x[i] for x in halves], 1) for i in (0, 1))
         cuts = np.cumsum([0, *[x[0].shape[1] for x in halves]])
+        del halves  # a bucket's arrays are large: none is kept longer than it is read
         times = np.concatenate([_unpack(b.times) for b in blocks])
         kinds, at = np.unique(pair_hash(*h.view(np.uint64)), return_inverse=True)
         c = np.bincount(at, times, len(kinds))[at]
+        del kinds, at
         keep = c >= min_count
         word, own = np.where(keep, *h), np.where(keep, *code)  # the word whose count is still needed, and its sign
+        del h, code
         sign = np.where(keep, -1.0, 1.0)
         is_heavy, ln = value(own)
         known = np.where(keep, np.log(c), floor) + sign * ln
+        del c, keep, own, ln
         ids, sums, light = [], [], []
         for b, lo, hi in zip(blocks, cuts, cuts[1:]):
             entry = np.repeat(np.arange(lo, hi), times[lo:hi])
@@ -278,6 +282,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
             light.append((word[entry[rest]], sign[entry[rest]], keys[doc[rest]]))
         ids, sums = _sum_by(np.concatenate(ids), np.concatenate(sums))
         lw, ls, ld = (np.concatenate(x) for x in zip(*light))
+        del known, word, sign, is_heavy, times, light
         order = np.lexsort((ld, lw, (lw.view(np.uint64) % np.uint64(buckets))))
         lw, ls, ld = lw[order], ls[order], ld[order]
         made = [{"bucket": int(blocks[0].bucket), "word": [], "n": [], "sign": [], "docs": ids, "sums": sums}] if len(ids) else []
@@ -308,7 +313,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
             known = ln - math.log(max(total, 1)) + np.bincount(doc[at][held], hot_s[place[held]], len(key))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(known), pa.array(sizes[sizes > 0].astype(np.int64)), pa.array(np.where(is_heavy, 0, w)), pa.array(~is_heavy)], names=["id", "s", "n", "w", "light"])
 
-    heads = cut(texts.mapInArrow(firsts, "id long, s double, n long, w long, light boolean"))
+    heads = cut(over_texts(texts, firsts, "id long, s double, n long, w long, light boolean"))
     bucket_of = lambda h: F.pmod(F.pmod(F.shiftrightunsigned(h, 1), F.lit(buckets)) * 2 + h.bitwiseAND(1), F.lit(buckets)).cast("int")  # noqa: E731  unsigned h % buckets
     head_pieces = heads.filter("light").select(bucket_of(F.col("w")).alias("bucket"), F.array("w").alias("word"), F.array(F.lit(1)).alias("n"), F.array(F.lit(1)).alias("sign"), F.array("id").alias("docs"), F.array().cast("array<double>").alias("sums"))
     table = counts.select(bucket_of(F.col("h")).alias("bucket"), "h", "c")

@@ -249,6 +249,20 @@ def test_backoff_of_repeats_null_ids_and_one_row(spark):
             assert sorted((str(r.doc_id), r.n_tokens, round(r.log_score, 6), r.mean_log_score and round(r.mean_log_score, 6)) for r in got) == want
 
 
+def test_backoff_takes_texts_in_bounded_batches(spark):
+    """Each stage of op10 that reads whole texts bounds its Arrow batches, whatever ran in the session before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, docs = spark.conf.get(name), spark.createDataFrame([(1, "a b c"), (2, "b c")], "doc_id long, text string")
+    calls = [lambda: backoff.score(docs), lambda: backoff.gram_counts(docs, np.zeros(0, np.uint64)), lambda: backoff.hot_pairs_of(docs, 5, 1, 100), lambda: backoff._pairs(docs, 8, 100, np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    try:
+        for call in calls:
+            spark.conf.set(name, "64m")
+            call()
+            assert rows.in_bytes(spark.conf.get(name)) <= 4 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     vec = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
