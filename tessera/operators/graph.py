@@ -87,8 +87,8 @@ def hierarchical_clusters(edges: DataFrame, max_size: int = 10, rounds: int = 3,
     """(level, community, parent, title): clusters, those of more than ``max_size`` members split again below them.
 
     Communities are named level by level by their smallest member; parent is null at level 0. Splitting goes on until no
-    cluster is over ``max_size`` or those that are no longer part; such a cluster has no level below it. Titles are numbered in their
-    order till the end. A cluster of at most ``whole`` edges is split to its end in one task, a larger one level by level.
+    cluster is over ``max_size`` or those that are no longer part; such a cluster has no level below it. Edges with a null end are
+    left out. Titles are numbered in their order till the end. A cluster of at most ``whole`` edges is split to its end in one task, a larger one level by level.
     """
     named = stored(edges.select("a", "b", "weight"))
     titles = named.select(F.col("a").alias("title")).union(named.select("b")).distinct().filter("title is not null")

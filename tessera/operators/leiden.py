@@ -49,10 +49,10 @@ def _spread(df: DataFrame, by: str, rows: int = 0, a_task: int = 500_000) -> Dat
 
 
 def _between(e: DataFrame, edges: int) -> DataFrame:
-    """Both directions (node, other, w) of edges that are no loops, kept dealt by node, so that sums by node need no shuffle."""
+    """Both directions (node, other, w) of edges that are no loops, stored dealt by node, so that a node's sums are whole before a shuffle."""
     e = e.filter("a <> b")
     both = e.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("other"), "w"))
-    return cut(_spread(both, "node", 2 * edges))
+    return stored(_spread(both, "node", 2 * edges))
 
 
 def _moved(near: DataFrame, state: DataFrame, n: int, turn: int, resolution: float) -> DataFrame:
